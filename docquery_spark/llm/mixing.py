@@ -25,7 +25,7 @@ from ._frames import checkpoint, running_offsets, sized
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 WORDS = r"[^\x20\x09-\x0D]+"
-ROWS_A_BUCKET = 4096
+ROWS_A_BUCKET = 1024
 #: Most buckets that one source's running sum, or the stream's, is split into.
 MAX_BUCKETS = 1 << 16
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, mixing, sharding, token_counts
+from . import chat, decontaminate, exact_dedup, mixing, near_dedup, sharding, substring_dedup, token_counts
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -52,12 +52,21 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "n_turns", "copies", F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, token_counts.VOCABULARY, keep=["doc_id"])
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.clusters(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_exact_dedup, op3_decontamination, op4_sharding, op7_chat_formatting, op9_token_counts)
+    for f in (op1_mixing, op2_exact_dedup, op3_decontamination, op4_sharding, op7_chat_formatting, op8_substring_dedup, op9_token_counts, op10_near_dedup)
 }
