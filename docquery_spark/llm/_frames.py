@@ -17,9 +17,8 @@ def lower_az(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared checkpoint folder, which survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, which all executors share; one of our own only where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +27,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="docquery-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder, which survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -38,7 +43,15 @@ def salt_of(*cols: str | Column) -> Column:
 
 def salt_bits(salt: Column) -> Column:
     """Aggregate: which salts occur in a group, as bits of a long."""
-    return F.bit_or(F.expr("shiftleft(1L, salt)") if salt is None else F.call_function("shiftleft", F.lit(1).cast("long"), salt))
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def explode_salts(bits: Column) -> Column:
@@ -75,11 +88,6 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
-def groups_for(total: int, each: int) -> int:
-    """Number of document groups so that one holds about ``each`` bytes of text."""
-    return max(1, -(-total // each))
-
-
 def sized(spark: SparkSession, rows: int, each: int) -> int:
     """Partitions so that one holds about ``each`` rows, and no fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

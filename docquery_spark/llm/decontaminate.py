@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._frames import free_name
 from ._words import WORD_BYTES, alnum_words, mix64
 
 BLOCK_BYTES = 16 << 20
@@ -82,7 +83,7 @@ def _spans(mask: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _scan(docs: DataFrame, index, text: str) -> DataFrame:
+def _scan(docs: DataFrame, index, body: str) -> DataFrame:
     """Adds the hits of one block to those that ``docs`` has."""
     schema = docs.schema
 
@@ -90,7 +91,7 @@ def _scan(docs: DataFrame, index, text: str) -> DataFrame:
         block = index.value
         get = block.vocabulary.get
         for pdf in batches:
-            tokens = [alnum_words(x) for x in pdf["_text"]]
+            tokens = [alnum_words(x) for x in pdf[body]]
             n = np.array([len(x) for x in tokens], dtype=np.int64)
             at = np.concatenate(([0], np.cumsum(n + 1)))  # a zero parts the documents
             ids = np.zeros(at[-1], dtype=np.uint64)
@@ -124,20 +125,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, text:
     ).dropDuplicates()
     size = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    kept = [c for c in docs.columns if c not in ADDED]
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    body = free_name(docs, "body")
     out = docs.select(
         *kept,
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast(SPANS).alias("hits"),
         F.array().cast("array<string>").alias("items"),
-        F.col(text).cast("binary").alias("_text"),
+        F.col(text).cast("binary").alias(body),
     )
     for b in range(blocks):
         # a long item stays whole; the hash spreads the others evenly over the blocks
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         index = NgramIndex([(r["item_id"], bytes(r["text"])) for r in block.toLocalIterator()], n)
-        out = _scan(out, spark.sparkContext.broadcast(index), text)
-    return out.drop("_text")
+        out = _scan(out, spark.sparkContext.broadcast(index), body)
+    return out.drop(body)
 
 
 def verdicts(found: DataFrame, least_share: float = 0.05) -> DataFrame:
@@ -151,19 +153,21 @@ def verdicts(found: DataFrame, least_share: float = 0.05) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = 13, least_share: float = 0.05) -> DataFrame:
     """docs without contaminated documents, or (mode ``"span"``) with their hit words cut out.
 
-    Cutting keeps all else of the text as it is. Only contaminated documents are cut.
+    Cutting keeps all else of the text as it is. Only contaminated documents are cut. Columns named
+    like one that the scan adds (n_words, hits, items, n_hit, n_items, contaminated) are left out.
     """
-    found = verdicts(find_contamination(docs.select("*"), benchmark, n), least_share)
+    found = verdicts(find_contamination(docs, benchmark, n), least_share)
+    columns = [c for c in docs.columns if c.lower() not in {*ADDED, "n_hit", "n_items", "contaminated"}]
     if mode == "document":
-        return found.filter(~F.col("contaminated")).select(*docs.columns) if not set(ADDED) & set(docs.columns) else found.filter(
-            ~F.col("contaminated")
-        ).select(*[c for c in docs.columns if c in found.columns])
+        return found.filter(~F.col("contaminated")).select(*columns)
     if mode != "span":
         raise ValueError("mode is 'document' or 'span'")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, hits: pd.Series) -> pd.Series:
         def one(x, spans):
+            if x is None or not len(spans):  # documents that aren't cut come here too
+                return x
             raw = x.encode()
             flat = raw.translate(WORD_BYTES)
             starts, ends, at = [], [], 0
@@ -180,6 +184,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
 
         return pd.Series([one(x, s) for x, s in zip(text, hits, strict=True)], index=text.index, dtype=object)
 
-    return found.withColumn("text", F.when(F.col("contaminated"), cut("text", "hits")).otherwise(F.col("text"))).select(
-        *[c for c in docs.columns if c in found.columns]
-    )
+    return found.withColumn("text", F.when(F.col("contaminated"), cut("text", "hits")).otherwise(F.col("text"))).select(*columns)

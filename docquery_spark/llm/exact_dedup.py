@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import by_salted_key, checkpoint, lower_az, salt_bits, salt_of
+from ._frames import by_salted_key, checkpoint, free_name, lower_az, salt_bits, salt_of
 
 
 def _hashed(docs: DataFrame, fold_case: bool) -> DataFrame:
@@ -66,10 +66,9 @@ def groups(docs: DataFrame, keep: str = "min", fold_case: bool = True) -> DataFr
 
 def survivors(docs: DataFrame, keep: str = "min", fold_case: bool = True) -> DataFrame:
     """The documents that stay, with all their columns; of repeated rows any one."""
-    kept = groups(docs, keep, fold_case).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    own, key, sha = (free_name(docs, x) for x in ("own_sha", "stays", "stays_sha"))
+    kept = groups(docs, keep, fold_case).filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
     norm = F.coalesce(F.col("text"), F.lit(""))
-    sha = F.sha2((lower_az(norm) if fold_case else norm).cast("binary"), 256)
-    marked = docs.withColumn("_sha", sha)
-    out = marked.join(kept.withColumnRenamed("_sha", "_k"), (F.col("_sha") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    plain = [c for c, t in docs.dtypes if not t.startswith("map")]
-    return out.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns) if plain else out.select(*docs.columns)
+    marked = docs.withColumn(own, F.sha2((lower_az(norm) if fold_case else norm).cast("binary"), 256))
+    match = (F.col(own) == F.col(sha)) & F.col("doc_id").eqNullSafe(F.col(key))
+    return marked.join(kept, match, "left_semi").dropDuplicates(["doc_id", own]).drop(own)

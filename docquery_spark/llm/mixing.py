@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._frames import checkpoint, running_offsets, sized
+from ._frames import checkpoint, free_name, running_offsets, sized
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -76,7 +76,7 @@ def source_targets(sizes: DataFrame, share: float, max_repeats: int, weights=WEI
 def mix(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, seed: int = 7, weights=WEIGHTS) -> DataFrame:
     """docs: (doc_id, text, source) -> one row for each document and round of its source's queue.
 
-    Columns: doc_id, source, size, source_size, target, row (names a row of docs), round (0 based),
+    Columns: doc_id, source, text_hash, size, source_size, target, row (names a row of docs), round (0 based),
     finish (virtual time), taken (words served), stream_start (words of the stream before it; null
     when nothing is taken). The stream is the rows with taken > 0 by stream_start.
     """
@@ -87,6 +87,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, seed: int = 7
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
             F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("draw"),
+            F.xxhash64("text").alias("text_hash"),
         )
     )
     by_source = checkpoint(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
@@ -111,7 +112,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, seed: int = 7
         .withColumn("quota", F.floor(F.col("target") + 0.5))
         .withColumn("taken", F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("start"))).cast("long"))
         .withColumn("finish", F.when(F.col("target") > 0, F.least(F.lit(1.0), (F.col("start") + F.col("size")) / F.col("target"))))
-        .select("doc_id", "source", "size", "source_size", "target", "row", "round", "start", "finish", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "text_hash", "row", "round", "start", "finish", "taken")
     )
     queued = checkpoint(queued)
 
@@ -138,3 +139,17 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
         .agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("taken").alias("taken"))
         .drop("row")
     )
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: docs with each row as many times as rounds have taken it, all its columns.
+
+    The document in service at the cut counts as taken when at least half of its words are.
+    """
+    key, own, times, copy = (free_name(docs, x) for x in ("mix_id", "mix_hash", "mix_times", "mix_copy"))
+    taken = mix(docs, **options).filter("taken > 0 and 2 * taken >= size")
+    counts = taken.groupBy(F.col("doc_id").alias(key), F.col("source").alias("s"), F.col("text_hash").alias("h")).agg(F.count("*").alias(times))
+    one = docs.dropDuplicates(["doc_id", "source", "text"])
+    match = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(f"{own}.s")) & (F.xxhash64("text") == F.col(f"{own}.h"))
+    joined = one.join(counts.select(key, F.struct("s", "h").alias(own), times), match)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

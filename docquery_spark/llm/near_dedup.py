@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import by_salted_key, checkpoint, lower_az, salt_bits, salt_of
+from ._frames import by_salted_key, checkpoint, free_name, lower_az, salt_bits, salt_of
 from ._words import mix64
 from .components import components
 
@@ -312,6 +312,7 @@ def clusters(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, with all their columns; rows that repeat a doc_id stay as one."""
-    kept = clusters(docs, k, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    name = free_name(docs, "stays")
+    kept = clusters(docs, k, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, mixing, near_dedup, sharding, substring_dedup, token_counts
+from . import chat, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, token_counts
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -47,6 +47,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"), "accepted")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = quality.trusted_ids(_table(spark, sf_dir, "labels"))
+    done = lm_score.score(_table(spark, sf_dir, "documents"), targets)
+    return done.select("doc_id", "n_words", F.round("score", 5).alias("score"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = chat.format_chats(_table(spark, sf_dir, "conversations"))
     return done.select("conv_id", "n_turns", "copies", F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
@@ -68,5 +79,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_exact_dedup, op3_decontamination, op4_sharding, op7_chat_formatting, op8_substring_dedup, op9_token_counts, op10_near_dedup)
+    for f in (op1_mixing, op2_exact_dedup, op3_decontamination, op4_sharding, op5_quality_classifier, op6_lm_scoring, op7_chat_formatting, op8_substring_dedup, op9_token_counts, op10_near_dedup)
 }

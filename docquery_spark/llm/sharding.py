@@ -69,9 +69,10 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", cells: int = CE
     """docs with size, text_crc32, shard (0 .. shards-1) and slot (0 .. rows of the shard - 1)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    kept = [c for c in docs.columns if c not in ADDED]
+    kept = [f"_doc.`{c}`" for c in docs.columns if c.lower() not in ADDED]
     rows = docs.select(
-        *kept,
+        F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c.lower() not in ADDED]).alias("_doc"),
+        "doc_id",
         (F.length(body).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("_tokens"),
@@ -88,13 +89,9 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", cells: int = CE
     limit = total / cells
     share = F.greatest(*[F.col(c) / float(max(x, 1e-9)) for c, x in zip(("bytes", "tokens", "n"), limit, strict=True)])
     # at most 3 * cells groups can be above the limit in one of three sums
-    heavy = {r["_group"]: max(1, min(r["n"], -(-int(r["share"] * 1000) // 1000))) for r in groups.withColumn("share", share).filter("share > 1").collect()}
-    spread = spark.sparkContext.broadcast(heavy)
-    pieces = (
-        spark.createDataFrame([(int(g), int(n)) for g, n in heavy.items()] or [(0, 0)], "_group long, _pieces int")
-        .filter("_pieces > 0")
+    pieces = checkpoint(
+        groups.withColumn("share", share).filter("share > 1").select("_group", F.least("n", F.ceil("share")).cast("int").alias("_pieces"))
     )
-    spread.destroy()
     unit = F.when(
         F.col("_pieces").isNull(), F.struct(F.lit(0).cast("long").alias("g"), F.pmod("_group", F.lit(cells)).cast("int").alias("k"))
     ).otherwise(F.struct(F.col("_group").alias("g"), F.pmod(F.xxhash64("doc_id"), F.col("_pieces")).cast("int").alias("k")))
