@@ -2,7 +2,7 @@
 
 An Aho-Corasick automaton over the vocabulary enumerates all pieces that end at a position, and
 dynamic programming keeps for each position only the best score and its piece count. The rules are
-those of the public unigram tokenizer: white space runs become one word-start mark, the text gets
+those of the public unigram tokenizer: runs of ASCII white space become one word-start mark, the text gets
 one in front; a start is improved only by a strictly better score, so of equal paths the one with
 the longest last piece stays; a character that no piece covers costs the lowest score less 10, and
 counts as its UTF-8 bytes when the vocabulary has byte pieces, else as one piece (runs of them
@@ -21,6 +21,8 @@ unless named like the output column, which replaces them. An empty table gives a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_PIECES = 1_000_000
 UNKNOWN_PENALTY = 10.0
-#: Words that a worker remembers, and the longest word that it remembers.
-MEMO_WORDS, MEMO_LENGTH = 400_000, 64
+#: Words that a worker remembers (twice as many at most), and the longest that it does.
+MEMO_WORDS, MEMO_LENGTH = 300_000, 64
+#: White space: the ASCII six.
+SPACES = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
 
 
 def load_pieces(path: str) -> tuple[list[tuple[str, float]], bool]:
@@ -62,45 +66,73 @@ class CountViterbi:
                 continue  # runs of marks can't match: runs of white space are one mark
             self.automaton.add_word(piece, (len(piece), float(np.float32(score))))
         self.automaton.make_automaton()
-        self.unknown = float(np.float32(min(s for _, s in pieces)) - np.float32(UNKNOWN_PENALTY))
+        scores = [float(np.float32(s)) for _, s in pieces]
+        self.unknown = float(np.float32(min(scores)) - np.float32(UNKNOWN_PENALTY))
+        #: Whole numbers add up exactly as 32-bit floats down to this sum; others never do.
+        self.exact_sum = -float(1 << 24) if all(s == int(s) and s <= 0 for s in scores) else math.inf
+        self.singles = {p for p, _ in pieces if len(p) == 1}
         self.memo: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def word(self, word: str) -> int:
         """Pieces of one word without its mark."""
         text = MARK + word
         n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text):
-            ends[end].append(found)
-        f32 = np.float32
-        best = [0.0] * (n + 1)
-        count = [0] * (n + 1)
-        open_ = [False] * (n + 1)  # the best path ends in an unknown character
-        for end in range(n):
-            found = sorted(ends[end], reverse=True)  # the longest piece first: of equal scores it stays
-            top = None
-            for length, score in found:
+        if self.singles.issuperset(text):
+            # Each end's last match is the character itself, which settles it. Sums only fall along a
+            # path, so if the last one is in the exact range, all on the best path were.
+            values, counts, top, pieces = [0.0], [0], -math.inf, 0
+            for end, (length, score) in self.automaton.iter(text):
                 start = end + 1 - length
-                value = float(f32(best[start]) + f32(score))
-                if top is None or value > top[0]:
-                    top = (value, count[start] + 1, False)
-            if not found or found[-1][0] > 1:
-                value = float(f32(best[end]) + f32(self.unknown))
-                if top is None or value > top[0]:
-                    more = len(text[end].encode()) if self.byte_fallback else int(not open_[end])
-                    top = (value, count[end] + more, True)
-            best[end + 1], count[end + 1], open_[end + 1] = top
+                value = values[start] + score
+                if value > top:
+                    top, pieces = value, counts[start] + 1
+                if length == 1:
+                    values.append(top)
+                    counts.append(pieces)
+                    top = -math.inf
+            if values[n] > self.exact_sum:
+                return counts[n]
+        best, count, open_ = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        done = 0  # positions before this end have their best path
+        top = single = None
+        # for each end the matches come longest first: of equal scores the longest stays
+        for end, (length, score) in self.automaton.iter(text):
+            while done < end:
+                self._close(text, done, top, single, best, count, open_)
+                top, single, done = None, False, done + 1
+            start = end + 1 - length
+            value = float(np.float32(best[start]) + np.float32(score))
+            if top is None or value > top[0]:
+                top = (value, count[start] + 1, False)
+            single = length == 1
+        while done < n:
+            self._close(text, done, top, single, best, count, open_)
+            top, single, done = None, False, done + 1
         return count[n]
 
+    def _close(self, text, end, top, single, best, count, open_):
+        """Settles the best path to the position after ``end``."""
+        if not single:
+            value = float(np.float32(best[end]) + np.float32(self.unknown))
+            if top is None or value > top[0]:
+                top = (value, count[end] + (len(text[end].encode()) if self.byte_fallback else int(not open_[end])), True)
+        best[end + 1], count[end + 1], open_[end + 1] = top
+
     def text(self, text: str | None) -> int:
         memo, total = self.memo, 0
-        for w in text.split() if text else ():
+        for w in text.translate(SPACES).split(" ") if text else ():
+            if not w:
+                continue
             n = memo.get(w)
             if n is None:
-                n = self.word(w)
+                n = self.old.get(w)
+                if n is None:
+                    n = self.word(w)
                 if len(w) <= MEMO_LENGTH:
                     if len(memo) >= MEMO_WORDS:
-                        memo.clear()
+                        self.old, self.memo = memo, {}
+                        memo = self.memo
                     memo[w] = n
             total += n
         return total
