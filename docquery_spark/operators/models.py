@@ -76,9 +76,12 @@ _CLAIM = re.compile(r"\d[\d,.]*|\b[A-Z][\w-]+\b")
 
 
 def lexical_judge(text: str, sources: str) -> str:
-    """Numbers and names of the text that no source has. It misses paraphrase and accepts true-looking errors."""
+    """Numbers and names of the text, citations in brackets aside, that no source has.
+
+    It misses paraphrase and accepts true-looking errors.
+    """
     low = sources.lower()
-    claims = [c.rstrip(".,") for c in _CLAIM.findall(text)]
+    claims = [c.rstrip(".,") for c in _CLAIM.findall(re.sub(r"\[[^\]]*\]", "", text))]
     missing = [c for c in dict.fromkeys(claims) if c.lower() not in low]
     score = 1.0 - len(missing) / len(set(claims)) if claims else 1.0
     return json.dumps({"is_valid": not missing, "is_grounded": not missing, "issues": missing, "hallucinations": missing, "verdict_score": round(score, 3), "confidence": round(score, 3), "validator_notes": "lexical check"})

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import text
 from ..schemas import STORE
 from .models import hashed_words
 
@@ -53,17 +55,20 @@ class ChunkStore:
 
 def storable(chunks: DataFrame, embedder=hashed_words, dimensions: int = 64) -> DataFrame:
     """Accepted chunks in the store's columns, with unit-length embeddings of text and summary."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def embed(body: pd.Series) -> pd.Series:
-        return body.map(lambda t: embedder(t, dimensions).tolist())
+        def unit(t: str) -> list[float]:
+            v = np.asarray(embedder(t, dimensions), dtype=np.float64)
+            length = float(np.linalg.norm(v))
+            return (v / length if length else v).tolist()
+
+        return body.map(unit)
 
     has = "validation" in chunks.columns
     return chunks.filter("disposition <> 'discarded'").select(
         "chunk_id", "page_num", "source_file", "structured_text", "intuition_summary", "key_concepts", "confidence", "agent_notes",
         (F.col("validation.verdict_score") if has else F.lit(None).cast("double")).alias("validation_score"),
         (text.join_issues(F.col("validation.issues")) if has else F.lit(None).cast("string")).alias("validation_issues"),
-        vectors.normalise(embed(text.embed_text(F.col("structured_text"), F.col("intuition_summary")))).alias("embedding"),
+        embed(text.embed_text(F.col("structured_text"), F.col("intuition_summary"))).alias("embedding"),
         "chunk_type",
     )
