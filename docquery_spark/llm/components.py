@@ -30,16 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
     )
     state = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = _least(large.filter("u > v"))
+        ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = now.select(ways.alias("e")).select("e.u", "e.v")
+        large = checkpoint(_least(both).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # u's neighbours and u itself all point to m
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = checkpoint(small.filter("u <> v").distinct())
+        ends = F.explode(F.array("v", "u")).alias("w")
+        small = _least(large).select(ends, "m").filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        now = checkpoint(small.distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break
         state = tuple(seen)
-    pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return pairs.unionByName(roots)
+    ends = F.explode(F.array("u", "v")).alias("node")
+    return now.select(ends, F.col("v").alias("component")).distinct()

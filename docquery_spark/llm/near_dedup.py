@@ -12,7 +12,7 @@ smaller and equal ones, and both set sizes) gives an estimate, pairs far below t
 
 No step makes all pairs of a bucket. Copies (texts equal but for the case of A-Z) are one node from
 the start. Then (1) each member of a bucket is compared to the bucket's least member; (2) members
-that aren't yet in the same component, to a random member, another in each band; twice; (3) whatever
+that aren't yet in the same component, to a random member, another in each band; (3) whatever
 members of a bucket are still apart are compared in blocks by their registers, and the pairs that
 come near are verified. After (3) no two members of a bucket are apart and uncompared.
 
@@ -219,31 +219,30 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _in_blocks(apart: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in one bucket that the registers don't rule out."""
-    least = _least_estimate(threshold)
-    rows = apart.join(nodes.select(F.col("rep").alias("id"), "regs", "n_shingles"), "id")
+    """Pairs of different components in one bucket, by blocks of BLOCK members.
+
+    Pairs with so few equal registers that their estimate can't reach the limit are left out here.
+    """
+    least = int((_least_estimate(threshold) - 0.06) * REGISTERS)
+    rows = apart.join(nodes.select(F.col("rep").alias("id"), "regs"), "id")
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK).cast("int")).cast("int")
-    packed = rows.groupBy("band", block.alias("block")).agg(
-        F.collect_list(F.struct("id", "component", "n_shingles", "regs")).alias("m")
-    )
-    pairs = packed.alias("x").join(packed.alias("y"), "band").filter("x.block <= y.block").select(
-        F.col("x.m").alias("x"), F.col("y.m").alias("y")
+    packed = rows.groupBy("band", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "component", "regs"))).alias("m"))
+    packed = packed.select(
+        "band", "block", F.col("m.id").alias("ids"), F.col("m.component").alias("comps"), F.col("m.regs").alias("regs")
     )
+    other = packed.select("band", *[F.col(c).alias(f"{c}_y") for c in ("block", "ids", "comps", "regs")])
+    pairs = packed.join(other, "band").filter("block <= block_y").drop("band", "block", "block_y")
 
     def run(batches):
         for pdf in batches:
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                ids, comp = np.array([m["id"] for m in y]), np.array([m["component"] for m in y])
-                sizes, regs = np.array([m["n_shingles"] for m in y]), _regs([m["regs"] for m in y])
-                found = []
-                for m in x:
-                    at = np.flatnonzero((comp != m["component"]) & (np.minimum(sizes, m["n_shingles"]) >= least * np.maximum(sizes, m["n_shingles"])))
-                    if len(at):
-                        own = np.broadcast_to(_regs([m["regs"]]), (len(at), REGISTERS))
-                        near = at[estimate(own, regs[at], np.full(len(at), m["n_shingles"]), sizes[at]) >= least]
-                        found += [(min(m["id"], i), max(m["id"], i)) for i in ids[near].tolist()]
-                if found:
-                    yield pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+            found = []
+            for ids, comps, regs, ids_y, comps_y, regs_y in pdf[["ids", "comps", "regs", "ids_y", "comps_y", "regs_y"]].itertuples(index=False):
+                ids_y, comps_y, rows_y = np.asarray(ids_y), np.asarray(comps_y), _regs(regs_y)
+                for i, comp, row in zip(ids, comps, _regs(regs), strict=True):
+                    near = (comps_y != comp) & ((rows_y == row).sum(axis=1) >= least)
+                    found += [(min(i, j), max(i, j)) for j in ids_y[near].tolist()]
+            if found:
+                yield pd.DataFrame(sorted(set(found)), columns=["a", "b"])
 
     return pairs.mapInPandas(run, "a long, b long").distinct()
 
@@ -273,34 +272,32 @@ def clusters(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     )
     tested = checkpoint(_near(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), nodes, threshold))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        names = copies.select("copy", F.col("rep").alias("doc_id")).join(wanted, "doc_id")
-        found = rows.join(names, ["doc_id", "copy"]).select(F.col("doc_id").alias("rep"), "text")
-        return _links(pairs, found.dropDuplicates(["rep"]), k, percent)
-
-    links = checkpoint(verified(tested))
-    labels = checkpoint(components(links))
-    for step in ("random", "again", "blocks"):
+    # the texts that comparisons may need, fetched once: those of documents that share a bucket
+    wanted = copies.select("copy", F.col("rep").alias("doc_id")).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = checkpoint(
+        rows.join(wanted, ["doc_id", "copy"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+    )
+    links = checkpoint(_links(tested, texts, k, percent))
+    labels = components(links)
+    for step in ("random", "blocks"):
         apart = checkpoint(_apart(members.select("band", "id"), labels))
         if apart.isEmpty():
             break
         if step == "blocks":
             pairs = _in_blocks(apart, nodes, threshold)
         else:
-            draw = F.xxhash64("band", "id", F.lit(step))
+            draw = F.xxhash64("band", "id")
             heads = apart.groupBy("band").agg(
                 F.min_by(F.struct("id", "component"), F.struct(draw, "id")).alias("head"), salt_bits(F.col("salt")).alias("bits")
             )
             met = by_salted_key(apart.drop("bits"), heads, ["band"], "bits").filter("component <> head.component")
             pairs = met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        near = checkpoint(pairs if step == "blocks" else _near(pairs, nodes, threshold))
-        more = checkpoint(verified(near))
+        near = checkpoint(_near(pairs.join(tested, ["a", "b"], "left_anti"), nodes, threshold))
+        more = checkpoint(_links(near, texts, k, percent))
         tested = tested.unionByName(near)
         if not more.isEmpty():
             old = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = checkpoint(components(old.unionByName(more)))
+            labels = components(old.unionByName(more))
     placed = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "copy", F.coalesce("component", "rep").alias("component_id"), "bits"
     )
