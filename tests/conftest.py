@@ -7,7 +7,7 @@ import pytest
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 # workers import the package, and the functions that tests define
-os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT}/tests:{os.environ.get('PYTHONPATH', '')}"
+os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT}/tests:{ROOT}/tests/llm:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")
