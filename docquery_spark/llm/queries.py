@@ -49,7 +49,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return done.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"), "accepted")
+    return done.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"), F.col("accepted").alias("kept"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
