@@ -2,7 +2,7 @@
 
 The background model counts all documents, the target model the target ones; both share one
 vocabulary (the VOCABULARY most frequent words of the corpus; any other word, and one of more than
-MAX_WORD bytes, is unknown) and one smoothing (bigram, unigram and uniform parts, interpolated).
+MAX_WORD bytes, is unknown; so is one seen once) and one smoothing (bigram, unigram and uniform parts, interpolated).
 A word's loss difference is its target loss less its background loss, in nats; a document's score
 is the mean over its words, so lower is closer to the target text.
 
@@ -13,7 +13,7 @@ corpus thus never meet in one place: shards and groups grow in number with the i
 
 Nulls: a null text has no words; a document without words has a null score; a null doc_id is scored
 and never a target. Repeated rows count, and are scored, each. Documents that share an id are all
-targets if the id is. Ties for the last places of the vocabulary fall to the smaller word. An empty
+targets if the id is. Words that tie for the last places of the vocabulary all stay out. An empty
 table gives an empty result; without target documents the target model is uniform. Columns besides
 doc_id and text are ignored.
 """
@@ -21,10 +21,11 @@ doc_id and text are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._frames import checkpoint, text_bytes
@@ -58,22 +59,65 @@ def _documents(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
     return own, (own["doc_id"].isin(pdf.loc[marked, "doc_id"]) & own["doc_id"].notna()).to_numpy(dtype=bool)
 
 
-def _count_words(key, pdf):
-    own, target = _documents(pdf)
-    every, aimed = Counter(), Counter()
-    for text, t in zip(own["text"], target, strict=True):
-        found = words(text)
-        every.update(found)
-        if t:
-            aimed.update(found)
-    kept = [w for w in every if len(w) <= MAX_WORD]
-    long_ = sum(n for w, n in every.items() if len(w) > MAX_WORD)
-    long_aimed = sum(n for w, n in aimed.items() if len(w) > MAX_WORD)
-    return pd.DataFrame({
-        "word": [*kept, None],
-        "n": [*[every[w] for w in kept], long_],
-        "aimed": [*[aimed[w] for w in kept], long_aimed],
-    })
+def _count_words(shards: int):
+    """Words of a group with both counts, packed by the shard of the word's hash."""
+
+    def run(key, pdf):
+        own, target = _documents(pdf)
+        every, aimed = Counter(), Counter()
+        for text, t in zip(own["text"], target, strict=True):
+            found = words(text)
+            every.update(found)
+            if t:
+                aimed.update(found)
+        parts: dict[int, list[bytes]] = {}
+        for w in every:
+            # words that are too long are counted together, without a name
+            parts.setdefault(crc32(w) % shards if len(w) <= MAX_WORD else -1, []).append(w)
+        rows = []
+        for s, own_words in parts.items():
+            n, t = np.array([every[w] for w in own_words]), np.array([aimed[w] for w in own_words])
+            names = b" ".join(own_words)
+            if s < 0:
+                s, names, n, t = 0, b"", n.sum(keepdims=True), t.sum(keepdims=True)
+            rows.append((s, names, _planes(n), _planes(t)))
+        return pd.DataFrame(rows, columns=["shard", "names", "n", "aimed"])
+
+    return run
+
+
+def _merge_words(key, pdf):
+    """One shard's words over all groups: names and counts of those seen twice or more, and sums of all."""
+    every, aimed, total = {}, {}, [0, 0]
+    for names, n, t in zip(pdf["names"], pdf["n"], pdf["aimed"], strict=True):
+        n, t = _unplanes(n).tolist(), _unplanes(t).tolist()
+        total = [total[0] + sum(n), total[1] + sum(t)]
+        for w, x, y in zip(names.split(b" ") if names else (), n, t, strict=False):
+            every[w] = every.get(w, 0) + x
+            if y:
+                aimed[w] = aimed.get(w, 0) + y
+    kept = [w for w, x in every.items() if x > 1]
+    row = (b" ".join(kept), [every[w] for w in kept], [aimed.get(w, 0) for w in kept], *total)
+    return pd.DataFrame([row], columns=["names", "n", "aimed", "total", "total_aimed"])
+
+
+def _frequent(merged: DataFrame, size: int) -> list:
+    """Rows (word, n, aimed) of the words that are among the ``size`` most frequent; ties for the last places stay out."""
+    times = merged.select(F.explode("n").alias("n")).groupBy("n").agg(F.count("*").alias("words"))
+    upto = times.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n"))))
+    last = upto.filter(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    if last is None:
+        return []
+
+    def run(batches):
+        for pdf in batches:
+            for names, n, aimed in zip(pdf["names"], pdf["n"], pdf["aimed"], strict=True):
+                at = np.flatnonzero(np.asarray(n) >= last)
+                found = names.split(b" ") if names else []
+                yield pd.DataFrame({"word": [found[i] for i in at], "n": np.asarray(n)[at], "aimed": np.asarray(aimed)[at]})
+
+    rows = merged.select("names", "n", "aimed").mapInPandas(run, "word binary, n long, aimed long").collect()
+    return sorted(rows, key=lambda r: bytes(r["word"]))
 
 
 class Vocabulary:
@@ -190,12 +234,12 @@ def score(docs: DataFrame, targets: DataFrame, vocabulary: int = VOCABULARY) ->
     sc = docs.sparkSession.sparkContext
     groups = max(LEAST_GROUPS, -(-text_bytes(docs) // GROUP_BYTES))
     dealt = _deal(docs, targets, groups)
-    counted = dealt.groupBy("g").applyInPandas(_count_words, "word binary, n long, aimed long").groupBy("word").agg(
-        F.sum("n").alias("n"), F.sum("aimed").alias("aimed")
+    merged = checkpoint(
+        dealt.groupBy("g").applyInPandas(_count_words(groups), "shard int, names binary, n binary, aimed binary")
+        .groupBy("shard").applyInPandas(_merge_words, "names binary, n array<long>, aimed array<long>, total long, total_aimed long")
     )
-    counted = checkpoint(counted)
-    rows = counted.filter("word is not null").orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    total, aimed = counted.agg(F.sum("n"), F.sum("aimed")).first()
+    rows = _frequent(merged, vocabulary)
+    total, aimed = merged.agg(F.sum("total"), F.sum("total_aimed")).first()
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     own = docs.filter(worded).select(F.col("doc_id").cast("long").alias("doc_id"))
     starts = own.count()
