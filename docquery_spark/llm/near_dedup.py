@@ -209,8 +209,8 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with labels, of buckets that hold more than one component."""
-    rows = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
+    rows = checkpoint(
+        members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     )
     open_ = rows.groupBy("band").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), salt_bits(salt_of("id")).alias("bits")
@@ -270,7 +270,8 @@ def clusters(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
         by_salted_key(banded.withColumn("salt", salt_of("id")), buckets.filter("least < most").drop("most"), ["band"], "bits")
         .select("band", "id", "least")
     )
-    tested = checkpoint(_near(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), nodes, threshold))
+    first = checkpoint(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
+    tested = checkpoint(_near(first, nodes, threshold))
 
     # the texts that comparisons may need, fetched once: those of documents that share a bucket
     wanted = copies.select("copy", F.col("rep").alias("doc_id")).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -278,7 +279,7 @@ def clusters(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
         rows.join(wanted, ["doc_id", "copy"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
     )
     links = checkpoint(_links(tested, texts, k, percent))
-    labels = components(links)
+    labels = checkpoint(components(links))
     for step in ("random", "blocks"):
         apart = checkpoint(_apart(members.select("band", "id"), labels))
         if apart.isEmpty():
@@ -292,12 +293,14 @@ def clusters(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
             )
             met = by_salted_key(apart.drop("bits"), heads, ["band"], "bits").filter("component <> head.component")
             pairs = met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
-        near = checkpoint(_near(pairs.join(tested, ["a", "b"], "left_anti"), nodes, threshold))
+        # cut here and below: what follows reads its input several times
+        pairs = checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
+        near = checkpoint(_near(pairs, nodes, threshold))
         more = checkpoint(_links(near, texts, k, percent))
         tested = tested.unionByName(near)
         if not more.isEmpty():
             old = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = components(old.unionByName(more))
+            labels = checkpoint(components(old.unionByName(more)))
     placed = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "copy", F.coalesce("component", "rep").alias("component_id"), "bits"
     )
