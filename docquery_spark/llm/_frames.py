@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A Parquet table in the shared checkpoint folder, read back: the lineage is cut and sizes are true.
+
+    For rounds of joins. checkpoint() carries its plan's size estimate along, which joins multiply, so
+    that after some rounds the estimate itself takes the driver's memory to write down.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def salt_of(*cols: str | Column) -> Column:
     """Salt 0..SALTS-1 of a row, the same whenever it is computed."""
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")

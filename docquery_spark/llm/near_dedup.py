@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import by_salted_key, checkpoint, free_name, lower_az, salt_bits, salt_of
+from ._frames import by_salted_key, free_name, lower_az, salt_bits, salt_of, written
 from ._words import mix64
 from .components import components
 
@@ -209,7 +209,7 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with labels, of buckets that hold more than one component."""
-    rows = checkpoint(
+    rows = written(
         members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     )
     open_ = rows.groupBy("band").agg(
@@ -255,33 +255,33 @@ def clusters(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     threshold = percent / 100
     body = lower_az(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(body)).alias("copy"), body.alias("text"))
-    sketched = checkpoint(rows.mapInPandas(_sketch(k), "doc_id long, copy binary, n_shingles long, regs binary"))
+    sketched = written(rows.mapInPandas(_sketch(k), "doc_id long, copy binary, n_shingles long, regs binary"))
     usable = sketched.filter("doc_id is not null and n_shingles > 0")
     copies = usable.withColumn("salt", salt_of("doc_id")).groupBy("copy").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"),
         salt_bits(F.col("salt")).alias("bits"),
     )
-    copies = checkpoint(copies)
+    copies = written(copies)
     nodes = copies.select("rep", "n_shingles", "regs")
 
     banded = nodes.mapInPandas(_bands, "band long, id long")
     buckets = banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most"), salt_bits(salt_of("id")).alias("bits"))
-    members = checkpoint(
+    members = written(
         by_salted_key(banded.withColumn("salt", salt_of("id")), buckets.filter("least < most").drop("most"), ["band"], "bits")
         .select("band", "id", "least")
     )
-    first = checkpoint(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
-    tested = checkpoint(_near(first, nodes, threshold))
+    first = written(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
+    tested = written(_near(first, nodes, threshold))
 
     # the texts that comparisons may need, fetched once: those of documents that share a bucket
     wanted = copies.select("copy", F.col("rep").alias("doc_id")).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = checkpoint(
+    texts = written(
         rows.join(wanted, ["doc_id", "copy"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
     )
-    links = checkpoint(_links(tested, texts, k, percent))
-    labels = checkpoint(components(links))
+    links = written(_links(tested, texts, k, percent))
+    labels = written(components(links))
     for step in ("random", "blocks"):
-        apart = checkpoint(_apart(members.select("band", "id"), labels))
+        apart = written(_apart(members.select("band", "id"), labels))
         if apart.isEmpty():
             break
         if step == "blocks":
@@ -294,13 +294,13 @@ def clusters(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
             met = by_salted_key(apart.drop("bits"), heads, ["band"], "bits").filter("component <> head.component")
             pairs = met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
         # cut here and below: what follows reads its input several times
-        pairs = checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
-        near = checkpoint(_near(pairs, nodes, threshold))
-        more = checkpoint(_links(near, texts, k, percent))
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
+        near = written(_near(pairs, nodes, threshold))
+        more = written(_links(near, texts, k, percent))
         tested = tested.unionByName(near)
         if not more.isEmpty():
             old = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = checkpoint(components(old.unionByName(more)))
+            labels = written(components(old.unionByName(more)))
     placed = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "copy", F.coalesce("component", "rep").alias("component_id"), "bits"
     )
