@@ -273,6 +273,28 @@ def test_quality_tells_junk_from_text(spark, empty):
     assert quality.classify(docs, labels.limit(0)).filter("accepted").count() == 360
 
 
+def test_quality_catches_toxic_and_junk(spark):
+    """Learns from half of the labels and is measured on the other half, then on all of them."""
+    tables = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    docs = spark.read.parquet(f"{tables}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    for half in (True, False):
+        known = labels.filter("pmod(xxhash64(doc_id, 9), 2) = 0") if half else labels
+        kept = {r["doc_id"]: r["accepted"] for r in quality.classify(docs, known).collect()}
+        told = labels.join(known, "doc_id", "left_anti") if half else labels
+        kinds = defaultdict(list)
+        for r in told.collect():
+            kinds["junk" if r["quality"] == 0 else "toxic" if r["toxic"] else "clean"].append(kept[r["doc_id"]])
+        share = {k: np.mean(v) for k, v in kinds.items()}
+        print(half, {k: (sum(v), len(v)) for k, v in kinds.items()})
+        assert share["clean"] >= 0.98 and share["toxic"] <= 0.02 and share["junk"] <= 0.03
+
+
+def test_quality_repeats():
+    assert quality.most_repeats(["a"]) == 0 and quality.most_repeats(["a", "b", "a", "a"]) == 2
+    assert quality.most_repeats([str(i) for i in range(100)] + ["x"] * 40 + ["y"]) == quality.WINDOW
+
+
 # -- LM scoring
 
 
