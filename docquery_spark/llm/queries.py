@@ -70,7 +70,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return token_counts.count_tokens(docs, token_counts.VOCABULARY, keep=["doc_id"])
+    return token_counts.count_tokens(docs, token_counts.VOCABULARY, keep=["doc_id"], untouched=True)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,16 @@ together as one). Scores are added as 32-bit floats.
 The vocabulary's pieces carry the mark only in front, so words are independent: the DP runs once a
 distinct word and batch, and counts are kept in a bounded table of each Python worker.
 
+With ``untouched``, white space is counted as the file's own normalizer has it (identity, nothing
+removed): each blank is a mark, runs of them are kept and may be pieces, and any other white space is
+a character like others, so that a word after it bears no mark. Scores are then added as 64-bit
+floats: a newline's cost would leave 32-bit ones too coarse for the scores after it, and a word's
+count would hang on all text before it.
+
 The vocabulary file is a parameter; it is read on the driver and its pieces are broadcast (their
 number is the vocabulary's size and is checked). No tokenizer is trained.
 
-Nulls: a null text has 0 tokens; so has an empty one and one of white space only. Very long words
+Nulls: a null text has 0 tokens; so has an empty one and, unless ``untouched``, one of white space only. Very long words
 take time in proportion to their length. Repeated rows give repeated rows; other columns are kept
 unless named like the output column, which replaces them. An empty table gives an empty result.
 """
@@ -22,6 +28,7 @@ unless named like the output column, which replaces them. An empty table gives a
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +43,7 @@ UNKNOWN_PENALTY = 10.0
 MEMO_WORDS, MEMO_LENGTH = 300_000, 64
 #: White space: the ASCII six.
 SPACES = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
+SEGMENTS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def load_pieces(path: str) -> tuple[list[tuple[str, float]], bool]:
@@ -54,20 +62,20 @@ def load_pieces(path: str) -> tuple[list[tuple[str, float]], bool]:
 class CountViterbi:
     """Piece counts of words under a unigram vocabulary."""
 
-    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool):
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool, runs: bool = False):
         import ahocorasick
 
-        self.byte_fallback = byte_fallback
+        self.byte_fallback, self.wide = byte_fallback, runs
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if len(piece) > 1 and MARK in piece[1:] and piece.strip(MARK):
                 raise ValueError(f"{piece!r} spans a word start")
-            if not piece.strip(MARK) and len(piece) > 1:
+            if not runs and not piece.strip(MARK) and len(piece) > 1:
                 continue  # runs of marks can't match: runs of white space are one mark
             self.automaton.add_word(piece, (len(piece), float(np.float32(score))))
         self.automaton.make_automaton()
         scores = [float(np.float32(s)) for _, s in pieces]
-        self.unknown = float(np.float32(min(scores)) - np.float32(UNKNOWN_PENALTY))
+        self.unknown = min(scores) - UNKNOWN_PENALTY if runs else float(np.float32(min(scores)) - np.float32(UNKNOWN_PENALTY))
         #: Whole numbers add up exactly as 32-bit floats down to this sum; others never do.
         self.exact_sum = -float(1 << 24) if all(s == int(s) and s <= 0 for s in scores) else math.inf
         self.singles = {p for p, _ in pieces if len(p) == 1}
@@ -93,6 +101,14 @@ class CountViterbi:
                     top = -math.inf
             if values[n] > self.exact_sum:
                 return counts[n]
+        return self._path(text)
+
+    def _add(self, value: float, score: float) -> float:
+        return value + score if self.wide else float(np.float32(value) + np.float32(score))
+
+    def _path(self, text: str) -> int:
+        """Pieces of the best path over a text with its marks."""
+        n = len(text)
         best, count, open_ = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         done = 0  # positions before this end have their best path
         top = single = None
@@ -102,7 +118,7 @@ class CountViterbi:
                 self._close(text, done, top, single, best, count, open_)
                 top, single, done = None, False, done + 1
             start = end + 1 - length
-            value = float(np.float32(best[start]) + np.float32(score))
+            value = self._add(best[start], score)
             if top is None or value > top[0]:
                 top = (value, count[start] + 1, False)
             single = length == 1
@@ -114,7 +130,7 @@ class CountViterbi:
     def _close(self, text, end, top, single, best, count, open_):
         """Settles the best path to the position after ``end``."""
         if not single:
-            value = float(np.float32(best[end]) + np.float32(self.unknown))
+            value = self._add(best[end], self.unknown)
             if top is None or value > top[0]:
                 top = (value, count[end] + (len(text[end].encode()) if self.byte_fallback else int(not open_[end])), True)
         best[end + 1], count[end + 1], open_[end + 1] = top
@@ -138,7 +154,24 @@ class CountViterbi:
         return total
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", out: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
+    def untouched(self, text: str | None) -> int:
+        """Pieces of a text with all its white space; needs ``runs``."""
+        total = 0
+        for part in SEGMENTS.findall(MARK + text.replace(" ", MARK)) if text else ():
+            n = self.memo.get(part)
+            if n is None:
+                n = self.old.get(part)
+                if n is None:
+                    n = self._path(part)
+                if len(part) <= MEMO_LENGTH:
+                    if len(self.memo) >= MEMO_WORDS:
+                        self.old, self.memo = self.memo, {}
+                    self.memo[part] = n
+            total += n
+        return total
+
+
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", out: str = "n_tokens", keep: list[str] | None = None, untouched: bool = False) -> DataFrame:
     """docs (its columns ``keep``, or all) with the number of tokens of each text."""
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary))
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
@@ -146,9 +179,10 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "tex
 
     def run(batches):
         if not held:
-            held.append(CountViterbi(*pieces.value))
+            held.append(CountViterbi(*pieces.value, runs=untouched))
+        count = held[0].untouched if untouched else held[0].text
         for pdf in batches:
-            n = np.fromiter(map(held[0].text, pdf.pop("_text")), dtype=np.int64, count=len(pdf))
+            n = np.fromiter(map(count, pdf.pop("_text")), dtype=np.int64, count=len(pdf))
             yield pdf.assign(**{out: n})
 
     rows = docs.select(*kept, F.col(text).alias("_text"))

@@ -429,6 +429,22 @@ def test_token_counts_against_public_unigram(spark, docs, tmp_path):
         assert r["n_tokens"] == len(public.encode(" ".join(split(r["text"])))), r["text"]
 
 
+def test_token_counts_of_untouched_text(spark):
+    """Against the tokenizers library, which adds 64-bit floats, on texts with all their white space."""
+    from docquery_spark.llm.queries import op9_token_counts
+
+    public = unigram(*token_counts.load_pieces(token_counts.VOCABULARY))
+    mark = token_counts.MARK
+    want = lambda t: len(public.encode(mark + t.replace(" ", mark)).ids) if t else 0
+    count = token_counts.CountViterbi(*token_counts.load_pieces(token_counts.VOCABULARY), runs=True)
+    for t in ["  two  spaces ", "tab\tand\nline", "\n\n a\nb", " ", "\n", "", None, "a" + " " * 40 + "b", "one\rtwo;\r\nx"]:
+        assert count.untouched(t) == want(t), t
+    table = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r["n_tokens"] for r in op9_token_counts(spark, table).collect()}
+    for r in spark.read.parquet(f"{table}/documents.parquet").collect():
+        assert got[r["doc_id"]] == want(r["text"]), r["doc_id"]
+
+
 def test_token_count_ties_and_unknowns():
     count = token_counts.CountViterbi([("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0), ("b", -1.0)], False)
     assert count.text("aa") == 2 and count.text("zz") == 2 and count.text(" ") == 0 and count.text(None) == 0
