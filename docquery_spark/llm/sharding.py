@@ -1,8 +1,9 @@
 """Sharding by vector bin packing.
 
 Groups of equal texts are packed whole, weighed by (bytes, tokens, rows). A group above
-``1 / CELLS`` of any total is heavy and is packed by itself, cut into pieces of that size at most;
-there can be no more than a few times CELLS of those. Lighter groups share one of CELLS cells by
+``1 / CELLS`` of any total is heavy and is packed by itself; there can be no more than a few times
+CELLS of those. Only one above ``WHOLE`` of a shard's fair share is cut, into pieces of ``1 / CELLS``
+of a total or single rows. Lighter groups share one of CELLS cells by
 their hash, and a cell is packed as one. The driver thus packs a number of vectors that does not
 grow with the data: in falling order, each goes to the shard where the dot product of its vector
 with the residual capacities is highest. A last pass moves pieces off the fullest shard while that
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from ._frames import checkpoint, running_offsets
 
 CELLS = 8192
+#: A group of equal texts up to this part of a shard's fair share is never cut.
+WHOLE = 0.5
 ROWS_A_LANE = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows that a size counts for besides its bytes.
@@ -90,7 +93,9 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", cells: int = CE
     share = F.greatest(*[F.col(c) / float(max(x, 1e-9)) for c, x in zip(("bytes", "tokens", "n"), limit, strict=True)])
     # at most 3 * cells groups can be above the limit in one of three sums
     pieces = checkpoint(
-        groups.withColumn("share", share).filter("share > 1").select("_group", F.least("n", F.ceil("share")).cast("int").alias("_pieces"))
+        groups.withColumn("share", share).filter("share > 1").select(
+            "_group", F.when(F.col("share") > WHOLE * cells / shards, F.least("n", F.ceil("share"))).otherwise(1).cast("int").alias("_pieces")
+        )
     )
     unit = F.when(
         F.col("_pieces").isNull(), F.struct(F.lit(0).cast("long").alias("g"), F.pmod("_group", F.lit(cells)).cast("int").alias("k"))

@@ -217,6 +217,16 @@ def test_sharding_keeps_light_groups_together(docs):
     assert spread.filter("text is not null and length(text) between 1 and 200").agg(F.max("n")).first()[0] == 1
 
 
+def test_sharding_keeps_copies_together_with_production_cells(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    placed = sharding.shard(texts)
+    load = [r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    groups = placed.groupBy("text").agg(F.sum("size").alias("b"), F.count("*").alias("c"), F.countDistinct("shard").alias("n")).filter("c > 1").collect()
+    print(len(groups), sum(g["n"] > 1 for g in groups), max(load) / (sum(load) / 24))
+    assert len(groups) > 500 and all(g["n"] == 1 for g in groups if g["b"] < 0.25 * sum(load) / 24)
+    assert max(load) < 1.05 * sum(load) / 24
+
+
 # -- quality classifier
 
 
