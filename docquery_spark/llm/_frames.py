@@ -37,18 +37,58 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """A Parquet table in the shared checkpoint folder, read back: the lineage is cut and sizes are true.
 
     For rounds of joins. checkpoint() carries its plan's size estimate along, which joins multiply, so
-    that after some rounds the estimate itself takes the driver's memory to write down.
+    that after some rounds the estimate itself takes the driver's memory to write down. A table that is
+    in no folder of its own goes when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if folder is None:
+        at, files = _file_system(spark, path)
+        files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+class Scratch:
+    """Written tables that go when the block ends, or before, when their last reader is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.held)}"
+        out = written(df, path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of this scratch that nothing will read again."""
+        for df, path in self.held:
+            if any(df is t for t in tables):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at, files = _file_system(self.spark, path)
+        files.delete(at, True)
+
+
 def salt_of(*cols: str | Column) -> Column:
     """Salt 0..SALTS-1 of a row, the same whenever it is computed."""
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
@@ -67,6 +107,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def quoted(name: str) -> str:
+    """A column name as ``F.col`` takes it, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def explode_salts(bits: Column) -> Column:
     """One row for each salt set in ``bits``."""
     return F.explode(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import by_salted_key, salt_bits, salt_of, written
+from ._frames import Scratch, by_salted_key, salt_bits, salt_of, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -23,23 +23,25 @@ def _least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) longs, in any direction and number -> (node, component), the least node of each.
 
-    Nodes without an edge to another node aren't listed.
+    Nodes without an edge to another node aren't listed. The result is a written table.
     """
-    now = written(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    state = None
-    while True:
-        ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-        both = now.select(ways.alias("e")).select("e.u", "e.v")
-        large = written(_least(both).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        # u's neighbours and u itself all point to m
-        ends = F.explode(F.array("v", "u")).alias("w")
-        small = _least(large).select(ends, "m").filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        now = written(small.distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
-    ends = F.explode(F.array("u", "v")).alias("node")
-    return now.select(ends, F.col("v").alias("component")).distinct()
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.written(
+            edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        )
+        state = None
+        while True:
+            ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+            both = now.select(ways.alias("e")).select("e.u", "e.v")
+            large = scratch.written(_least(both).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+            # u's neighbours and u itself all point to m
+            ends = F.explode(F.array("v", "u")).alias("w")
+            small = _least(large).select(ends, "m").filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v"))
+            before, now = now, scratch.written(small.distinct())
+            seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            scratch.drop(before, large)
+            if tuple(seen) == state:
+                break
+            state = tuple(seen)
+        ends = F.explode(F.array("u", "v")).alias("node")
+        return written(now.select(ends, F.col("v").alias("component")).distinct())

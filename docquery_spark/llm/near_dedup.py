@@ -6,36 +6,41 @@ kept within 0..q+1. Registers of a union are register-wise maxima, and equal reg
 likely as the sets are similar, so bands of register values find candidates. With BANDS bands of ROWS
 registers a pair at the threshold 0.8 is missed with probability below 1e-6.
 
-Candidates are verified in two steps: the joint likelihood of the registers (counts of larger,
-smaller and equal ones, and both set sizes) gives an estimate, pairs far below the threshold go
-(6 standard errors, so none above it is lost), the others are compared on their full sets of words.
-
-No step makes all pairs of a bucket. Copies (texts equal but for the case of A-Z) are one node from
-the start. Then (1) each member of a bucket is compared to the bucket's least member; (2) members
-that aren't yet in the same component, to a random member, another in each band; (3) whatever
-members of a bucket are still apart are compared in blocks by their registers, and the pairs that
-come near are verified. After (3) no two members of a bucket are apart and uncompared.
+Candidates are verified: the joint likelihood of the registers (counts of larger, smaller and equal
+ones, and both set sizes) gives an estimate, pairs far below the threshold go (6 standard errors, so
+none above it is lost), the others are compared on their full sets of words.
+
+Equal texts (but for the case of A-Z) are one node from the start, named by a number of its own, and
+buckets with the same nodes are one. Then (1) each node is compared to one other, the least of all its
+buckets, which joins most of a large group; (2) in buckets whose nodes are still apart, registers of
+nodes of different components are held against each other, in cells of two blocks; only which nodes
+came near and the components thus connected leave a cell, never pairs; (3) connected components
+make families, and near nodes of a family that are of different components are compared on their
+full sets, in cells again: each text goes once to each block that it is to meet, and a cell gives out
+no more links than join what it holds. The largest component's nodes aren't compared with each
+other, so a group that step 1 has joined costs no more than its distance to the rest. Any two nodes
+that share a bucket are thus in one component, or ruled out by their registers, or compared.
 
 Nulls: a null text or a text without words has an empty set and is linked with nothing; a row with a
-null doc_id can't be named by others: it stays, alone, with a null component. Documents with fewer
-than ``k`` words have one shingle, all their words. Repeated rows are one node and get a row each.
-Documents that share a doc_id but not the text are nodes of their own, named alike, so they share a
-component. An empty table gives an empty result. Other columns are ignored by :func:`clusters` and
-kept by :func:`survivors`.
+null doc_id is a document like others, its id comes after all others, and a group of such rows has a
+null component. Documents with fewer than ``k`` words have one shingle, all their words. Repeated rows
+are one node and get a row each. Documents that share a doc_id but not the text are nodes of their
+own. An empty table gives an empty result. Other columns are ignored by :func:`clusters` and kept by
+:func:`survivors`, where of a group's rows that agree in doc_id and text any one stays.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import by_salted_key, free_name, lower_az, salt_bits, salt_of, written
+from ._frames import Scratch, by_salted_key, free_name, lower_az, quoted, salt_bits, salt_of, written
 from ._words import mix64
 from .components import components
 
@@ -43,7 +48,8 @@ BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate, and the limit of 16-bit registers.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-BLOCK = 512
+#: Most rows of a block, in the mean, and most bytes of texts.
+BLOCK, CELL_BYTES = 512, 4 << 20
 MEMO_WORDS = 300_000
 CHUNK = 1 << 15
 _memo: dict[bytes, int] = {}
@@ -107,15 +113,6 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / math.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
 
-def band_hashes(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each band of each row."""
-    r = regs.astype(np.uint64).reshape(len(regs), BANDS, ROWS)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(regs), BANDS)) * _F
-    for j in range(ROWS):
-        out = mix64(out * _F + r[:, :, j])
-    return out.view(np.int64)
-
-
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Most likely similarity of each pair of register rows, given both set sizes."""
     more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
@@ -144,107 +141,280 @@ def _least_estimate(threshold: float) -> float:
 
 
 def _sketch(k: int):
-    def run(batches):
-        for pdf in batches:
-            sets = [shingle_hashes(b"" if t is None else bytes(t), k) for t in pdf.pop("text")]
+    @F.pandas_udf("n_shingles long, regs binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingle_hashes(b"" if t is None else bytes(t), k) for t in texts]
             some = [i for i, s in enumerate(sets) if len(s)]
-            regs = registers([sets[i] for i in some])
             out = [None] * len(sets)
-            for i, row in zip(some, regs, strict=True):
+            for i, row in zip(some, registers([sets[i] for i in some]), strict=True):
                 out[i] = row.tobytes()
-            yield pdf.assign(n_shingles=np.array([len(s) for s in sets], dtype=np.int64), regs=pd.Series(out, index=pdf.index, dtype=object))
+            yield pd.DataFrame({"n_shingles": np.array([len(s) for s in sets], dtype=np.int64), "regs": pd.Series(out, dtype=object)})
 
     return run
 
 
-def _bands(batches):
-    for pdf in batches:
-        regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(len(pdf), REGISTERS)
-        yield pd.DataFrame({"band": band_hashes(regs).ravel(), "id": np.repeat(pdf["rep"].to_numpy(), BANDS)})
-
+def _memberships(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, node, least): the buckets that hold several nodes; of buckets with the same nodes one."""
+    bands = [F.xxhash64(F.lit(j), F.substring("regs", 2 * ROWS * j + 1, 2 * ROWS)) for j in range(BANDS)]
+    banded = nodes.select(F.explode(F.array(*bands)).alias("bucket"), "node")
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket")
+    members = scratch.written(banded.join(shared, "bucket"))
+    same = ("x", "y", "least", "bits")  # salts follow from the nodes, so they agree where the nodes do
+    marks = members.groupBy("bucket").agg(
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        F.min("node").alias("least"), salt_bits(salt_of("node")).alias("bits"),
+    )
+    kept = marks.groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "least", "bits")
+    out = scratch.written(by_salted_key(members.withColumn("salt", salt_of("node")), kept, ["bucket"], "bits").drop("salt"))
+    scratch.drop(members)
+    return out
 
-def _regs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint16).reshape(-1, REGISTERS)
 
+def _leads(rows: DataFrame, group: str) -> DataFrame:
+    """rows: (group, node, component) -> with ``lead``: not of the component that most rows of the group are of.
 
-def _attach(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs (a, b) with columns of both nodes; ``a``, often the same, is dealt over salts."""
-    salted = pairs.withColumn("salt", salt_of("b"))
-    heads = salted.groupBy("a").agg(salt_bits(F.col("salt")).alias("bits")).join(
-        table.select(F.col("rep").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns]), "a"
-    )
-    both = by_salted_key(salted, heads, ["a"], "bits").drop("salt")
-    return both.join(table.select(F.col("rep").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns]), "b")
+    Groups of one component are left out.
+    """
+    by = rows.groupBy(group, "component").agg(F.count("*").alias("n"), salt_bits(salt_of("node")).alias("bits"))
+    main = by.groupBy(group).agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components"), F.bit_or("bits").alias("bits")
+    ).filter("components > 1").drop("components")
+    met = by_salted_key(rows.withColumn("salt", salt_of("node")), main, [group], "bits")
+    return met.withColumn("lead", F.col("component") != F.col("main")).drop("main", "salt")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose registers don't rule the threshold out."""
-    least = _least_estimate(threshold)
+def _cells(rows: DataFrame, group: str) -> DataFrame:
+    """rows: (group, node, lead, size) -> a row for each cell: (i, j, block, inside) besides all columns.
 
-    def run(batches):
+    A group's lead rows are to meet each other and all the rest; the rest don't meet. Both are dealt
+    into blocks of BLOCK rows or CELL_BYTES in the mean; cell (i, j) holds block i, a lead one, and
+    block j. ``inside``: the lead rows of the cell are to meet each other in it.
+    """
+    def blocks(lead):
+        n = F.greatest(F.count_if(lead) / BLOCK, F.sum(F.when(lead, F.col("size")).otherwise(0)) / CELL_BYTES)
+        return F.ceil(n).cast("int")
+
+    is_lead = F.col("lead")
+    counts = rows.groupBy(group).agg(blocks(is_lead).alias("p"), blocks(~is_lead).alias("q"), salt_bits(salt_of("node")).alias("bits"))
+    met = by_salted_key(rows.withColumn("salt", salt_of("node")), counts, [group], "bits").drop("salt")
+    own = F.when(is_lead, F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))).cast("int")
+    last = F.when(is_lead, F.col("p") + F.col("q")).otherwise(F.col("p")) - 1
+    met = met.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    # where there is one lead block, its rows meet in each of its cells with others
+    met = met.filter("not (p = 1 and q > 0 and lead and other = 0)")
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    return met.withColumns({"i": i, "j": j, "inside": (i == j) | (F.col("p") == 1)}).drop("other", "p", "q")
+
+
+def _by_cell(cells: DataFrame, group: str, run, schema: str) -> DataFrame:
+    """``run`` gets a dictionary of arrays, the rows of one cell, and gives a data frame or None."""
+    key, columns = [group, "i", "j"], [c for c in cells.columns if c not in (group, "i", "j")]
+
+    def each(batches):
+        held = None
         for pdf in batches:
-            if len(pdf):
-                near = estimate(_regs(pdf["regs_a"]), _regs(pdf["regs_b"]), pdf["n_shingles_a"].to_numpy(), pdf["n_shingles_b"].to_numpy()) >= least
-                yield pdf.loc[near, ["a", "b"]]
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            at = pdf[key].to_numpy()
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1)]
+            arrays = {c: pdf[c].to_numpy() for c in columns}
+            found = [run({c: a[x:y] for c, a in arrays.items()}) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            if found := [f for f in found if f is not None]:
+                yield pd.concat(found)
+            held = pdf.iloc[cuts[-1] :]  # a cell may go on in the next batch
+        if held is not None:
+            found = run({c: held[c].to_numpy() for c in columns})
+            if found is not None:
+                yield found
+
+    return cells.repartition(*key).sortWithinPartitions(*key).mapInPandas(each, schema)
+
+
+def _meetings(cell: dict):
+    """(row, rows that it is to meet) of a cell; ``label`` of the cell is looked up as it is by then."""
+    lead = cell["lead"].astype(bool)
+    leads, rest = np.flatnonzero(lead), np.flatnonzero(~lead)
+    if not cell["inside"].all():  # two lead blocks
+        low = cell["block"] == cell["block"].min()
+        if lead.all():
+            leads, rest = np.flatnonzero(low), np.flatnonzero(~low)
+    for n, a in enumerate(leads):
+        others = np.concatenate((leads[n + 1 :], rest)) if cell["inside"].all() else rest
+        others = others[cell["label"][others] != cell["label"][a]]
+        if len(others):
+            yield a, others
+
+
+def _join(cell: dict, a: int, b: int) -> None:
+    label = cell["label"]
+    label[label == label[b]] = label[a]
+
+
+def _near_cell(threshold: float):
+    """Nodes of a bucket's cell that are near one of another component, and a component that both are to be looked at with."""
+    least = math.floor(_least_estimate(threshold) * REGISTERS)
+
+    def run(cell):
+        code = np.frombuffer(b"".join(cell["code"]), dtype=np.uint8).reshape(-1, REGISTERS)
+        component = cell["component"]
+        near, found = np.zeros(len(code), dtype=bool), []
+        cell["label"] = component
+        for a, others in _meetings(cell):
+            hit = others[(code[others] == code[a]).sum(axis=1) >= least]
+            if len(hit):
+                near[hit] = near[a] = True
+                found.append((a, hit))
+        if not found:
+            return None
+        cell["label"] = component.copy()
+        for a, hit in found:
+            for b in hit:
+                if cell["label"][a] != cell["label"][b]:
+                    _join(cell, a, b)
+        return pd.DataFrame({"node": cell["node"], "component": component, "family": cell["label"]})[near]
 
-    return _attach(pairs, nodes, ["regs", "n_shingles"]).mapInPandas(run, "a long, b long")
+    return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
+def _shingle_numbers(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Each text's set as distinct numbers; equal numbers are equal shingles, not merely equal hashes."""
+    ids: dict[bytes, int] = {}
+    words = [np.array([ids.setdefault(w, len(ids)) for w in t.lower().split()], dtype=np.int64) for t in texts]
+    sizes = np.array([len(w) for w in words])
+    flat = np.concatenate(words) if words else np.empty(0, dtype=np.int64)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # words from here to the text's end
+    rank, at = flat, np.arange(len(flat))
+    for j in range(1, k):
+        go = left[at] > j
+        # a text of fewer words is one shingle of its own length
+        whole = ~go & (sizes[doc[at]] <= j) & (left[at] == sizes[doc[at]])
+        keep = go | whole
+        at, rank = at[keep], rank[keep]
+        step = np.where(left[at] > j, flat[np.minimum(at + j, len(flat) - 1)] + 1, 0)
+        _, rank = np.unique(rank * (len(ids) + 1) + step, return_inverse=True)
+    order = np.lexsort((rank, doc[at]))
+    own, number = doc[at][order], rank[order]
+    first = np.ones(len(own), dtype=bool)
+    first[1:] = (own[1:] != own[:-1]) | (number[1:] != number[:-1])
+    own, number = own[first], number[first]
+    return np.split(number, np.searchsorted(own, np.arange(1, len(texts)))) if len(texts) else []
+
+
+def _link_cell(k: int, percent: int):
+    """Links of a cell's nodes, by full sets: enough of them to join whatever is linked."""
+    lowest = _least_estimate(percent / 100)
+    least = math.floor(lowest * REGISTERS)
+
+    def run(cell):
+        regs = np.frombuffer(b"".join(cell["regs"]), dtype=np.uint16).reshape(-1, REGISTERS)
+        n = cell["n_shingles"].astype(np.int64)
+        cell["label"] = cell["component"].copy()
+        near = []
+        for a, others in _meetings(cell):
+            others = others[(100 * np.minimum(n[a], n[others]) >= percent * np.maximum(n[a], n[others]))]
+            others = others[(regs[others] == regs[a]).sum(axis=1) >= least]
+            if len(others):
+                own = np.broadcast_to(regs[a], (len(others), REGISTERS))
+                others = others[estimate(own, regs[others], np.full(len(others), n[a]), n[others]) >= lowest]
+            if len(others):
+                near.append((a, others))
+        if not near:
+            return None
+        wanted = np.unique(np.concatenate([np.append(o, a) for a, o in near]))
+        sets = dict(zip(wanted.tolist(), _shingle_numbers([bytes(cell["text"][i]) for i in wanted], k), strict=True))
+        mark = np.zeros(1 + max(int(s[-1]) for s in sets.values()), dtype=bool)
+        found = []
+        for a, others in near:
+            others = others[cell["label"][others] != cell["label"][a]]
+            if not len(others):
+                continue
+            mark[sets[a]] = True
+            both = np.array([np.count_nonzero(mark[sets[b]]) for b in others.tolist()])
+            mark[sets[a]] = False
+            for b in others[100 * both >= percent * (n[a] + n[others] - both)]:
+                if cell["label"][a] != cell["label"][b]:
+                    _join(cell, a, b)
+                    found.append((cell["node"][a], cell["node"][b]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else None
 
-    def run(batches):
-        sets = lru_cache(64)(lambda t: shingle_set(t, k))
-        for pdf in batches:
-            keep = np.zeros(len(pdf), dtype=bool)
-            for i, (ta, tb) in enumerate(zip(pdf["text_a"], pdf["text_b"], strict=True)):
-                a, b = sets(bytes(ta)), shingle_set(bytes(tb), k)
-                if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                    both = len(a & b)
-                    keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield pdf.loc[keep, ["a", "b"]]
+    return run
 
-    return _attach(pairs, texts, ["text"]).mapInPandas(run, "a long, b long")
 
+def _links(rows: DataFrame, group: str, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """rows: (group, node, component, lead, size) -> (a, b): links of lead rows with all others of their group."""
+    cells = _cells(rows, group).drop("size").join(texts, "node")
+    return _by_cell(cells, group, _link_cell(k, percent), "a long, b long")
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with labels, of buckets that hold more than one component."""
-    rows = written(
-        members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    )
-    open_ = rows.groupBy("band").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), salt_bits(salt_of("id")).alias("bits")
-    ).filter("lo < hi and n > 2").select("band", "n", "bits")
-    return by_salted_key(rows.withColumn("salt", salt_of("id")), open_, ["band"], "bits")
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the component of their node, which is the node itself where labels has none."""
+    own = labels.select("node", F.col("component").alias("_found"))
+    return rows.join(own, "node", "left").withColumn("component", F.coalesce("_found", "node")).drop("_found")
 
-def _in_blocks(apart: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in one bucket, by blocks of BLOCK members.
 
-    Pairs with so few equal registers that their estimate can't reach the limit are left out here.
-    """
-    least = int((_least_estimate(threshold) - 0.06) * REGISTERS)
-    rows = apart.join(nodes.select(F.col("rep").alias("id"), "regs"), "id")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK).cast("int")).cast("int")
-    packed = rows.groupBy("band", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "component", "regs"))).alias("m"))
-    packed = packed.select(
-        "band", "block", F.col("m.id").alias("ids"), F.col("m.component").alias("comps"), F.col("m.regs").alias("regs")
-    )
-    other = packed.select("band", *[F.col(c).alias(f"{c}_y") for c in ("block", "ids", "comps", "regs")])
-    pairs = packed.join(other, "band").filter("block <= block_y").drop("band", "block", "block_y")
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row a document: doc_id, copy (hash of its text), n_shingles, component_id, stays.
 
-    def run(batches):
-        for pdf in batches:
-            found = []
-            for ids, comps, regs, ids_y, comps_y, regs_y in pdf[["ids", "comps", "regs", "ids_y", "comps_y", "regs_y"]].itertuples(index=False):
-                ids_y, comps_y, rows_y = np.asarray(ids_y), np.asarray(comps_y), _regs(regs_y)
-                for i, comp, row in zip(ids, comps, _regs(regs), strict=True):
-                    near = (comps_y != comp) & ((rows_y == row).sum(axis=1) >= least)
-                    found += [(min(i, j), max(i, j)) for j in ids_y[near].tolist()]
-            if found:
-                yield pd.DataFrame(sorted(set(found)), columns=["a", "b"])
-
-    return pairs.mapInPandas(run, "a long, b long").distinct()
+    ``stays`` is true for one (doc_id, copy) of each group. A written table.
+    """
+    threshold = percent / 100
+    body = _body("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(body)).alias("copy"), body.alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        sketched = rows.select("doc_id", "copy", F.octet_length("text").cast("long").alias("size"), _sketch(k)("text").alias("s"))
+        sketched = scratch.written(sketched.select("doc_id", "copy", "size", "s.n_shingles", "s.regs"))
+        usable = sketched.filter("n_shingles > 0")
+        salt = salt_bits(salt_of("doc_id")).alias("bits")
+        copies = usable.groupBy("copy", "size", "n_shingles", "regs").agg(F.min("doc_id").alias("least_id"), salt)
+        # numbers that are given once and for all by writing them down
+        nodes = scratch.written(copies.withColumn("node", F.monotonically_increasing_id()))
+        members = _memberships(nodes, scratch)
+        sharing = scratch.written(nodes.join(members.select("node").distinct(), "node", "left_semi"))
+
+        wanted = sharing.select(F.col("copy").alias("c"), F.col("least_id").alias("i"), "node", "n_shingles", "regs")
+        found = rows.join(wanted, (F.col("copy") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("i")))
+        texts = scratch.written(found.select("node", "n_shingles", "regs", "text").dropDuplicates(["node"]))
+
+        # 1. each node and the least one of all its buckets
+        pairs = members.filter("least < node").groupBy("node").agg(F.min("least").alias("hub"))
+        star = pairs.select("hub", "node", F.lit(False).alias("lead")).unionByName(
+            pairs.select("hub", F.col("hub").alias("node"), F.lit(True).alias("lead")).distinct()
+        )
+        star = scratch.written(star.join(sharing.select("node", "size"), "node").withColumn("component", F.col("node")))
+        links = scratch.written(_links(star, "hub", texts, k, percent))
+        labels = components(links)
+        # 2. nodes of different components that come near in a bucket, and families that hold all such
+        code = F.unhex(F.regexp_replace(F.hex("regs"), "(..)..", "$1"))  # the lower byte of each register
+        apart = scratch.written(_leads(_labelled(members.select("bucket", "node"), labels), "bucket").withColumn("size", F.lit(REGISTERS)))
+        apart = _cells(apart, "bucket").join(sharing.select("node", code.alias("code")), "node")
+        near = scratch.written(_by_cell(apart, "bucket", _near_cell(threshold), "node long, component long, family long"))
+        if not near.isEmpty():
+            families = components(near.select(F.col("component").alias("a"), F.col("family").alias("b")))
+            active = near.select("node", "component").distinct().join(families.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
+            # 3. the near ones of a family, by their full sets
+            met = _leads(active.join(sharing.select("node", "size"), "node"), "family")
+            more = scratch.written(_links(scratch.written(met), "family", texts, k, percent))
+            if not more.isEmpty():
+                labels = components(links.unionByName(more))
+        placed = _labelled(nodes.select("node", "copy", "least_id", "bits"), labels)
+        best = F.min_by(F.struct("least_id", "copy"), F.struct(F.col("least_id").isNull(), "least_id", "copy"))
+        groups = placed.groupBy("component").agg(best.alias("head"))
+        placed = placed.join(groups, "component").select("copy", "head", "bits")
+        linked = by_salted_key(usable.select("doc_id", "copy", "n_shingles").withColumn("salt", salt_of("doc_id")), placed, ["copy"], "bits")
+        linked = linked.select(
+            "doc_id", "copy", "n_shingles", F.col("head.least_id").alias("component_id"),
+            (F.col("doc_id").eqNullSafe(F.col("head.least_id")) & (F.col("copy") == F.col("head.copy"))).alias("stays"),
+        )
+        alone = sketched.filter("n_shingles = 0").select("doc_id", "copy", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+        return written(linked.unionByName(alone))
+
+
+def _body(text: str):
+    return lower_az(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary")
 
 
 def clusters(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
@@ -252,67 +422,22 @@ def clusters(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
 
     Documents are linked when 100 * intersection >= percent * union of their sets.
     """
-    threshold = percent / 100
-    body = lower_az(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(body)).alias("copy"), body.alias("text"))
-    sketched = written(rows.mapInPandas(_sketch(k), "doc_id long, copy binary, n_shingles long, regs binary"))
-    usable = sketched.filter("doc_id is not null and n_shingles > 0")
-    copies = usable.withColumn("salt", salt_of("doc_id")).groupBy("copy").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"),
-        salt_bits(F.col("salt")).alias("bits"),
-    )
-    copies = written(copies)
-    nodes = copies.select("rep", "n_shingles", "regs")
-
-    banded = nodes.mapInPandas(_bands, "band long, id long")
-    buckets = banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most"), salt_bits(salt_of("id")).alias("bits"))
-    members = written(
-        by_salted_key(banded.withColumn("salt", salt_of("id")), buckets.filter("least < most").drop("most"), ["band"], "bits")
-        .select("band", "id", "least")
-    )
-    first = written(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
-    tested = written(_near(first, nodes, threshold))
-
-    # the texts that comparisons may need, fetched once: those of documents that share a bucket
-    wanted = copies.select("copy", F.col("rep").alias("doc_id")).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = written(
-        rows.join(wanted, ["doc_id", "copy"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
-    )
-    links = written(_links(tested, texts, k, percent))
-    labels = written(components(links))
-    for step in ("random", "blocks"):
-        apart = written(_apart(members.select("band", "id"), labels))
-        if apart.isEmpty():
-            break
-        if step == "blocks":
-            pairs = _in_blocks(apart, nodes, threshold)
-        else:
-            draw = F.xxhash64("band", "id")
-            heads = apart.groupBy("band").agg(
-                F.min_by(F.struct("id", "component"), F.struct(draw, "id")).alias("head"), salt_bits(F.col("salt")).alias("bits")
-            )
-            met = by_salted_key(apart.drop("bits"), heads, ["band"], "bits").filter("component <> head.component")
-            pairs = met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
-        # cut here and below: what follows reads its input several times
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
-        near = written(_near(pairs, nodes, threshold))
-        more = written(_links(near, texts, k, percent))
-        tested = tested.unionByName(near)
-        if not more.isEmpty():
-            old = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = written(components(old.unionByName(more)))
-    placed = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "copy", F.coalesce("component", "rep").alias("component_id"), "bits"
-    )
-    linked = by_salted_key(usable.select("doc_id", "copy", "n_shingles").withColumn("salt", salt_of("doc_id")), placed, ["copy"], "bits")
-    alone = sketched.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("stays"))
+    return _grouped(docs, k, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, with all their columns; rows that repeat a doc_id stay as one."""
-    name = free_name(docs, "stays")
-    kept = clusters(docs, k, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    """One document of each group, the one with the least doc_id, with all its columns.
+
+    Texts without words are in no group: all of them stay.
+    """
+    own, doc, copy, times = (free_name(docs, x) for x in ("own_copy", "stay_id", "stay_copy", "stay_times"))
+    grouped = _grouped(docs, k, percent).filter("stays and n_shingles > 0")
+    stay = grouped.groupBy(F.col("doc_id").alias(doc), F.col("copy").alias(copy)).agg(F.count("*").alias(times))
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    marked = docs.withColumn(own, F.unhex(F.md5(_body("text"))))
+    match = (F.col(own) == F.col(copy)) & F.col("doc_id").eqNullSafe(F.col(doc))
+    found = marked.join(stay, match)
+    one = found.filter(F.col(times) == 1).unionByName(found.filter(F.col(times) > 1).dropDuplicates([own, "doc_id"]))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return one.select(*columns).unionByName(docs.filter(wordless).select(*columns))

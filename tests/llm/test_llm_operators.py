@@ -502,12 +502,74 @@ def test_near_dedup_chains(spark):
 
 
 def test_near_dedup_odd_rows(odd, empty):
+    rows = [(r["doc_id"], low(r["text"])) for r in odd.collect()]
+    texts = sorted({t for _, t in rows})
+    named = brute_clusters(list(enumerate(texts)), 2, 80)
+    least = defaultdict(list)
+    for i, t in rows:
+        least[named[texts.index(t)][1]].append(i)
+    want = Counter()
+    for i, t in rows:
+        n, c, _ = named[texts.index(t)]
+        want[i, n, min((x for x in least[c] if x is not None), default=None) if n else i] += 1
     got = near_dedup.clusters(odd).collect()
-    assert len(got) == odd.count()
-    assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
-    left = near_dedup.survivors(odd)
-    assert left.columns == odd.columns and left.filter("doc_id = 10").count() <= 1
-    assert near_dedup.clusters(empty).count() == 0
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+    left = near_dedup.survivors(odd, 2)
+    assert left.columns == odd.columns
+    stay = [named[texts.index(low(r["text"]))] for r in left.collect()]
+    filled = [c for n, c, _ in stay if n]
+    assert sorted(filled) == sorted({c for n, c, _ in named.values() if n})
+    assert len(stay) - len(filled) == sum(not t.split() for _, t in rows)
+    assert near_dedup.clusters(empty).count() == 0 and near_dedup.survivors(empty).count() == 0
+
+
+def test_near_dedup_of_one_id_with_two_texts(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    big = (1 << 53) + 1
+    rows = [(5, a), (5, b), (9, a + " x"), (11, b + " x"), (big, "one two"), (None, "one two"), (big + 2, "three"), (None, "four"), (None, "four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.clusters(docs).collect())
+    assert got == Counter([(5, 5, True), (5, 5, True), (9, 5, False), (11, 5, False), (big, big, True), (None, big, False), (big + 2, big + 2, True), (None, None, True), (None, None, True)])
+    left = Counter((r["doc_id"], r["text"]) for r in near_dedup.survivors(docs, 2).collect())
+    assert left == Counter([(5, a), (5, b), (big, "one two"), (big + 2, "three"), (None, "four")])
+
+
+def test_near_dedup_in_many_cells(docs, rows, monkeypatch):
+    """Blocks of two rows, so that buckets and families are dealt over many cells."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    want = brute_clusters([(r[0], r[1]) for r in rows], 2, 80)
+    got = {r["doc_id"]: tuple(r)[1:] for r in near_dedup.clusters(docs, 2, 80).collect()}
+    assert got == want
+
+
+def test_near_dedup_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.82, each a component of its own: all are found."""
+    r = random.Random(8)
+    rows, linked = [], 0
+    for i in range(1500):
+        w = [f"{i}_{j}" for j in range(60)]
+        x = list(w)
+        for j in r.sample(range(1, 59), 6):
+            x[j] = f"{i}_{j}_other"
+        sets = [near_dedup.shingle_set(" ".join(t).encode(), 1) for t in (w, x)]
+        linked += 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(x + w[:5]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.clusters(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert linked == 1500 and sum(got[2 * i + 1] == 2 * i for i in range(1500)) == 1500
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_shingle_numbers_are_exact(k):
+    r = random.Random(k)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 12))).encode() for _ in range(40)]
+    sets = near_dedup._shingle_numbers(texts, k)
+    want = [near_dedup.shingle_set(t, k) for t in texts]
+    for a in range(40):
+        assert len(sets[a]) == len(want[a])
+        for b in range(a):
+            assert len(set(sets[a]) & set(sets[b])) == len(want[a] & want[b])
 
 
 def test_setsketch_estimates_similarity():
