@@ -1,252 +1,148 @@
 """LM scoring by cross-entropy difference of two matched bigram models.
 
-The background model counts all documents, the target model the target ones; both share one
-vocabulary (the VOCABULARY most frequent words of the corpus; any other word, and one of more than
-MAX_WORD bytes, is unknown; so is one seen once) and one smoothing (bigram, unigram and uniform parts, interpolated).
-A word's loss difference is its target loss less its background loss, in nats; a document's score
-is the mean over its words, so lower is closer to the target text.
-
-Documents are dealt once into groups of a few MB. Each group sends its distinct bigrams with both
-counts to the shards that own them; a shard adds up the counts of all groups and sends each group
-back one loss difference for each bigram it asked for, in the order asked. Counts over the whole
-corpus thus never meet in one place: shards and groups grow in number with the input.
+The background model counts all documents, the target model the target ones. Both share one
+vocabulary, every word of the corpus, whatever its frequency and the corpus's size, and one
+smoothing: bigram and unigram parts of the model's own counts, and a small part of the corpus's word
+frequencies, which no word of it is without. A word's loss difference is its target loss less its
+background loss, in nats; a document's score is the mean over its words, so lower is closer to the
+target text.
+
+Documents are dealt once into groups of a few MB. Each group sends its distinct words and bigrams, by
+64-bit hashes, with both counts to the shards that own them (see ``_exchange``), and gets the counts
+over the whole corpus back. Counts thus never meet in one place: shards and groups grow in number
+with the input, and no table of words is held or broadcast. Two n-grams with one hash, of which
+there are about n * n / 2 ** 65 among n, are counted as one.
 
 Nulls: a null text has no words; a document without words has a null score; a null doc_id is scored
 and never a target. Repeated rows count, and are scored, each. Documents that share an id are all
-targets if the id is. Words that tie for the last places of the vocabulary all stay out. An empty
-table gives an empty result; without target documents the target model is uniform. Columns besides
-doc_id and text are ignored.
+targets if the id is. An empty table gives an empty result; without target documents the target
+model is the corpus's word frequencies. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from zlib import crc32
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import checkpoint, text_bytes
-from ._words import words
+from ._exchange import ASKS, Protocol, ask, levels, packed, parts, unpacked
+from ._frames import text_bytes
+from ._words import WordHashes, mix64, words
 
-VOCABULARY = 32766
-BITS = 15
-START, UNKNOWN = 0, 1
-MAX_WORD = 64
-#: Weights of the bigram, unigram and uniform parts.
+#: Weights of the bigram part, the unigram part, and the corpus's word frequencies.
 WEIGHTS = (0.6, 0.399, 0.001)
 GROUP_BYTES = 8 << 20
 LEAST_GROUPS = 32
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Keys of the number of words, and of the start of a document as a word.
+TOTAL, START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_hashes = WordHashes(b"lm")
 
 
 def _deal(docs: DataFrame, targets: DataFrame, groups: int) -> DataFrame:
     """Documents, and a row with a null text and mark for each target id, by group."""
-    g = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(False).alias("mark"))
-    marks = targets.filter("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"), F.lit(True).alias("mark")
-    )
-    return own.unionByName(marks).select("*", g).repartition(groups, "g")
+    number = F.col("doc_id").cast("long").alias("doc_id")
+    own = docs.select(number, F.col("text").cast("binary").alias("text"), F.lit(False).alias("mark"))
+    marks = targets.filter("doc_id is not null").select(number, F.lit(None).cast("binary").alias("text"), F.lit(True).alias("mark")).distinct()
+    # rows without an id are never targets, so that their text can deal them; ids pass Python as plain numbers
+    g = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(groups))
+    rows = own.unionByName(marks).select(g.cast("int").alias("g"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text", "mark")
+    return rows.repartition(groups, "g")
 
 
-def _documents(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    """The documents of a group and which are targets."""
-    marked = pdf["mark"].to_numpy(dtype=bool)
-    own = pdf[~marked]
-    return own, (own["doc_id"].isin(pdf.loc[marked, "doc_id"]) & own["doc_id"].notna()).to_numpy(dtype=bool)
+class _Group:
+    """Documents of a group: the keys of their words and bigrams, and which belong to targets."""
 
+    def __init__(self, pdf: pd.DataFrame):
+        marked = pdf["mark"].to_numpy(dtype=bool)
+        self.own = pdf[~marked]
+        self.target = (self.own["doc_id"].isin(pdf.loc[marked, "doc_id"]) & self.own["named"]).to_numpy(dtype=bool)
+        self.sizes = np.zeros(len(self.own), dtype=np.int64)
+        before, now = [], []
+        for i, text in enumerate(self.own["text"]):
+            h = _hashes.array(words(text))
+            self.sizes[i] = len(h)
+            if len(h):
+                before += [START[None], h[:-1]]
+                now.append(h)
+        empty = [np.empty(0, dtype=np.uint64)]
+        self.before, self.word = np.concatenate([*empty, *before]), np.concatenate([*empty, *now])
+        self.pair = mix64(mix64(self.before) * _FACTOR + self.word)
 
-def _count_words(shards: int):
-    """Words of a group with both counts, packed by the shard of the word's hash."""
+    def asked(self) -> dict[str, np.ndarray]:
+        """Sorted distinct keys with their counts in all documents, and in targets."""
+        aim = np.repeat(self.target, self.sizes)
+        starts, started = np.count_nonzero(self.sizes), np.count_nonzero(self.sizes[self.target])
+        key = np.concatenate((self.word, self.pair, [START, TOTAL]))
+        n = np.concatenate((np.ones(2 * len(aim), dtype=np.int64), [starts, len(aim)]))
+        t = np.concatenate((aim, aim, [started, aim.sum()])).astype(np.int64)
+        return _summed([{"key": key, "n": n, "aimed": t}])
 
-    def run(key, pdf):
-        own, target = _documents(pdf)
-        every, aimed = Counter(), Counter()
-        for text, t in zip(own["text"], target, strict=True):
-            found = words(text)
-            every.update(found)
-            if t:
-                aimed.update(found)
-        parts: dict[int, list[bytes]] = {}
-        for w in every:
-            # words that are too long are counted together, without a name
-            parts.setdefault(crc32(w) % shards if len(w) <= MAX_WORD else -1, []).append(w)
-        rows = []
-        for s, own_words in parts.items():
-            n, t = np.array([every[w] for w in own_words]), np.array([aimed[w] for w in own_words])
-            names = b" ".join(own_words)
-            if s < 0:
-                s, names, n, t = 0, b"", n.sum(keepdims=True), t.sum(keepdims=True)
-            rows.append((s, names, _planes(n), _planes(t)))
-        return pd.DataFrame(rows, columns=["shard", "names", "n", "aimed"])
 
-    return run
+def _summed(pieces: list[dict]) -> dict[str, np.ndarray]:
+    key = np.concatenate([p["key"] for p in pieces])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sums = {c: np.add.reduceat(np.concatenate([p[c] for p in pieces]).astype(np.uint64)[order], heads) for c in ("n", "aimed")}
+    return {"key": key[heads], **sums}
 
 
-def _merge_words(key, pdf):
-    """One shard's words over all groups: names and counts of those seen twice or more, and sums of all."""
-    every, aimed, total = {}, {}, [0, 0]
-    for names, n, t in zip(pdf["names"], pdf["n"], pdf["aimed"], strict=True):
-        n, t = _unplanes(n).tolist(), _unplanes(t).tolist()
-        total = [total[0] + sum(n), total[1] + sum(t)]
-        for w, x, y in zip(names.split(b" ") if names else (), n, t, strict=False):
-            every[w] = every.get(w, 0) + x
-            if y:
-                aimed[w] = aimed.get(w, 0) + y
-    kept = [w for w, x in every.items() if x > 1]
-    row = (b" ".join(kept), [every[w] for w in kept], [aimed.get(w, 0) for w in kept], *total)
-    return pd.DataFrame([row], columns=["names", "n", "aimed", "total", "total_aimed"])
-
-
-def _frequent(merged: DataFrame, size: int) -> list:
-    """Rows (word, n, aimed) of the words that are among the ``size`` most frequent; ties for the last places stay out."""
-    times = merged.select(F.explode("n").alias("n")).groupBy("n").agg(F.count("*").alias("words"))
-    upto = times.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n"))))
-    last = upto.filter(F.col("upto") <= size).agg(F.min("n")).first()[0]
-    if last is None:
-        return []
-
-    def run(batches):
-        for pdf in batches:
-            for names, n, aimed in zip(pdf["names"], pdf["n"], pdf["aimed"], strict=True):
-                at = np.flatnonzero(np.asarray(n) >= last)
-                found = names.split(b" ") if names else []
-                yield pd.DataFrame({"word": [found[i] for i in at], "n": np.asarray(n)[at], "aimed": np.asarray(aimed)[at]})
-
-    rows = merged.select("names", "n", "aimed").mapInPandas(run, "word binary, n long, aimed long").collect()
-    return sorted(rows, key=lambda r: bytes(r["word"]))
-
-
-class Vocabulary:
-    """Word numbers, and unigram counts of both models (index 0: starts of documents)."""
-
-    def __init__(self, rows: list, total: int, total_aimed: int, starts: int, starts_aimed: int):
-        self.ids = {bytes(r["word"]): i + 2 for i, r in enumerate(rows)}
-        self.counts = np.zeros((2, len(rows) + 2), dtype=np.int64)
-        self.counts[:, START] = starts, starts_aimed
-        for i, r in enumerate(rows):
-            self.counts[:, i + 2] = r["n"], r["aimed"]
-        self.counts[:, UNKNOWN] = total - self.counts[0, 2:].sum(), total_aimed - self.counts[1, 2:].sum()
-
-    def loss(self, which: int, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """-log probability of bigrams under the background (0) or target (1) model."""
-        before, word = codes >> BITS, codes & ((1 << BITS) - 1)
-        own = self.counts[which]
-        total = max(1, int(own[1:].sum()))
-        two, one, flat = WEIGHTS
-        p = two * counts / np.maximum(own[before], 1) + one * own[word] / total + flat / (len(own) - 1)
-        return -np.log(p)
-
-
-def _bigrams(texts, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all bigrams of the texts, and how many each text has."""
-    get, codes, sizes = ids.get, [], []
-    for text in texts:
-        found = words(text)
-        a = np.fromiter((get(w, UNKNOWN) for w in found), dtype=np.int64, count=len(found))
-        codes.append((np.concatenate(([START], a[:-1])) << BITS) | a if len(a) else a)
-        sizes.append(len(a))
-    return (np.concatenate(codes) if codes else np.empty(0, dtype=np.int64)), np.array(sizes, dtype=np.int64)
-
-
-def _ask(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct codes by the shard that owns them, and where each shard's begin."""
-    found = np.unique(codes)
-    owner = ((found.astype(np.uint64) * _SPREAD) >> np.uint64(33)) % np.uint64(shards)
-    by = np.argsort(owner, kind="stable")
-    return found[by], np.searchsorted(owner[by], np.arange(shards + 1, dtype=np.uint64))
-
-
-def _planes(a: np.ndarray) -> bytes:
-    return a.astype("<u4").view(np.uint8).reshape(len(a), 4).T.tobytes()
-
-
-def _unplanes(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-
-
-def _requests(vocabulary, shards: int):
-    def run(key, pdf):
-        own, target = _documents(pdf)
-        codes, sizes = _bigrams(own["text"], vocabulary.value.ids)
-        asked, cut = _ask(codes, shards)
-        order = np.argsort(asked)
-        n = np.zeros((2, len(asked)), dtype=np.int64)
-        for which, part in enumerate((codes, codes[np.repeat(target, sizes)])):
-            found, times = np.unique(part, return_counts=True)
-            n[which, order[np.searchsorted(asked[order], found)]] = times
-        rows = []
-        for s in range(shards):
-            if cut[s] < cut[s + 1]:
-                at = slice(cut[s], cut[s + 1])
-                rows.append((s, int(key[0]), _planes(np.diff(asked[at], prepend=0)), _planes(n[0, at]), _planes(n[1, at])))
-        return pd.DataFrame(rows, columns=["shard", "g", "codes", "n", "aimed"])
+def _counts(keys: list[np.ndarray], held: dict) -> list[dict]:
+    at = [np.searchsorted(held["key"], k) for k in keys]
+    return [{"n": held["n"][i], "aimed": held["aimed"][i]} for i in at]
 
-    return run
 
+def _answer(path, pieces, askers):
+    return _counts([p["key"] for p in pieces], _summed(pieces))
 
-def _answers(vocabulary):
-    def run(key, pdf):
-        held = [np.cumsum(_unplanes(b)) for b in pdf["codes"]]
-        every = np.unique(np.concatenate(held))
-        n = np.zeros((2, len(every)), dtype=np.int64)
-        for codes, a, b in zip(held, pdf["n"], pdf["aimed"], strict=True):
-            at = np.searchsorted(every, codes)
-            n[0, at] += _unplanes(a)
-            n[1, at] += _unplanes(b)
-        v = vocabulary.value
-        gap = (v.loss(1, every, n[1]) - v.loss(0, every, n[0])).astype(np.float32)
-        rows = [(g, int(key[0]), gap[np.searchsorted(every, codes)].tobytes()) for g, codes in zip(pdf["g"], held, strict=True)]
-        return pd.DataFrame(rows, columns=["g", "shard", "gaps"])
 
-    return run
+def _back(pieces, askers, below):
+    keys = np.unique(np.concatenate([p["key"] for p in pieces]))
+    return _counts([p["key"] for p in pieces], {"key": keys, **below})
+
 
+COUNTS = Protocol(("key", "n", "aimed"), ("n", "aimed"), _summed, _answer, _back)
 
-def _scores(vocabulary, shards: int):
-    def run(key, pdf, answers):
-        own, _ = _documents(pdf)
-        codes, sizes = _bigrams(own["text"], vocabulary.value.ids)
-        asked, _ = _ask(codes, shards)
-        parts = answers.sort_values("shard")["gaps"]
-        gaps = np.frombuffer(b"".join(parts), dtype=np.float32).astype(np.float64)
-        order = np.argsort(asked)
-        each = gaps[order[np.searchsorted(asked[order], codes)]]
-        sums = np.concatenate(([0.0], np.cumsum(each)))
-        ends = np.cumsum(sizes)
-        score = np.where(sizes > 0, (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1), np.nan)
-        out = pd.DataFrame({"doc_id": own["doc_id"].astype("Int64").array, "n_words": sizes, "score": pd.array(score, dtype="Float64")})
-        out["score"] = out["score"].mask(sizes == 0)
-        return out
+
+def _requests(bits: int):
+    def run(key, pdf):
+        asked = _Group(pdf).asked()
+        rows = [(path, int(key[0]), packed(**{c: a[at] for c, a in asked.items()})) for path, at in parts(asked["key"], bits, 64)]
+        return pd.DataFrame(rows, columns=["path", "asker", "body"])
 
     return run
 
 
-def score(docs: DataFrame, targets: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def _scores(key, pdf, answers):
+    group = _Group(pdf)
+    held = {"key": np.unique(np.concatenate((group.word, group.pair, [START, TOTAL])))}
+    some = [unpacked(b, "n", "aimed") for b in answers.sort_values("path")["body"]]
+    for c in ("n", "aimed"):
+        held[c] = np.concatenate([x[c] for x in some]).astype(np.float64)
+    two, one, base = WEIGHTS
+    at = {k: np.searchsorted(held["key"], x) for k, x in (("a", group.before), ("b", group.word), ("ab", group.pair), ("all", TOTAL))}
+    loss = []
+    common = held["n"][at["b"]] / max(1.0, held["n"][at["all"]])
+    for c in ("n", "aimed"):
+        n = held[c]
+        loss.append(-np.log(two * n[at["ab"]] / np.maximum(n[at["a"]], 1) + one * n[at["b"]] / max(1.0, n[at["all"]]) + base * common))
+    sums = np.concatenate(([0.0], np.cumsum(loss[1] - loss[0])))
+    ends = np.cumsum(group.sizes)
+    score = (sums[ends] - sums[ends - group.sizes]) / np.maximum(group.sizes, 1)
+    return pd.DataFrame({"doc_id": group.own["doc_id"].to_numpy(), "named": group.own["named"].to_numpy(), "n_words": group.sizes, "score": score})
+
+
+def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, score (mean loss difference, lower is nearer to targets).
 
     targets: (doc_id) of the target documents.
     """
-    if vocabulary > VOCABULARY:
-        raise ValueError(f"{VOCABULARY} words at most")
-    sc = docs.sparkSession.sparkContext
     groups = max(LEAST_GROUPS, -(-text_bytes(docs) // GROUP_BYTES))
+    bits = levels(groups)
     dealt = _deal(docs, targets, groups)
-    merged = checkpoint(
-        dealt.groupBy("g").applyInPandas(_count_words(groups), "shard int, names binary, n binary, aimed binary")
-        .groupBy("shard").applyInPandas(_merge_words, "names binary, n array<long>, aimed array<long>, total long, total_aimed long")
-    )
-    rows = _frequent(merged, vocabulary)
-    total, aimed = merged.agg(F.sum("total"), F.sum("total_aimed")).first()
-    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    own = docs.filter(worded).select(F.col("doc_id").cast("long").alias("doc_id"))
-    starts = own.count()
-    starts_aimed = own.join(targets.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").count()
-    held = sc.broadcast(Vocabulary(rows, total or 0, aimed or 0, starts, starts_aimed))
-    asked = dealt.groupBy("g").applyInPandas(_requests(held, groups), "shard int, g int, codes binary, n binary, aimed binary")
-    answers = asked.groupBy("shard").applyInPandas(_answers(held), "g int, shard int, gaps binary")
-    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(
-        _scores(held, groups), "doc_id long, n_words long, score double"
-    )
+    asks = dealt.groupBy("g").applyInPandas(_requests(bits[0]), ASKS)
+    answers = ask(asks, bits, COUNTS).withColumn("g", F.col("asker").cast("int"))
+    done = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(_scores, "doc_id long, named boolean, n_words long, score double")
+    return done.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "n_words", F.when(F.col("n_words") > 0, F.col("score")).alias("score"))

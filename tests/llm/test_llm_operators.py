@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquery_spark.llm import (
-    chat, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, token_counts,
+    _exchange, chat, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, token_counts,
 )
 from docquery_spark.llm._words import alnum_words
 from docquery_spark.llm.components import components
@@ -308,40 +308,53 @@ def test_quality_repeats():
 # -- LM scoring
 
 
-def test_lm_score(spark, odd, empty):
-    targets = spark.createDataFrame([(i,) for i in (0, 1, 2, 10, 10, None)], "doc_id long")
-    rows = odd.collect()
-    aim = {0, 1, 2, 10}
-    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for r in rows:
-        uni[0].update(split(r["text"]))
-    named = {w for w, n in uni[0].items() if n > 1 and w != "<s>" and len(w.encode()) <= lm_score.MAX_WORD}
-    name = lambda w: w if w in named else "<unk>"
+def brute_lm(rows, aim):
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for r in rows:
-        w = [name(x) for x in split(r["text"])]
-        for which in range(1 + (r["doc_id"] in aim)):
+    for i, t in rows:
+        w = split(t)
+        for which in range(1 + (i in aim)):
             uni[which].update(w)
-            uni[which]["<s>"] += bool(w)
-            bi[which].update(zip(["<s>", *w], w, strict=False))
-    size = len(named) + 1
-    two, one, flat = lm_score.WEIGHTS
+            uni[which][None] += bool(w)
+            bi[which].update(zip([None, *w], w, strict=False))
+    total = [sum(n for w, n in u.items() if w is not None) for u in uni]
+    two, one, base = lm_score.WEIGHTS
 
     def loss(which, a, b):
-        total = max(1, sum(uni[which].values()) - uni[which]["<s>"])
-        return -math.log(two * bi[which][a, b] / max(1, uni[which][a]) + one * uni[which][b] / total + flat / size)
+        own = two * bi[which][a, b] / max(1, uni[which][a]) + one * uni[which][b] / max(1, total[which])
+        return -math.log(own + base * uni[0][b] / max(1, total[0]))
 
-    got = sorted((tuple(r) for r in lm_score.score(odd, targets).collect()), key=repr)
-    want = []
-    for r in rows:
-        w = [name(x) for x in split(r["text"])]
-        each = [loss(1, a, b) - loss(0, a, b) for a, b in zip(["<s>", *w], w, strict=False)]
-        want.append((r["doc_id"], len(w), sum(each) / len(w) if w else None))
+    out = []
+    for i, t in rows:
+        w = split(t)
+        each = [loss(1, a, b) - loss(0, a, b) for a, b in zip([None, *w], w, strict=False)]
+        out.append((i, len(w), sum(each) / len(w) if w else None))
+    return out
+
+
+@pytest.mark.parametrize("fan", [1, 8])
+def test_lm_score(spark, odd, empty, monkeypatch, fan):
+    """With a fan of one bit the questions go over five levels."""
+    monkeypatch.setattr(_exchange, "FAN", fan)
+    targets = spark.createDataFrame([(i,) for i in (0, 1, 2, 10, 10, None)], "doc_id long")
+    got = [tuple(r) for r in lm_score.score(odd, targets).collect()]
+    want = brute_lm([(r["doc_id"], r["text"]) for r in odd.collect()], {0, 1, 2, 10})
     key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or 0)
     for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-        assert a[:2] == b[:2] and (a[2] is b[2] is None or math.isclose(a[2], b[2], abs_tol=1e-4))
+        assert a[:2] == b[:2] and (a[2] is b[2] is None or math.isclose(a[2], b[2], abs_tol=1e-9))
     assert lm_score.score(empty, targets).count() == 0
-    assert lm_score.score(odd, targets.limit(0), vocabulary=5).count() == len(rows)
+    none = [tuple(r) for r in lm_score.score(odd, targets.limit(0)).collect()]
+    want = brute_lm([(r["doc_id"], r["text"]) for r in odd.collect()], set())
+    assert sorted((r[1], round(r[2] or 0, 6)) for r in none) == sorted((r[1], round(r[2] or 0, 6)) for r in want)
+
+
+BIG = (1 << 53) + 1
+
+
+def test_lm_score_keeps_large_ids_beside_nulls(spark):
+    docs = spark.createDataFrame([(BIG, "a b"), (None, "a b"), (BIG + 2, "c d a"), (None, None)], "doc_id long, text string")
+    targets = spark.createDataFrame([(BIG,)], "doc_id long")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, targets).collect()}
+    assert set(got) == {BIG, BIG + 2, None} and got[BIG] < 0 < got[BIG + 2]
 
 
 # -- chat formatting
