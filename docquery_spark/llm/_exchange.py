@@ -72,6 +72,7 @@ class Protocol:
 
     merge: pieces -> one piece with sorted, distinct keys. answer: (path, pieces, askers) -> answers, one a piece.
     back: (pieces, askers, merged answers of the next level, in the order of the merged keys) -> answers.
+    Rows with a path below 0 ask nobody: they are answered where they first arrive.
     """
 
     asked: tuple[str, ...]
@@ -109,6 +110,8 @@ def _ask(asks: DataFrame, bits: list[int], level: int, p: Protocol) -> DataFrame
     upto, step = sum(bits[: level + 2]), bits[level + 1]
 
     def up(key, pdf):
+        if key[0] < 0:
+            return pd.DataFrame({"path": [], "asker": [], "body": []})
         merged = p.merge(read(pdf))
         rows = [(path, int(key[1]), packed(**{n: a[at] for n, a in merged.items()})) for path, at in parts(merged["key"], upto, p.width)]
         return pd.DataFrame(rows, columns=["path", "asker", "body"])
@@ -117,10 +120,11 @@ def _ask(asks: DataFrame, bits: list[int], level: int, p: Protocol) -> DataFrame
         if not len(pdf):
             return pd.DataFrame({"path": [], "asker": [], "body": []})
         askers = pdf["asker"].to_numpy()
+        if key[0] < 0:
+            return _replies(int(key[0]), askers, p.answer(int(key[0]), read(pdf), askers))
         return _replies(int(key[0]), askers, p.back(read(pdf), askers, _joined(replies, p.answered)))
 
     cells = asks.withColumn("bundle", F.call_function("shiftright", F.col("asker"), F.lit(max(bits))))
-    # a task packs many cells' rows for the next level; those of one path meet there
     deeper = _ask(cells.groupBy("path", "bundle").applyInPandas(up, ASKS), bits, level + 1, p)
     below = deeper.select(F.call_function("shiftright", F.col("path"), F.lit(step)).alias("own"), F.col("asker").alias("cell"), "path", "body")
     return cells.groupBy("path", "bundle").cogroup(below.groupBy("own", "cell")).applyInPandas(down, ASKS)

@@ -400,14 +400,38 @@ def test_substring_dedup(docs, rows, n):
     assert got == want and any(w[1] for w in want.values())
 
 
-def test_substring_dedup_with_crowded_sketch(docs, rows, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CELLS", 1 << 23)
+@pytest.mark.parametrize("fan", [1, 2, 8])
+def test_substring_dedup_with_crowded_sketch(docs, rows, monkeypatch, fan):
+    """Few cells, so that most estimates are too high, and questions that go over several levels."""
+    monkeypatch.setattr(substring_dedup, "CELL_BITS", 6)
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(_exchange, "FAN", fan)
     want = brute_repeats([(r[0], r[1]) for r in rows], 6)
     got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(docs, 6).collect()}
     assert got == want
 
 
+def test_substring_dedup_keeps_large_ids_beside_nulls(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(BIG + 2, text), (None, text), (BIG, text), (-5, "x " + text), (None, None)]
+    got = Counter(tuple(r)[:3] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(-5, 31, 0), (BIG, 30, 30), (BIG + 2, 30, 30), (None, 30, 30), (None, 0, 0)])
+
+
+def test_exchange_rows_are_bounded():
+    """A group sends at most 2 ** FAN rows, whatever the number of shards; every shard can be reached."""
+    key = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 50000, dtype=np.uint64) * np.uint64(2))
+    for shards in (1, 2, 100, 300, 70_000, 20_000_000):
+        bits = _exchange.levels(shards)
+        assert max(bits) <= _exchange.FAN and 1 << sum(bits) >= shards
+        rows = _exchange.parts(key, bits[0], 64)
+        assert len(rows) <= 1 << _exchange.FAN and sum(at.stop - at.start for _, at in rows) == len(key)
+    arrays = {"key": key, "n": np.arange(len(key)), "id": np.arange(len(key)) - 5}
+    got = _exchange.unpacked(_exchange.packed(**arrays), "key", "n", "id")
+    assert (got["key"] == key).all() and (got["n"] == arrays["n"]).all() and (got["id"].view(np.int64) == arrays["id"]).all()
+    assert len(_exchange.unpacked(_exchange.packed(key=key[:0]), "key")["key"]) == 0
+
+
 def test_substring_dedup_odd_rows(odd, empty, rows):
     got = substring_dedup.remove_repeats(odd, 20).collect()
     assert len(got) == odd.count()
