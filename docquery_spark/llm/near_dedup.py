@@ -144,12 +144,14 @@ def _sketch(k: int):
     @F.pandas_udf("n_shingles long, regs binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [shingle_hashes(b"" if t is None else bytes(t), k) for t in texts]
-            some = [i for i, s in enumerate(sets) if len(s)]
-            out = [None] * len(sets)
-            for i, row in zip(some, registers([sets[i] for i in some]), strict=True):
-                out[i] = row.tobytes()
-            yield pd.DataFrame({"n_shingles": np.array([len(s) for s in sets], dtype=np.int64), "regs": pd.Series(out, dtype=object)})
+            sizes, out = np.zeros(len(texts), dtype=np.int64), [None] * len(texts)
+            for first in range(0, len(texts), BLOCK):
+                sets = [shingle_hashes(b"" if t is None else bytes(t), k) for t in texts.iloc[first : first + BLOCK]]
+                some = [i for i, s in enumerate(sets) if len(s)]
+                sizes[first : first + len(sets)] = [len(s) for s in sets]
+                for i, row in zip(some, registers([sets[i] for i in some]), strict=True):
+                    out[first + i] = row.tobytes()
+            yield pd.DataFrame({"n_shingles": sizes, "regs": pd.Series(out, dtype=object)})
 
     return run
 
@@ -402,8 +404,8 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 labels = components(links.unionByName(more))
         placed = _labelled(nodes.select("node", "copy", "least_id", "bits"), labels)
         best = F.min_by(F.struct("least_id", "copy"), F.struct(F.col("least_id").isNull(), "least_id", "copy"))
-        groups = placed.groupBy("component").agg(best.alias("head"))
-        placed = placed.join(groups, "component").select("copy", "head", "bits")
+        groups = placed.groupBy("component").agg(best.alias("head"), salt_bits(salt_of("node")).alias("salts"))
+        placed = by_salted_key(placed.withColumn("salt", salt_of("node")), groups, ["component"], "salts").select("copy", "head", "bits")
         linked = by_salted_key(usable.select("doc_id", "copy", "n_shingles").withColumn("salt", salt_of("doc_id")), placed, ["copy"], "bits")
         linked = linked.select(
             "doc_id", "copy", "n_shingles", F.col("head.least_id").alias("component_id"),

@@ -6,7 +6,7 @@ AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 OP1 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS BIGINT) AS size,
-         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw
+         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null' || coalesce(md5(text), ''))) AS draw
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -26,13 +26,24 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(cap, weight * (SELECT level FROM l)) AS target FROM r
 ), q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5) AS quota,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id NULLS LAST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+  SELECT row_number() OVER () AS k, d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id NULLS LAST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS begun
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), u AS (
+  SELECT k, doc_id, source, size, source_size, target, quota, r.turn AS turn, begun + r.turn * source_size AS start, begun + r.turn * source_size + size AS stop
+  FROM q, (VALUES (0), (1)) r(turn)
+), p AS (
+  SELECT k, doc_id, source, size, source_size, target, quota, turn, start, least(stop, quota) AS stop FROM u WHERE start < quota OR stop <= quota
+  UNION ALL
+  SELECT k, doc_id, source, size, source_size, target, quota, turn, greatest(start, quota), stop FROM u WHERE stop > quota
+), st AS (
+  SELECT *, stop - start AS words, CAST(sum(stop - start) OVER (
+    ORDER BY CASE WHEN quota > 0 THEN stop::DOUBLE / quota ELSE 'inf'::DOUBLE END, source NULLS LAST, start, turn, doc_id NULLS LAST
+    ROWS UNBOUNDED PRECEDING) - (stop - start) AS BIGINT) AS stream_start FROM p
 )
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - start - source_size)) AS BIGINT) AS taken
-FROM q
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       CAST(sum(greatest(0, least(words, (SELECT sum(floor(target + 0.5)) FROM t) - stream_start))) AS BIGINT) AS taken
+FROM st GROUP BY k
 """
 
 OP2 = f"""

@@ -102,14 +102,27 @@ def test_mixing_targets_and_taken(docs, rows):
     assert again == {k: v["taken"] for k, v in got.items()}
 
 
-def test_mix_stream_is_gapless_and_in_finish_order(docs):
-    stream = mixing.mix(docs).filter("taken > 0").orderBy("stream_start").collect()
+def test_mix_is_the_stream_cut_at_the_budget(docs):
+    rows = mixing.mix(docs).collect()
+    stream = sorted((r for r in rows if r["stream_start"] is not None), key=lambda r: (r["stream_start"], r["words"]))
+    budget = sum({r["source"]: math.floor(r["target"] + 0.5) for r in rows}.values())
     at, last = 0, 0.0
     for r in stream:
         assert r["stream_start"] == at and r["finish"] >= last
-        at, last = at + r["taken"], r["finish"]
-    total = sum(r["taken"] for r in stream)
-    assert abs(total - 1.5 * sum({r["source"]: r["source_size"] for r in stream}.values())) <= 4
+        assert r["taken"] == max(0, min(r["words"], budget - at))
+        at, last = at + r["words"], r["finish"]
+    assert at >= budget and all(r["taken"] == 0 and r["finish"] >= last for r in rows if r["stream_start"] is None)
+    assert sum(r["taken"] for r in rows) == budget
+
+
+def test_mixed_repeats_rows_as_taken(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, "d e", "x"), (None, "f g", "y"), (None, "f g", "y"), (None, None, None), (3, "h", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    served = Counter()
+    for r in mixing.mix(docs).groupBy("row", "round", "doc_id", "size").agg(F.sum("taken").alias("t")).collect():
+        served[r["doc_id"], r["size"]] += r["t"] > 0 and 2 * r["t"] >= r["size"]
+    got = Counter((r["doc_id"], len(split(r["text"]))) for r in mixing.mixed(docs).collect())
+    assert got == +served
 
 
 def test_mixing_edge_cases(docs, odd, empty):
