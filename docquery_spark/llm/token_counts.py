@@ -29,11 +29,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ._frames import quoted
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -174,17 +177,13 @@ class CountViterbi:
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", out: str = "n_tokens", keep: list[str] | None = None, untouched: bool = False) -> DataFrame:
     """docs (its columns ``keep``, or all) with the number of tokens of each text."""
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary))
-    kept = [c for c in (docs.columns if keep is None else keep) if c != out]
-    held: list[CountViterbi] = []
-
-    def run(batches):
-        if not held:
-            held.append(CountViterbi(*pieces.value, runs=untouched))
-        count = held[0].untouched if untouched else held[0].text
-        for pdf in batches:
-            n = np.fromiter(map(count, pdf.pop("_text")), dtype=np.int64, count=len(pdf))
-            yield pdf.assign(**{out: n})
-
-    rows = docs.select(*kept, F.col(text).alias("_text"))
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(out, T.LongType())])
-    return rows.mapInPandas(run, schema)
+
+    @F.pandas_udf("long")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        viterbi = CountViterbi(*pieces.value, runs=untouched)
+        count = viterbi.untouched if untouched else viterbi.text
+        for texts in batches:
+            yield pd.Series(np.fromiter(map(count, texts.tolist()), dtype=np.int64, count=len(texts)))
+
+    kept = [F.col(quoted(c)) for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
+    return docs.select(*kept, counted(F.col(quoted(text)).cast("string")).alias(out))

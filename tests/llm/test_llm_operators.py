@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from docquery_spark.llm import (
     _exchange, chat, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, sharding, substring_dedup, token_counts,
 )
-from docquery_spark.llm._words import alnum_words
 from docquery_spark.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, kept string, g string, band string, hits string, row string, _group string, body string, stays string"
@@ -160,11 +160,16 @@ def test_exact_dedup_survivors(odd, empty):
 # -- decontamination
 
 
+def word_list(t):
+    """Lower-cased runs of ASCII digits and letters and of all characters beyond ASCII."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+
+
 def brute_hits(text, items, n=13):
-    words = [w.decode() for w in alnum_words((text or "").encode())]
+    words = word_list(text)
     hit, found = set(), set()
     for item, t in items:
-        own = [w.decode() for w in alnum_words((t or "").encode())]
+        own = word_list(t)
         length = min(n, len(own))
         for i in range(len(own) - length + 1 if own else 0):
             for j in range(len(words) - length + 1):
@@ -174,13 +179,14 @@ def brute_hits(text, items, n=13):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_decontamination(spark, odd, rows, block_bytes):
+@pytest.mark.parametrize(("block_words", "piece_words"), [(1 << 20, 1 << 14), (20, 1 << 14), (30, 5)])
+def test_decontamination(spark, odd, rows, block_words, piece_words):
+    """One block, a block or more an item, and items in overlapping pieces, over several passes."""
     passage = rows[7][1][-200:]
     items = [(1, passage), (2, "W1-w2; w3"), (3, "absent words here"), (10, passage + " w1 w2"), (4, ""), (5, None), (None, "one"), (2, "w4 w5 w6")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     named = [("null" if i is None else i, t) for i, t in items]
-    got = decontaminate.verdicts(decontaminate.find_contamination(odd, benchmark, block_bytes=block_bytes))
+    got = decontaminate.verdicts(decontaminate.find_contamination(odd, benchmark, block_words=block_words, piece_words=piece_words))
     seen = 0
     for r in got.collect():
         n, hit, found = brute_hits(r["text"], named)
