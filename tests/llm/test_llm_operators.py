@@ -249,8 +249,8 @@ def test_sharding_keeps_copies_together_with_production_cells(spark):
 # -- quality classifier
 
 
-def brute_kneser_ney(texts, alphabet, order=quality.ORDER):
-    code = lambda t: [quality.START] * (order - 1) + [alphabet.get(ord(c), quality.UNKNOWN) for c in t]
+def brute_kneser_ney(texts, order=quality.ORDER):
+    code = lambda t: [quality.START] * (order - 1) + list(t.encode())
     counts = {order: Counter()}
     for t in texts:
         s = code(t)
@@ -261,7 +261,7 @@ def brute_kneser_ney(texts, alphabet, order=quality.ORDER):
 
     def p(g):
         if not g:
-            return 1 / quality.ALPHABET
+            return 1 / 256
         k = len(g)
         own = {h: c for h, c in counts[k].items() if h[:-1] == g[:-1]}
         if not own:
@@ -271,20 +271,55 @@ def brute_kneser_ney(texts, alphabet, order=quality.ORDER):
         c = own.get(g, 0)
         return ((c - d(c)) if c else 0) / total + sum(d(c) for c in own.values()) / total * p(g[1:])
 
-    return lambda t: math.exp(-sum(math.log(p(tuple(s[i - order + 1 : i + 1]))) for s in [code(t)] for i in range(order - 1, len(s))) / len(t))
+    return lambda t: math.exp(-sum(math.log(p(tuple(s[i - order + 1 : i + 1]))) for s in [code(t)] for i in range(order - 1, len(s))) / len(t.encode()))
 
 
 def test_quality_model_is_modified_kneser_ney(spark):
-    texts = ["the cat sat on the mat", "a cat and a hat", "Größe", "", "the the the"]
+    texts = ["the cat sat on the mat", "a cat and a hat", "Größe", "", "the the the", "日本語のテキスト"]
     model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    brute = brute_kneser_ney(texts, model["alphabet"])
-    tests = [(1, "en", "the hat"), (2, "en", "zzz \U0001f600q"), (3, None, "x"), (4, "en", None), (5, "en", "")]
+    brute = brute_kneser_ney(texts)
+    tests = [(1, "en", "the hat"), (2, "en", "zzz \U0001f600q"), (3, None, "x"), (4, "en", None), (5, "en", ""), (6, "ja", "本のテ")]
     got = {r["doc_id"]: r["perplexity"] for r in quality.perplexity(spark.createDataFrame(tests, "doc_id long, lang string, text string"), model).collect()}
     assert got[4] is None and got[5] is None
-    for i, _, t in tests[:3]:
-        assert math.isclose(got[i], brute(t), rel_tol=1e-4)
-    row_of, logs = quality.layout(model)
-    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
+    for i, _, t in tests[:3] + tests[5:]:
+        assert math.isclose(got[i], brute(t), rel_tol=1e-6)
+    for context in (b"the", b"cat", b"zzz", bytes([quality.START] * 3)):
+        grams = np.array([(int.from_bytes(context) << 8) | x for x in range(256)], dtype=np.uint32)
+        assert math.isclose(quality.probabilities(grams, model).sum(), 1, abs_tol=1e-9)
+
+
+def test_quality_without_a_usable_sample(spark):
+    """Texts above the sample's bytes leave nothing to learn from; every symbol is as likely then."""
+    docs = spark.createDataFrame([(i, "word " * 50, "en") for i in range(4)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    done = quality.classify(docs, labels, train_bytes=10).collect()
+    assert all(math.isclose(r["perplexity"], 256) for r in done)
+
+
+def test_quality_thresholds_by_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice(["en", "de", None]), math.exp(r.gauss(2, 0.4)), r.gauss(0, 3), r.randrange(20)) for i in range(900)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, perplexity double, toxicity double, repeats long")
+    got = {x["key"]: x["threshold"] for x in quality.thresholds(scored, 0.9).collect()}
+    local = {x["key"]: x for x in quality.local_limits(scored, 0.9).collect()}
+    for key, own in (("=en", "en"), ("=de", "de"), ("=\0", None), ("all", "all")):
+        of = [x for x in rows if own == "all" or x[1] == own]
+        rank = math.ceil(0.9 * len(of)) - 1
+        exact = sorted(x[2] for x in of)[rank]
+        assert exact <= got[key] <= exact * math.exp(1.001 / quality.STEPS)
+        assert local[key]["most_repeats"] == max(quality.LEAST_REPEATS, sorted(x[4] for x in of)[rank])
+        toxic = sorted(x[3] for x in of)[rank]
+        assert abs(local[key]["most_toxic"] - max(quality.LEAST_TOXICITY, toxic)) <= 1 / quality.TOXICITY_STEPS
+
+
+def test_quality_judges_each_row_of_an_id(spark):
+    good, bad = "the house and the tree and the river " * 5, "QQ!! ZZ## " * 30
+    rows = [(BIG, good, "en"), (BIG, bad, "en"), (None, good, "en"), (None, bad, "en"), (BIG + 2, None, "en")] + [(i, good, "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `lang` string").withColumn("a.b", F.lit(1)).withColumn("_judged", F.lit(2)).withColumn("threshold", F.lit(3))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    left = quality.accepted(docs, labels)
+    assert left.columns == docs.columns
+    assert Counter((x["doc_id"], x["text"]) for x in left.collect()) == Counter([(BIG, good), (None, good), *[(i, good) for i in range(40)]])
 
 
 def test_quality_tells_junk_from_text(spark, empty):
