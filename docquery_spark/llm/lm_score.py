@@ -8,10 +8,10 @@ background loss, in nats; a document's score is the mean over its words, so lowe
 target text.
 
 Documents are dealt once into groups of a few MB. Each group sends its distinct words and bigrams, by
-64-bit hashes, with both counts to the shards that own them (see ``_exchange``), and gets the counts
+56-bit hashes, with both counts to the shards that own them (see ``_exchange``), and gets the counts
 over the whole corpus back. Counts thus never meet in one place: shards and groups grow in number
 with the input, and no table of words is held or broadcast. Two n-grams with one hash, of which
-there are about n * n / 2 ** 65 among n, are counted as one.
+there are about n * n / 2 ** 57 among n, are counted as one.
 
 Nulls: a null text has no words; a document without words has a null score; a null doc_id is scored
 and never a target. Repeated rows count, and are scored, each. Documents that share an id are all
@@ -34,6 +34,8 @@ from ._words import WordHashes, mix64, words
 WEIGHTS = (0.6, 0.399, 0.001)
 GROUP_BYTES = 8 << 20
 LEAST_GROUPS = 32
+#: Bits of a key.
+WIDTH = 56
 #: Keys of the number of words, and of the start of a document as a word.
 TOTAL, START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -52,32 +54,49 @@ def _deal(docs: DataFrame, targets: DataFrame, groups: int) -> DataFrame:
 
 
 class _Group:
-    """Documents of a group: the keys of their words and bigrams, and which belong to targets."""
+    """Documents of a group as word numbers of its own, and the keys of its words and bigrams.
+
+    ``key`` holds the sorted distinct keys; ``word``, ``before`` and ``pair`` say where in it those of
+    each word's place are.
+    """
 
     def __init__(self, pdf: pd.DataFrame):
         marked = pdf["mark"].to_numpy(dtype=bool)
         self.own = pdf[~marked]
         self.target = (self.own["doc_id"].isin(pdf.loc[marked, "doc_id"]) & self.own["named"]).to_numpy(dtype=bool)
         self.sizes = np.zeros(len(self.own), dtype=np.int64)
-        before, now = [], []
+        ids: dict[bytes, int] = {}
+        parts = [np.empty(0, dtype=np.int64)]
         for i, text in enumerate(self.own["text"]):
-            h = _hashes.array(words(text))
-            self.sizes[i] = len(h)
-            if len(h):
-                before += [START[None], h[:-1]]
-                now.append(h)
-        empty = [np.empty(0, dtype=np.uint64)]
-        self.before, self.word = np.concatenate([*empty, *before]), np.concatenate([*empty, *now])
-        self.pair = mix64(mix64(self.before) * _FACTOR + self.word)
+            own = words(text)
+            self.sizes[i] = len(own)
+            parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in own), dtype=np.int64, count=len(own)))
+        word = np.concatenate(parts)
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = len(ids)
+        hashes = np.append(_hashes.array(list(ids)), START)
+        code, pair = np.unique(before * (len(ids) + 1) + word, return_inverse=True)
+        pairs = mix64(mix64(hashes[code // (len(ids) + 1)]) * _FACTOR + hashes[code % (len(ids) + 1)])
+        every = np.concatenate((hashes, pairs, [TOTAL])) >> np.uint64(64 - WIDTH)
+        order = np.argsort(every, kind="stable")
+        heads = np.concatenate(([True], every[order][1:] != every[order][:-1]))
+        place = np.empty(len(every), dtype=np.int64)
+        place[order] = np.cumsum(heads) - 1
+        self.key = every[order][heads]
+        self.word, self.before, self.pair, self.total = place[word], place[before], place[pair + len(hashes)], int(place[-1])
+        self.start = int(place[len(ids)])
 
     def asked(self) -> dict[str, np.ndarray]:
-        """Sorted distinct keys with their counts in all documents, and in targets."""
-        aim = np.repeat(self.target, self.sizes)
-        starts, started = np.count_nonzero(self.sizes), np.count_nonzero(self.sizes[self.target])
-        key = np.concatenate((self.word, self.pair, [START, TOTAL]))
-        n = np.concatenate((np.ones(2 * len(aim), dtype=np.int64), [starts, len(aim)]))
-        t = np.concatenate((aim, aim, [started, aim.sum()])).astype(np.int64)
-        return _summed([{"key": key, "n": n, "aimed": t}])
+        """The keys with their counts in all documents, and in targets."""
+        out = {"key": self.key}
+        for name, docs in (("n", np.ones(len(self.target), dtype=bool)), ("aimed", self.target)):
+            at = np.repeat(docs, self.sizes)
+            n = np.bincount(self.word[at], minlength=len(self.key)) + np.bincount(self.pair[at], minlength=len(self.key))
+            n[self.start] += np.count_nonzero(self.sizes[docs])
+            n[self.total] += int(at.sum())
+            out[name] = n
+        return out
 
 
 def _summed(pieces: list[dict]) -> dict[str, np.ndarray]:
@@ -103,13 +122,13 @@ def _back(pieces, askers, below):
     return _counts([p["key"] for p in pieces], {"key": keys, **below})
 
 
-COUNTS = Protocol(("key", "n", "aimed"), ("n", "aimed"), _summed, _answer, _back)
+COUNTS = Protocol(("key", "n", "aimed"), ("n", "aimed"), _summed, _answer, _back, WIDTH)
 
 
 def _requests(bits: int):
     def run(key, pdf):
         asked = _Group(pdf).asked()
-        rows = [(path, int(key[0]), packed(**{c: a[at] for c, a in asked.items()})) for path, at in parts(asked["key"], bits, 64)]
+        rows = [(path, int(key[0]), packed(**{c: a[at] for c, a in asked.items()})) for path, at in parts(asked["key"], bits, WIDTH)]
         return pd.DataFrame(rows, columns=["path", "asker", "body"])
 
     return run
@@ -117,17 +136,16 @@ def _requests(bits: int):
 
 def _scores(key, pdf, answers):
     group = _Group(pdf)
-    held = {"key": np.unique(np.concatenate((group.word, group.pair, [START, TOTAL])))}
     some = [unpacked(b, "n", "aimed") for b in answers.sort_values("path")["body"]]
-    for c in ("n", "aimed"):
-        held[c] = np.concatenate([x[c] for x in some]).astype(np.float64)
     two, one, base = WEIGHTS
-    at = {k: np.searchsorted(held["key"], x) for k, x in (("a", group.before), ("b", group.word), ("ab", group.pair), ("all", TOTAL))}
     loss = []
-    common = held["n"][at["b"]] / max(1.0, held["n"][at["all"]])
     for c in ("n", "aimed"):
-        n = held[c]
-        loss.append(-np.log(two * n[at["ab"]] / np.maximum(n[at["a"]], 1) + one * n[at["b"]] / max(1.0, n[at["all"]]) + base * common))
+        n = np.concatenate([x[c] for x in some]).astype(np.float64)
+        share = n / max(1.0, n[group.total])
+        if c == "n":
+            common = share
+        p = two * n[group.pair] / np.maximum(n, 1)[group.before] + (one * share + base * common)[group.word]
+        loss.append(-np.log(p))
     sums = np.concatenate(([0.0], np.cumsum(loss[1] - loss[0])))
     ends = np.cumsum(group.sizes)
     score = (sums[ends] - sums[ends - group.sizes]) / np.maximum(group.sizes, 1)
