@@ -1,21 +1,23 @@
 """Sharding by vector bin packing.
 
 Groups of equal texts are packed whole, weighed by (bytes, tokens, rows). A group above
-``1 / CELLS`` of any total is heavy and is packed by itself; there can be no more than a few times
+``1 / CELLS`` of any total is heavy and is packed by itself; there can be no more than three times
 CELLS of those. Only one above ``WHOLE`` of a shard's fair share is cut, into pieces of ``1 / CELLS``
 of a total or single rows. Lighter groups share one of CELLS cells by
-their hash, and a cell is packed as one. The driver thus packs a number of vectors that does not
-grow with the data: in falling order, each goes to the shard where the dot product of its vector
-with the residual capacities is highest. A last pass moves pieces off the fullest shard while that
-lowers its bytes.
+their hash, and a cell is packed as one group would be: what a dot product decides is thus never more
+than CELLS / shards times finer than a shard's fair share, and the driver packs a number of vectors
+that does not grow with the data. In falling order, each goes to the shard where the dot product of
+its vector with the residual capacities is highest. A last pass moves pieces from the shard with
+most bytes to the one with least, where that evens out bytes and leaves no shard with more tokens or
+rows than the fullest had, or ``SLACK`` above the fair share.
 
 Slots number a shard's rows without gaps: counts of small (shard, lane) lanes are summed up, and
 rows are numbered within their lane, so no task has a shard's rows all together.
 
 Nulls: a null text has no bytes, no tokens and its own group; a null doc_id is a document like any
 other. Repeated rows are separate rows of the shard. Ties in a lane fall to the smaller doc_id.
-An empty table gives an empty result. Other columns are kept unless they bear the name of an
-output column, which then replaces them.
+An empty table gives an empty result. Other columns are kept, whatever their names, unless they bear
+the name of an output column, which then replaces them.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._frames import checkpoint, running_offsets
+from ._frames import checkpoint, quoted, running_offsets
 
 CELLS = 8192
 #: A group of equal texts up to this part of a shard's fair share is never cut.
 WHOLE = 0.5
+#: Tokens and rows above the fair share that evening out bytes may bring.
+SLACK = 0.2
 ROWS_A_LANE = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows that a size counts for besides its bytes.
@@ -40,7 +44,8 @@ def pack(vectors: np.ndarray, bins: int) -> np.ndarray:
     """Bin of each vector: falling order, highest dot product with the residual capacity.
 
     Columns are scaled so that a bin's fair share is 1 in each. The first column's loads are then
-    evened out further by single moves from the fullest bin to the emptiest.
+    evened out further by single moves from the fullest bin to the emptiest, while that gives no bin
+    more of another column than the fullest has, or ``SLACK`` above the fair share.
     """
     out = np.zeros(len(vectors), dtype=np.int64)
     total = vectors.sum(axis=0)
@@ -50,14 +55,15 @@ def pack(vectors: np.ndarray, bins: int) -> np.ndarray:
         out[i] = best = int(np.argmax(left @ scaled[i]))
         left[best] -= scaled[i]
     members = [list(np.flatnonzero(out == b)) for b in range(bins)]
-    first = scaled[:, 0]
+    floor = np.minimum(left.min(axis=0)[1:], -SLACK)
     for _ in range(20 * bins):
         full, free = int(np.argmin(left[:, 0])), int(np.argmax(left[:, 0]))
         gap = left[free, 0] - left[full, 0]
         if gap < 1e-6 or not members[full]:
             break
-        sizes = first[members[full]]
-        fit = np.where(sizes < gap, sizes * (gap - sizes), -1)
+        own = scaled[members[full]]
+        room = (left[free, 1:] - own[:, 1:] >= floor - 1e-9).all(axis=1)
+        fit = np.where((own[:, 0] < gap) & room, own[:, 0] * (gap - own[:, 0]), -1)
         if fit.max() <= 1e-12:
             break
         i = members[full].pop(int(fit.argmax()))
@@ -71,10 +77,11 @@ def pack(vectors: np.ndarray, bins: int) -> np.ndarray:
 def shard(docs: DataFrame, shards: int = 24, text: str = "text", cells: int = CELLS) -> DataFrame:
     """docs with size, text_crc32, shard (0 .. shards-1) and slot (0 .. rows of the shard - 1)."""
     spark = docs.sparkSession
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    kept = [f"_doc.`{c}`" for c in docs.columns if c.lower() not in ADDED]
+    body = F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary")
+    names = [c for c in docs.columns if c.lower() not in ADDED]
+    kept = [F.col(f"_doc.c{i}").alias(c) for i, c in enumerate(names)]
     rows = docs.select(
-        F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c.lower() not in ADDED]).alias("_doc"),
+        F.struct(F.lit(0).alias("none"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)]).alias("_doc"),
         "doc_id",
         (F.length(body).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(body).alias("text_crc32"),
