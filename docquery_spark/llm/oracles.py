@@ -101,18 +101,19 @@ FROM c LEFT JOIN n USING (doc_id)
 """
 
 OP7 = """
-WITH t AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-           FROM conversations),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
-             count(*) OVER (PARTITION BY conv_id) AS n FROM t),
-p AS (SELECT conv_id, k, n, string_agg('|' || length(role) || '|' || role || '|' || length(text) || '|' || text, '')
-             OVER (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS prefix FROM o),
-h AS (SELECT conv_id, k, n, sha256(prefix) AS h FROM p),
-last AS (SELECT h, min(conv_id) AS keep, count(*) AS copies FROM h WHERE k = n GROUP BY h),
+WITH t AS (SELECT DISTINCT conv_id, CASE WHEN conv_id IS NULL THEN md5(concat_ws('|', CAST(turn AS VARCHAR), role, text)) ELSE '' END AS own,
+                  CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text) AS k,
+             count(*) OVER (PARTITION BY conv_id, own) AS n FROM t),
+p AS (SELECT conv_id, own, k, n, string_agg('|' || length(role) || '|' || role || '|' || length(text) || '|' || text, '')
+             OVER (PARTITION BY conv_id, own ORDER BY k ROWS UNBOUNDED PRECEDING) AS prefix FROM o),
+h AS (SELECT conv_id, own, k, n, sha256(prefix) AS h FROM p),
+last AS (SELECT h, first(conv_id ORDER BY conv_id NULLS LAST, own) AS keep, first(own ORDER BY conv_id NULLS LAST, own) AS keep_own, count(*) AS copies
+         FROM h WHERE k = n GROUP BY h),
 kept AS (SELECT * FROM last WHERE h NOT IN (SELECT h FROM h WHERE k < n))
 SELECT o.conv_id, max(o.n) AS n_turns, max(kept.copies) AS copies,
        sha256(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY k)) AS rendered_sha256
-FROM o JOIN kept ON o.conv_id = kept.keep GROUP BY o.conv_id
+FROM o JOIN kept ON o.conv_id IS NOT DISTINCT FROM kept.keep AND o.own = kept.keep_own GROUP BY o.conv_id, o.own
 """
 
 ORACLES = {
