@@ -47,7 +47,7 @@ FROM st GROUP BY k
 """
 
 OP2 = f"""
-WITH d AS (SELECT DISTINCT doc_id, translate(coalesce(text, ''), {AZ}) AS norm FROM documents)
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {AZ}) AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm)
