@@ -6,12 +6,10 @@ a DataFrame; all but the last return the columns of documents. Empty tables pass
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from docquery_spark.llm import decontaminate, mixing, near_dedup, quality, sharding
-from docquery_spark.llm._frames import shared_folder
+from docquery_spark.llm._frames import Scratch, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each but the last written to the shared folder and read again."""
-    docs, folder = _table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{i}")
-            docs = spark.read.parquet(f"{folder}/{i}")
-    return docs
+    """All stages over ``documents``, each but the last written to the shared folder and read again.
+
+    A stage's table goes when the next one is written; the last goes when the session's JVM ends.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    with Scratch(spark) as scratch:
+        for _, stage in STAGES[:-2]:
+            before, docs = docs, scratch.written(stage(spark, docs, sf_dir))
+            scratch.drop(before)
+        docs = written(STAGES[-2][1](spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
