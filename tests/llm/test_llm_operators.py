@@ -16,7 +16,11 @@ from docquery_spark.llm import (
 )
 from docquery_spark.llm.components import components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, kept string, g string, band string, hits string, row string, _group string, body string, stays string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, kept string, g string, band string, hits string, row string, _group string, body string, stays string, _text string, `_` string, `a.b` string, n_words string, items string, found string, c0 string, mix_id string, own_copy string, _judged string"
+
+
+#: No float holds it.
+BIG = (1 << 53) + 1
 
 
 def make_rows(seed=1, n=60):
@@ -36,7 +40,7 @@ def make_rows(seed=1, n=60):
         texts.append(r.choice([" ", "\n", " \t "]).join(t))
     texts[3], texts[4], texts[5], texts[6] = None, "", " \n\t ", "one"
     texts[7] = "long " * 3000 + passage
-    rows = [(i, t, r.choice(["en", "de", None]), r.choice(["a", "b", "c", None]), 1, *["x"] * 10) for i, t in enumerate(texts)]
+    rows = [(i, t, r.choice(["en", "de", None]), r.choice(["a", "b", "c", None]), 1, *["x"] * 20) for i, t in enumerate(texts)]
     return rows
 
 
@@ -211,6 +215,16 @@ def test_decontaminate_modes(spark, docs, empty):
     assert decontaminate.decontaminate(docs, none).count() == docs.count()
 
 
+def test_decontaminate_keeps_columns_and_large_ids(spark):
+    rows = [(BIG, "one two", 1, "h", None), (None, "three", 2, "h", 5), (BIG + 2, None, None, "h", BIG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, hits string, `a.b` long")
+    benchmark = spark.createDataFrame([(1, "three")], "item_id long, text string")
+    left = decontaminate.decontaminate(docs, benchmark)
+    assert left.columns == docs.columns and sorted(map(repr, left.collect())) == sorted(map(repr, [docs.collect()[0], docs.collect()[2]]))
+    cut = {r["text"]: r["doc_id"] for r in decontaminate.decontaminate(docs, benchmark, mode="span").collect()}
+    assert cut == {"one two": BIG, "": None, None: BIG + 2}
+
+
 # -- sharding
 
 
@@ -454,9 +468,6 @@ def test_lm_score(spark, odd, empty, monkeypatch, fan):
     assert sorted((r[1], round(r[2] or 0, 6)) for r in none) == sorted((r[1], round(r[2] or 0, 6)) for r in want)
 
 
-BIG = (1 << 53) + 1
-
-
 def test_lm_score_keeps_large_ids_beside_nulls(spark):
     docs = spark.createDataFrame([(BIG, "a b"), (None, "a b"), (BIG + 2, "c d a"), (None, None)], "doc_id long, text string")
     targets = spark.createDataFrame([(BIG,)], "doc_id long")
@@ -630,6 +641,13 @@ def test_token_counts_of_untouched_text(spark):
         assert got[r["doc_id"]] == want(r["text"]), r["doc_id"]
 
 
+def test_token_counts_keep_columns_and_large_ids(spark):
+    docs = spark.createDataFrame([(BIG, "one two", None, 1), (None, None, 5, 2), (BIG + 2, "three", BIG, 3)], "doc_id long, text string, _text long, `a.b` int")
+    got = token_counts.count_tokens(docs)
+    assert got.columns == ["doc_id", "text", "_text", "a.b", "n_tokens"]
+    assert Counter((r["doc_id"], r["_text"]) for r in got.collect()) == Counter([(BIG, None), (None, 5), (BIG + 2, BIG)])
+
+
 def test_token_count_ties_and_unknowns():
     count = token_counts.CountViterbi([("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0), ("b", -1.0)], False)
     assert count.text("aa") == 2 and count.text("zz") == 2 and count.text(" ") == 0 and count.text(None) == 0
