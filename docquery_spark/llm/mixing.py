@@ -128,7 +128,8 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, seed: int = 7
     offsets = running_offsets(
         queued.groupBy("slot").agg(F.sum("words").alias("n")).withColumn("all", F.lit(0)), ["all"], "slot", "n", "before"
     ).drop("all")
-    placed = queued.join(offsets, "slot")
+    # a row a slot, MAX_BUCKETS and two at most: no shuffle by slot, as the last one may hold most rows
+    placed = queued.join(F.broadcast(offsets), "slot")
     order = Window.partitionBy("slot").orderBy("finish", F.col("source").asc_nulls_last(), "start", "round", F.col("doc_id").asc_nulls_last())
     ahead = F.col("before") + F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     stream = placed.filter(F.col("before") < budget).withColumn("stream_start", ahead)
