@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 THINK = r"(?is)<think>(.*?)</think>"
 
 
@@ -12,13 +14,22 @@ def without_reasoning(c: Column) -> Column:
     return F.regexp_replace(c, THINK, "")
 
 
+def _is_json(body: Column) -> Column:
+    """Whether all of a text in braces is one JSON value.
+
+    The parser stops after the first value. In an array nothing but another value can follow it, in an
+    object nothing but another field, so what both take is followed by nothing.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), body, F.lit("}"))).isNotNull()
+
+
 def json_text(c: Column, reasoning: bool = False) -> Column:
-    """From the first brace to the last, as text; ``{}`` when there is none or it is no JSON.
+    """From the first brace to the last, as text; ``{}`` when there is none or it is not one JSON object.
 
     reasoning: drop reasoning blocks first.
     """
     body = F.regexp_extract(without_reasoning(c) if reasoning else c, r"(?s)\{.*\}", 0)
-    return F.when((body != "") & F.try_parse_json(body).isNotNull(), body).otherwise("{}")
+    return F.when((body != "") & _is_json(body), body).otherwise("{}")
 
 
 def json_variant(c: Column, reasoning: bool = False) -> Column:
@@ -45,8 +56,8 @@ def boolean_field(doc: Column, name: str, default: bool) -> Column:
 
 
 def nullable_text(c: Column) -> Column:
-    """Null for the word null in any case."""
-    return F.when(F.lower(F.trim(c)) == "null", None).otherwise(c)
+    """Null for the word null in any case, and for an empty text."""
+    return F.when(F.lower(c).isin("null", ""), None).otherwise(c)
 
 
 def score_or(c: Column, default: float = 1.0) -> Column:
@@ -55,10 +66,10 @@ def score_or(c: Column, default: float = 1.0) -> Column:
 
 
 def reasoning(c: Column) -> Column:
-    """The first reasoning block, trimmed; empty without one."""
-    return F.trim(F.regexp_extract(c, THINK, 1))
+    """The first reasoning block without white space at its ends; empty without one."""
+    return strip(F.regexp_extract(c, THINK, 1))
 
 
 def answer_text(c: Column) -> Column:
-    """The text without its reasoning blocks, trimmed."""
-    return F.trim(without_reasoning(c))
+    """The text without its reasoning blocks and without white space at its ends."""
+    return strip(without_reasoning(c))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # Chunk types, visual keywords, cross-reference phrases, score types.
 CHUNK_TYPES = ("text", "table", "figure")
 VISUAL_KEYWORDS = (
@@ -39,8 +41,8 @@ def reference_targets(text: Column) -> Column:
 
 
 def score_type(c: Column) -> Column:
-    """A known score type, whatever its case and outer spaces; otherwise NUMERIC."""
-    name = F.upper(F.trim(c))
+    """A known score type, whatever its case and outer white space; otherwise NUMERIC."""
+    name = F.upper(strip(c))
     return F.when(name.isin(*SCORE_TYPES), name).otherwise("NUMERIC")
 
 

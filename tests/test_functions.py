@@ -43,6 +43,8 @@ def test_word_count(spark):
 
 REPLIES = [
     '{"a": 1}', 'so {"a": 1} there', "<think>{x}</think>{\"a\": 2}", "<THINK>p\nq</Think> r <think>s</think>", "{broken", "", "no", None,
+    '{"a": 1} and {"b": 2}', '{"a": 1}, {"b": 2}', '{"a": 1}, "y": {"b": 2}', '{"a": 1}], [{"b": 2}', '{"a": 1}} {"b": {}', '{"a": {"b": [1, {}]}}', "{'a': 1}",
+    "<think>\nplan\n</think>\n\nParis.\n", "\t{\n\"a\": 1\n}\n",
     '{"is_valid": "false", "s": null, "l": ["x", "y"], "o": "lone", "n": 3, "c": "0.5"}',
 ]
 
@@ -61,8 +63,22 @@ def test_safe_json(spark):
         assert [json.loads(g) for g in got] == [want(r, reasoning) for r in REPLIES]
 
 
-def test_reasoning_is_the_first_block(spark):
-    assert column(spark, REPLIES[3:4], "string", m.reasoning) == ["p\nq"] and column(spark, REPLIES[3:4], "string", m.answer_text) == ["r"]
+def test_reasoning_and_answer_lose_outer_white_space(spark):
+    replies = ["<THINK>p\nq</Think> r <think>s</think>", "<think>\nplan\n</think>\n\nParis.\n", "\t plain\u3000\n", "", None]
+    assert column(spark, replies, "string", m.reasoning) == ["p\nq", "plan", "", "", None]
+    assert column(spark, replies, "string", m.answer_text) == ["r", "Paris.", "plain", "", None]
+
+
+def test_strip_is_linear(spark):
+    import time
+
+    spaces = "x" + " " * 1_000_000 + "y"
+    began = time.perf_counter()
+    assert column(spark, [spaces, " " * 1_000_000], "string", lambda c: F.length(text.strip(c))) == [1_000_002, 0]
+    assert time.perf_counter() - began < 20
+    every = "".join(map(chr, [*range(0x3001), 0xFEFF]))
+    white = "".join(c for c in every if c.isspace())
+    assert set(white) == set(text.WHITE)
 
 
 def test_loose_fields(spark):
@@ -71,7 +87,7 @@ def test_loose_fields(spark):
     assert doc(lambda d: m.field(d, "s", "string", "default")) == "default"
     assert doc(lambda d: m.array_field(d, "l")) == ["x", "y"] and doc(lambda d: m.array_field(d, "o")) == ["lone"] and doc(lambda d: m.array_field(d, "s")) == []
     assert doc(lambda d: m.field(d, "c", "double", 1.0)) == 0.5
-    assert column(spark, ["null", "NULL ", "x", None], "string", m.nullable_text) == [None, None, "x", None]
+    assert column(spark, ["null", "NULL", "x", "", None], "string", m.nullable_text) == [None, None, "x", None, None]
     assert column(spark, ["0.25", "x", None], "string", m.score_or) == [0.25, 1.0, 1.0]
 
 
@@ -89,7 +105,7 @@ def test_routing(spark):
     assert column(spark, texts, "string", routing.has_reference) == [True, True, True, False, False]
     assert column(spark, ["See Figure 2a and fig. 3; Table  4, vegetables 5"], "string", routing.reference_targets) == [["figure 2a", "figure 3", "table 4"]]
     assert column(spark, [0.49, 0.5, None], "double", routing.needs_retry) == [True, False, True]
-    assert column(spark, ["boolean", " Correction ", "zzz", None], "string", routing.score_type) == ["BOOLEAN", "CORRECTION", "NUMERIC", "NUMERIC"]
+    assert column(spark, ["boolean", " Correction ", "categorical\n", "\tnumeric", "zzz", None], "string", routing.score_type) == ["BOOLEAN", "CORRECTION", "CATEGORICAL", "NUMERIC", "NUMERIC", "NUMERIC"]
 
 
 @pytest.mark.parametrize(("valid", "corrected", "confidence", "want"), [
