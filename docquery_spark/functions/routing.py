@@ -46,15 +46,15 @@ def score_type(c: Column) -> Column:
     return F.when(name.isin(*SCORE_TYPES), name).otherwise("NUMERIC")
 
 
-def needs_retry(confidence: Column) -> Column:
-    return F.coalesce(confidence, F.lit(0.0)) < RETRY_BELOW
+def needs_retry(confidence: Column, below: float = RETRY_BELOW) -> Column:
+    return F.coalesce(confidence, F.lit(0.0)) < below
 
 
-def disposition(valid: Column, corrected: Column, confidence: Column) -> Column:
+def disposition(valid: Column, corrected: Column, confidence: Column, floor: float = CONFIDENCE_FLOOR) -> Column:
     """accepted, corrected or discarded: a correction of an invalid chunk skips the confidence floor."""
     ok = F.coalesce(valid, F.lit(False))
     return (
         F.when(~ok & corrected, "corrected")
-        .when(ok & (F.coalesce(confidence, F.lit(0.0)) >= CONFIDENCE_FLOOR), "accepted")
+        .when(ok & (F.coalesce(confidence, F.lit(0.0)) >= floor), "accepted")
         .otherwise("discarded")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import model_output as m
 from ..functions import text
+from ..tables import written
 from . import retrieve as r
 from .models import Judge, in_batches, lexical_judge
 
@@ -54,18 +55,28 @@ def generate(asked: DataFrame, generator: Callable[[str, str], str] = extractive
     }).drop("reply")
 
 
-def validate_answers(answers: DataFrame, judge: Judge = lexical_judge) -> DataFrame:
-    """Checkpoint B: adds verdict (struct) and judge_status (ok, malformed or error)."""
+def validate_answers(answers: DataFrame, judge: Judge = lexical_judge, mode: str = "structured") -> DataFrame:
+    """Checkpoint B: adds verdict (struct) and judge_status (ok, malformed or error).
+
+    mode: ``"structured"`` reads fields loosely (the word null is no revision, a score may be text, an
+    unreadable one is 1.0) and a judge that raises leaves the answer grounded with 0.5; ``"json"`` takes
+    the fields as they are, shows the judge question, answer and sources in one, and its failure leaves
+    the defaults.
+    """
+    if mode not in ("structured", "json"):
+        raise ValueError("mode is 'structured' or 'json'")
+    structured = mode == "structured"
 
     def load():
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             out, errors = [], []
             for q, a, s in zip(pdf["question"], pdf["answer"], pdf["sources"], strict=True):
+                shown = f"[QUESTION]\n{q}\n\n" + ("" if structured else f"[ANSWER]\n{a or ''}\n\n") + f"[SOURCES]\n{s or ''}"
                 try:
-                    out.append(judge(a or "", f"[QUESTION]\n{q}\n\n[SOURCES]\n{s or ''}"))
+                    out.append(judge(a or "", shown))
                     errors.append(None)
                 except Exception as e:
-                    out.append(json.dumps({"validator_notes": f"Validation error: {e}"}))
+                    out.append(json.dumps({"verdict_score": 0.5, "validator_notes": f"Validation error: {e}"}) if structured else "")
                     errors.append(f"error: {type(e).__name__}")
             return pdf.assign(reply=out, judge_error=errors)
 
@@ -73,16 +84,18 @@ def validate_answers(answers: DataFrame, judge: Judge = lexical_judge) -> DataFr
 
     schema = T.StructType([*answers.schema.fields, T.StructField("reply", T.StringType()), T.StructField("judge_error", T.StringType())])
     doc = F.col("doc")
-    grounded = F.try_variant_get(doc, "$.is_grounded", "boolean")
+    grounded = m.boolean_field(doc, "is_grounded", True)
+    revised = F.try_variant_get(doc, "$.revised_answer", "string")
+    score = m.score_or(F.try_variant_get(doc, "$.verdict_score", "string")) if structured else m.field(doc, "verdict_score", "double", 1.0)
+    told = F.try_variant_get(doc, "$.is_grounded", "boolean").isNotNull()
     return (
         answers.mapInPandas(in_batches(load), schema)
         .withColumn("doc", m.json_variant(F.coalesce("reply", F.lit("")), reasoning=True))
-        .withColumn("judge_status", F.coalesce("judge_error", F.when(grounded.isNull(), "malformed").otherwise("ok")))
+        .withColumn("judge_status", F.coalesce("judge_error", F.when(told, "ok").otherwise("malformed")))
         .withColumn("verdict", F.struct(
-            F.coalesce(grounded, F.lit(True)).alias("is_grounded"), m.array_field(doc, "hallucinations").alias("hallucinations"),
-            m.nullable_text(F.try_variant_get(doc, "$.revised_answer", "string")).alias("revised_answer"),
-            F.coalesce(F.try_variant_get(doc, "$.verdict_score", "double"), F.when(grounded.isNull(), 0.5).otherwise(1.0)).alias("verdict_score"),
-            m.field(doc, "validator_notes", "string", "").alias("validator_notes"),
+            grounded.alias("is_grounded"), m.array_field(doc, "hallucinations").alias("hallucinations"),
+            (m.nullable_text(revised) if structured else F.when(revised != "", revised)).alias("revised_answer"),
+            score.alias("verdict_score"), m.field(doc, "validator_notes", "string", "").alias("validator_notes"),
         ))
         .drop("doc", "reply", "judge_error")
     )
@@ -106,17 +119,22 @@ def outcome(n_hits: Column, validates: Column, answer: Column, grounded: Column,
     return text_, phase
 
 
-def answer(chunks: DataFrame, questions: DataFrame, validates: bool = True, generator=extractive_generator, judge: Judge = lexical_judge) -> DataFrame:
+def answer(
+    chunks: DataFrame, questions: DataFrame, validates: bool = True, generator=extractive_generator, judge: Judge = lexical_judge, *,
+    mode: str = "structured", k: int = r.TOP_K, figures: int = r.TOP_FIGURES, session: str | None = None,
+) -> DataFrame:
     """One row a question: answer, phase, reasoning_trace, source_chunks, validation summary and statistics.
 
-    Questions without hits skip the models.
+    Questions without hits skip the models. session: is part of the trace ids, which tell one run of a
+    question from another.
     """
-    hits = r.retrieve(chunks, questions)
-    asked = questions.select("qid", "question").join(r.source_chunks(hits), "qid", "left").join(r.context(hits), "qid", "left")
-    asked = asked.withColumn("n_hits", F.coalesce("n_hits", F.lit(0))).withColumn("trace_id", F.sha2(F.concat_ws("|", "qid", "question"), 256))
+    hits = r.rendered(r.retrieve(chunks, questions, k, figures))
+    asked = written(questions.select("qid", "question").join(hits, "qid", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0))))
+    trace_id = F.sha2(F.concat_ws("|", F.lit(session), "qid", "question"), 256)
+    asked = asked.withColumn("trace_id", trace_id)
     told = generate(asked.filter("n_hits > 0"), generator)
     if validates:
-        told = validate_answers(told, judge)
+        told = validate_answers(told, judge, mode)
     else:
         verdict = "struct<is_grounded:boolean,hallucinations:array<string>,revised_answer:string,verdict_score:double,validator_notes:string>"
         told = told.withColumn("judge_status", F.lit("skipped")).withColumn("verdict", F.lit(None).cast(verdict))

@@ -1,16 +1,20 @@
 """Retrieval: exact cosine top-k, conditional figures, merge, context.
 
 Questions are the small side and are broadcast in blocks of ``BLOCK`` rows, counted first; more
-questions mean more passes over the chunks, never a larger broadcast. The row number over a question
-is preceded by a group limit in each task, so k rows a question and task are shuffled.
+questions mean more passes over the chunks, never a larger broadcast. Each Arrow batch of chunks is
+multiplied with a block's vectors and gives out its k best of each question, ids and scores only. The
+texts of the few that win are looked up at the end, by a broadcast of at most k ids a question of a block.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import routing, text, vectors
+from ..functions import routing, text
 
 BLOCK = 256
 TOP_K, TOP_FIGURES = 8, 3
@@ -26,15 +30,52 @@ def _blocks(questions: DataFrame) -> list[DataFrame]:
     return [q for p in parts for q in (_blocks(p) if p.count() > BLOCK else [p])]
 
 
+def _best(block, k: int, digits: int = 12):
+    """The k best chunks of a batch for each question: (qid, chunk_id, score).
+
+    Scores are rounded, since the same vector's product can differ in its last bits by its place in a
+    batch, and ties must fall to the smaller id.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            names, vectors = block.value
+            ids = pdf["chunk_id"].to_numpy()
+            scores = np.round(np.stack([np.asarray(e, dtype=np.float64) for e in pdf["embedding"]]) @ vectors.T, digits)
+            rows = []
+            for q, name in enumerate(names):
+                own = scores[:, q]
+                near = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else range(len(own))
+                for i in sorted(near, key=lambda i: (-own[i], ids[i]))[:k]:  # noqa: B023
+                    rows.append((name, ids[i], own[i]))
+            yield pd.DataFrame(rows, columns=["qid", "chunk_id", "score"])
+
+    return run
+
+
 def top_k(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, chunk_type: str | None = None) -> DataFrame:
-    """hits: qid, rank (1 based), score, and the chunk's columns but the embedding. Ties fall to the smaller chunk_id."""
+    """hits: qid, rank (1 based), score, and the chunk's columns but the embedding. Ties fall to the smaller chunk_id.
+
+    Chunks and questions without a vector meet nobody.
+    """
     if chunk_type is not None:
         chunks = chunks.filter(F.col("chunk_type") == chunk_type)
+    spark = chunks.sparkSession
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    schema = T.StructType([questions.schema["qid"], chunks.schema["chunk_id"], T.StructField("score", T.DoubleType())])
     out = None
-    for block in _blocks(questions.select("qid", F.col("embedding").alias("q_vec"))):
-        scored = chunks.join(F.broadcast(block)).withColumn("score", vectors.dot(F.col("embedding"), F.col("q_vec"))).drop("embedding", "q_vec")
-        hits = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    for block in _blocks(questions.select("qid", "embedding").filter("embedding is not null")):
+        rows = block.collect()  # BLOCK rows at most
+        vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
+        held = spark.sparkContext.broadcast(([r["qid"] for r in rows], vectors))
+        if rows:
+            best = chunks.filter("embedding is not null").select("chunk_id", "embedding").mapInPandas(_best(held, k), schema)
+        else:
+            best = spark.createDataFrame([], schema)
+        hits = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        hits = chunks.drop("embedding").join(F.broadcast(hits), "chunk_id")
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -53,28 +94,34 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, figures: i
     return first.unionByName(unseen).withColumn("position", F.row_number().over(order))
 
 
+def _chunk():
+    return F.struct(
+        "chunk_id", F.col("chunk_type").alias("type"), F.col("source_file").alias("file"), F.col("page_num").alias("page"),
+        F.round("score", 3).alias("score"), F.col("intuition_summary").alias("summary"), F.col("structured_text").alias("text"),
+    )
+
+
+def _entry():
+    return text.context_entry(F.col("position"), F.col("chunk_type"), F.col("source_file"), F.col("page_num"), F.col("score"), F.col("intuition_summary"), F.col("structured_text"))
+
+
 def source_chunks(hits: DataFrame) -> DataFrame:
     """qid, source_chunks (ordered array of structs, scores to 3 places), n_hits."""
-    entry = F.struct(
-        F.col("position"),
-        F.struct(
-            "chunk_id", F.col("chunk_type").alias("type"), F.col("source_file").alias("file"), F.col("page_num").alias("page"),
-            F.round("score", 3).alias("score"), F.col("intuition_summary").alias("summary"), F.col("structured_text").alias("text"),
-        ).alias("chunk"),
-    )
-    return hits.groupBy("qid").agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["chunk"]).alias("source_chunks"), F.count("*").alias("n_hits")
-    )
+    return rendered(hits).select("qid", "source_chunks", "n_hits")
 
 
 def context(hits: DataFrame) -> DataFrame:
     """qid, context (numbered entries for the generator), sources (numbered texts for the judge)."""
-    pos = F.col("position")
-    entry = text.context_entry(pos, F.col("chunk_type"), F.col("source_file"), F.col("page_num"), F.col("score"), F.col("intuition_summary"), F.col("structured_text"))
-    both = F.struct(pos, entry.alias("e"), text.judge_entry(pos, F.col("structured_text")).alias("j"))
-    rows = F.array_sort(F.collect_list(both))
-    return hits.groupBy("qid").agg(rows.alias("r")).select(
-        "qid", F.array_join(F.transform("r", lambda x: x["e"]), text.CONTEXT_SEPARATOR).alias("context"),
+    return rendered(hits).select("qid", "context", "sources")
+
+
+def rendered(hits: DataFrame) -> DataFrame:
+    """qid, source_chunks, n_hits, context and sources: all that a question's hits are turned into, in one aggregation."""
+    entry = F.struct(F.col("position"), _chunk().alias("chunk"), _entry().alias("e"), text.judge_entry(F.col("position"), F.col("structured_text")).alias("j"))
+    rows = hits.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("r"), F.count("*").alias("n_hits"))
+    return rows.select(
+        "qid", F.transform("r", lambda x: x["chunk"]).alias("source_chunks"), "n_hits",
+        F.array_join(F.transform("r", lambda x: x["e"]), text.CONTEXT_SEPARATOR).alias("context"),
         F.array_join(F.transform("r", lambda x: x["j"]), "\n\n").alias("sources"),
     )
 

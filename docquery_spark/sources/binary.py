@@ -55,8 +55,8 @@ def read(spark: SparkSession, path: str, parser: Parser, pattern: str = "*.pdf")
 
     def run(batches):
         for pdf in batches:
-            rows = [r for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in chunks_of(p, bytes(c), parser)]
-            yield pd.DataFrame(rows, columns=RAW_CHUNKS.fieldNames())
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):  # one document's chunks at a time
+                yield pd.DataFrame(chunks_of(p, bytes(c), parser), columns=RAW_CHUNKS.fieldNames())
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, RAW_CHUNKS)
