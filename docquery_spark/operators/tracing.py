@@ -12,7 +12,7 @@ from .sinks import append_events
 
 
 class Trace:
-    """Collects spans and appends them to a table at the end; without a path it only keeps them."""
+    """Collects spans and appends them to the table ``events`` of a folder at the end; without a path it only keeps them."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, trace_id: str | None = None):
         self.spark, self.path, self.trace_id = spark, path, trace_id or uuid.uuid4().hex
@@ -32,5 +32,5 @@ class Trace:
 
     def flush(self) -> None:
         if self.path and self.events:
-            append_events(self.spark, self.events, self.path)
+            append_events(self.spark, self.events, f"{self.path}/events")
         self.events = []

@@ -194,7 +194,7 @@ def test_trace_records_errors(spark, tmp_path):
     with pytest.raises(KeyError), trace.span("outer"), trace.span("inner"):
         raise KeyError("x")
     trace.flush()
-    rows = spark.read.parquet(str(tmp_path / "t")).collect()
+    rows = spark.read.parquet(str(tmp_path / "t" / "events")).collect()
     assert {(r["span"], r["level"]) for r in rows} == {("inner", "ERROR"), ("outer", "ERROR")} and all(r["elapsed_ms"] >= 0 for r in rows)
 
 
@@ -264,5 +264,164 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--storage-dir", storage, "--output", out, "pipeline", str(tmp_path / "d"), "What accuracy was reached in Paris?"]) == 0
     printed = capsys.readouterr().out
     assert "text: 1" in printed and "95 percent" in printed and "1 sources" in printed
+    assert "total: 1 of 1 (1 accepted, 0 corrected, 0 discarded)" in printed and "grounded: True" in printed
+    (tmp_path / ".env").write_text(f"# keys\nexport DOCQUERY_TRACE_DIR='{tmp_path}/trace'\n")
+    assert main(["--storage-dir", storage, "--env-file", str(tmp_path / ".env"), "query", "method?", "--session-id", "s1", "--answer-mode", "json"]) == 0
+    events = spark.read.parquet(f"{tmp_path}/trace/events").collect()
+    assert {(r["trace_id"], r["span"]) for r in events} == {("s1", "query")} and spark.read.parquet(f"{tmp_path}/trace/scores").count() == 1
+    assert main(["--storage-dir", storage, "ingest", str(tmp_path / "d"), "--mode", "linked"]) == 0
+    assert main(["--storage-dir", storage, "query", "x", "--generator", "nobody"]) == 1
     assert main(["--storage-dir", storage, "query", "method?", "--no-validate"]) == 0
     assert main(["--storage-dir", storage, "ingest", str(tmp_path / "missing")]) == 1
+
+
+def test_store_merges_tables_and_purges(spark, tmp_path, monkeypatch):
+    from docquery_spark.operators import store as st
+
+    monkeypatch.setattr(st, "MAX_TABLES", 3)
+    monkeypatch.setattr(st, "KEPT", 2)
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    base = storable(ingest.ingest(raw(spark, ("text", 1, BODY, None)), judge=None))
+    for i in range(7):
+        store.upsert(base.unionByName(base.withColumn("chunk_id", F.lit(f"c{i}"))).withColumn("structured_text", F.lit(f"t{i}")))
+        rows = {r["chunk_id"]: r["structured_text"] for r in store.read().collect()}
+        assert len(rows) == i + 2 == store.read().count() and sum(t == f"t{i}" for t in rows.values()) == 2
+        assert len(store.tables(store.versions()[-1])) <= 3
+    assert len(store.versions()) == 2
+    held = {t for v in store.versions() for t in store.tables(v)}
+    assert {p.name for p in (tmp_path / "s" / "data").iterdir()} >= held and len(list((tmp_path / "s" / "data").iterdir())) <= len(held) + 3
+
+
+def test_store_keeps_both_of_two_writers(spark, tmp_path, monkeypatch):
+    one, two = ChunkStore(spark, str(tmp_path / "s")), ChunkStore(spark, str(tmp_path / "s"))
+    base = storable(ingest.ingest(raw(spark, ("text", 1, BODY, None)), judge=None))
+    commit, first = one._commit, []
+
+    def late(name, tables):
+        if not first:  # the other writer commits between this one's look and its commit
+            first.append(two.upsert(base.withColumn("chunk_id", F.lit("two"))))
+        return commit(name, tables)
+
+    monkeypatch.setattr(one, "_commit", late)
+    one.upsert(base.withColumn("chunk_id", F.lit("one")))
+    assert {r["chunk_id"] for r in one.read().collect()} == {"one", "two"}
+
+
+def test_images_reach_models_and_fall_back(spark):
+    def extractor(kind, content, retry, image=None):
+        if image == b"bad":
+            raise RuntimeError("no picture")
+        return json.dumps({"structured_text": f"{kind} of {len(image or b'')} bytes", "confidence": 0.9})
+
+    def judge(claim, original, image=None):
+        if image == b"seen":
+            return json.dumps({"is_valid": True, "verdict_score": 0.7, "validator_notes": json.loads(claim)["structured_text"]})
+        if image is not None:
+            raise RuntimeError("no picture")
+        return json.dumps({"is_valid": original.startswith("[Figure: {"), "verdict_score": 0.6})
+
+    rows = [("figure", i, i, None, b, None, "f.pdf", None) for i, b in enumerate([b"seen", b"other", b"bad"])]
+    done = {r["page_num"]: r for r in ingest.ingest(spark.createDataFrame(rows, RAW_CHUNKS), extractor, judge, ocr=lambda image: "read by ocr").collect()}
+    assert done[0]["validation"]["validator_notes"] == "figure of 4 bytes" and done[0]["validation"]["verdict_score"] == 0.7
+    assert done[1]["judge_status"] == "ok" and done[1]["disposition"] == "accepted" and done[1]["validation"]["verdict_score"] == 0.6
+    assert (done[2]["structured_text"], done[2]["confidence"], done[2]["agent_notes"]) == ("read by ocr", 0.3, "Vision model not loaded.")
+    assert "raw_image" not in done[0].asDict()
+
+
+def test_retry_note_is_no_content(spark):
+    seen = ingest.extract(raw(spark, ("text", 1, BODY, None)), lambda kind, content, retry: json.dumps({"structured_text": content, "confidence": 0.1})).first()
+    assert seen["structured_text"] == BODY
+
+
+def test_routed_extractors(spark):
+    from docquery_spark.operators.models import identity_extractor, routed
+
+    rows = raw(spark, ("text", 1, BODY, None), ("table", 2, "| t |", None), ("figure", 3, None, None))
+    got = {r["chunk_type"]: r for r in ingest.extract(rows, routed(text=identity_extractor, table=rule_extractor)).collect()}
+    assert got["text"]["confidence"] == 0.8 and got["text"]["structured_text"] == BODY and got["table"]["extract_status"] == "no JSON"
+    assert got["figure"]["extract_status"].startswith("error: KeyError") and got["figure"]["confidence"] == 0.3
+
+
+def test_linked_ingest_and_its_fallback(spark):
+    rows = raw(spark, ("text", 1, "As Figure 2 shows, the results of all runs are stable over time.", None), ("text", 2, "Figure 2. Results of all runs over the whole of the time.", None))
+    done = {r["page_num"]: r for r in ingest.ingest_linked(rows).collect()}
+    assert [x["target_chunk_id"] for x in done[1]["cross_links"]] == [done[2]["chunk_id"]] and done[2]["cross_links"] == []
+    assert {r["disposition"] for r in done.values()} == {"accepted"} and done[1]["confidence"] == 0.8
+
+    def broken(raw):
+        raise ValueError("no linker")
+
+    chunks, status = ingest.ingest_or_standard(rows, broken)
+    assert status == "ValueError: no linker" and chunks.count() == 2
+    assert ingest.ingest_or_standard(rows)[1] == "ok"
+
+
+@pytest.mark.parametrize(("mode", "reply", "want"), [
+    ("structured", '{"is_grounded": false, "revised_answer": "NULL", "verdict_score": "0.3", "hallucinations": "x"}', (False, None, 0.3, ["x"])),
+    ("json", '{"is_grounded": false, "revised_answer": "NULL", "verdict_score": 0.3, "hallucinations": ["x"]}', (False, "NULL", 0.3, ["x"])),
+    ("structured", '{"verdict_score": "high"}', (True, None, 1.0, [])),
+    ("structured", None, (True, None, 0.5, [])),
+    ("json", None, (True, None, 1.0, [])),
+])
+def test_checkpoint_b_modes(spark, mode, reply, want):
+    def judge(claim, sources):
+        assert ("[ANSWER]" in sources) == (mode == "json")
+        if reply is None:
+            raise RuntimeError("down")
+        return reply
+
+    rows = spark.createDataFrame([("q", "a", "s")], "question string, answer string, sources string")
+    v = answer.validate_answers(rows, judge, mode).first()["verdict"]
+    assert (v["is_grounded"], v["revised_answer"], v["verdict_score"], v["hallucinations"]) == want
+    with pytest.raises(ValueError, match="mode"):
+        answer.validate_answers(rows, judge, "other")
+
+
+def test_registry_and_live_settings():
+    from docquery_spark.operators import registry
+
+    settings = Settings()
+    assert registry.role("extractor") is rule_extractor and registry.role("chunk_judge", "none") is None
+    assert registry.role("generator", "json:dumps") is json.dumps
+    with pytest.raises(KeyError, match="nobody"):
+        registry.role("generator", "nobody")
+    for key, value in (("validation.confidence_floor", 0.4), ("validation.enable_checkpoint_a", False), ("pipeline.max_context_chunks", 2), ("validation.answer_mode", "json"), ("models.extractor", "served:m"), ("models.server.url", "http://h/v1")):
+        settings.put(key, value)
+    into, out = registry.ingest_options(settings), registry.answer_options(settings)
+    assert into["floor"] == 0.4 and into["judge"] is None and into["extractor"].__self__.url == "http://h/v1"
+    assert out["k"] == 2 and out["mode"] == "json" and out["validates"]
+
+
+def test_served_model(spark):
+    """Against a server of our own."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from docquery_spark.operators.served import ServedModel
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers.get("Authorization"), body))
+            user = body["messages"][1]["content"]
+            user = user if isinstance(user, str) else user[0]["text"] + " with image"
+            reply = json.dumps({"structured_text": user, "confidence": 0.2 if "one JSON" not in user else 0.9, "is_valid": True})
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": reply}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = ServedModel(f"http://127.0.0.1:{server.server_port}/v1", "m", "secret")
+    got = ingest.ingest(raw(spark, ("text", 1, BODY, None)), model.extractor, model.chunk_judge).first()
+    assert got["confidence"] == 0.9 and got["structured_text"].startswith(BODY) and got["disposition"] == "accepted"
+    assert "with image" in model.extractor("figure", "f", False, b"x") and model.generator("q", "c") and model.answer_judge("a", "[SOURCES]")
+    assert {x[0] for x in seen} == {"/v1/chat/completions"} and {x[1] for x in seen} == {"Bearer secret"} and len(seen) == 6
+    server.shutdown()
+    down = ingest.ingest(raw(spark, ("text", 1, BODY, None)), ServedModel("http://127.0.0.1:9/v1", "m").extractor, judge=None).first()
+    assert down["extract_status"].startswith("error: ")
