@@ -183,10 +183,10 @@ def accept(validated: DataFrame, fail_open: bool = True, floor: float = routing.
     return placed.withColumns({c: F.when(use, v["corrected"][c]).otherwise(F.col(c)) for c in ("structured_text", "intuition_summary", "key_concepts", "confidence", "agent_notes")})
 
 
-def counters(accepted: DataFrame) -> DataFrame:
-    """One row: raw, accepted, corrected, discarded, upserted."""
+def counters(accepted: DataFrame, *by: str) -> DataFrame:
+    """One row, or one a value of ``by``: raw, accepted, corrected, discarded, upserted."""
     of = lambda d: F.count_if(F.col("disposition") == d)
-    return accepted.agg(
+    return accepted.groupBy(*by).agg(
         F.count("*").alias("raw"), of("accepted").alias("accepted"), of("corrected").alias("corrected"), of("discarded").alias("discarded"),
         F.count_if(F.col("disposition") != "discarded").alias("upserted"),
     )

@@ -1,7 +1,8 @@
 """One query for each operator, over whole tables or small stated fixtures, with SQL for each.
 
 Chunks are derived from ``documents`` and ``embeddings`` (see :func:`..sources.documents.embedded_chunks`).
-Behaviour that the tables don't show, as model replies, uses the rows of :data:`FIXTURES` in both engines.
+Questions are all vectors whose number is divisible by 100. Behaviour that the tables don't show, as
+model replies, uses the rows of :data:`FIXTURES` in both engines; queries of whole stages are in ``stages``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         (0, '{"structured_text": "a", "confidence": 0.9}'), (1, 'Sure: {"structured_text": "b"} done'), (2, '{"a": 1} and {"b": 2}'),
         (3, '<think>plan {x}</think>{"confidence": 0.4}'), (4, '<THINK>one</THINK> mid <think>two</think> end'), (5, "{broken"), (6, ""),
         (7, '{"structured_text": null, "key_concepts": ["p", "q"]}'), (8, "plain answer"), (9, None),
+        (10, "<think>\nplan\n</think>\n\nParis.\n"), (11, '\t{\n"structured_text": "c"\n}\n'), (12, '{"a": 1}, {"b": 2}'), (13, '{"a": 1}} {"b": {}'), (14, "\u3000 wide\t"),
     ]),
     "images": ("iid long, width int, height int", [(0, 79, 80), (1, 80, 79), (2, 80, 80), (3, 611, 278), (4, None, 100)]),
     "tables": ("tid long, cells array<array<string>>", [
@@ -45,7 +47,7 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         ])
     ]),
     "issues": ("iid long, issues array<string>", [(0, []), (1, ["a"]), (2, ["a", "b; c"]), (3, None)]),
-    "score_types": ("sid long, data_type string", [(0, "numeric"), (1, " Boolean "), (2, "CATEGORICAL"), (3, "correction"), (4, "other"), (5, None)]),
+    "score_types": ("sid long, data_type string", [(0, "numeric"), (1, " Boolean "), (2, "CATEGORICAL"), (3, "correction"), (4, "other"), (5, None), (6, "categorical\n"), (7, "\tboolean\u3000")]),
     "paths": ("pid long, path string", [(0, "/data/a/report.v2.pdf"), (1, "plain"), (2, "s3://b/x.pdf"), (3, ".hidden")]),
 }
 
@@ -87,23 +89,24 @@ def _chunks(spark, d):
     return documents.embedded_chunks(_t(spark, d, "documents"), _t(spark, d, "embeddings"))
 
 
-N_QUESTIONS = 10
+def _plain(spark, d):
+    return documents.document_chunks(_t(spark, d, "documents"))
 
 
 def _questions(spark, d):
-    """Vectors 0-9 as questions; every other one asks for a figure."""
-    vec = _t(spark, d, "embeddings").filter(F.col("vec_id") < N_QUESTIONS)
-    return vec.select(F.col("vec_id").alias("qid"), F.when(F.col("vec_id") % 2 == 0, "What does the figure show?").otherwise("What is the method?").alias("question"), "embedding")
+    """Every vector whose number is divisible by 100 as a question; every other one asks for a figure."""
+    vec = _t(spark, d, "embeddings").filter(F.col("vec_id") % 100 == 0)
+    return vec.select(F.col("vec_id").alias("qid"), F.when(F.col("vec_id") % 200 == 0, "What does the figure show?").otherwise("What is the method?").alias("question"), "embedding")
 
 
-CHUNKS = """(SELECT doc_id AS chunk_id, ['text', 'table', 'figure'][CAST(doc_id % 3 + 1 AS INTEGER)] AS chunk_type, CAST(doc_id % 10 + 1 AS INTEGER) AS page_num,
-  source AS source_file, text AS structured_text, substr(text, 1, 60) AS intuition_summary, (doc_id * 37 % 101) / 100.0::DOUBLE AS confidence, embedding
-  FROM documents JOIN embeddings ON doc_id = vec_id)"""
+PLAIN = """(SELECT doc_id AS chunk_id, ['text', 'table', 'figure'][CAST(doc_id % 3 + 1 AS INTEGER)] AS chunk_type, CAST(doc_id % 10 + 1 AS INTEGER) AS page_num,
+  source AS source_file, text AS structured_text, substr(text, 1, 60) AS intuition_summary, (doc_id * 37 % 101) / 100.0::DOUBLE AS confidence FROM documents)"""
+CHUNKS = f"(SELECT p.*, embedding FROM {PLAIN} p JOIN embeddings ON chunk_id % (SELECT count(*) FROM embeddings) = vec_id)"
 SCORED = f"""(SELECT q.vec_id AS qid, c.* EXCLUDE (embedding), list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score
-  FROM {CHUNKS} c CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < {N_QUESTIONS}) q)"""
+  FROM {CHUNKS} c CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)"""
 HITS = f"""s AS {SCORED},
 f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 8),
-g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s WHERE chunk_type = 'figure' AND qid % 2 = 0 QUALIFY rank <= 3),
+g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s WHERE chunk_type = 'figure' AND qid % 200 = 0 QUALIFY rank <= 3),
 u AS (SELECT *, 'primary' AS source FROM f UNION ALL SELECT *, 'figure' AS source FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.qid = g.qid AND f.structured_text = g.structured_text)),
 hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY source DESC, rank) AS position FROM u)"""
 STRIP = r"regexp_replace(text, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g')"
@@ -144,19 +147,19 @@ def table_to_markdown(spark, d):
     return fixture(spark, "tables").select("tid", text.table_to_markdown(F.col("cells")).alias("markdown"))
 
 
-@query(f"SELECT k.t AS chunk_type, count(c.chunk_id) AS n FROM (VALUES ('text'), ('table'), ('figure')) k(t) LEFT JOIN (SELECT * FROM {CHUNKS} WHERE chunk_type <> 'table') c ON c.chunk_type = k.t GROUP BY k.t")
+@query(f"SELECT k.t AS chunk_type, count(c.chunk_id) AS n FROM (VALUES ('text'), ('table'), ('figure')) k(t) LEFT JOIN {PLAIN} c ON c.chunk_type = k.t GROUP BY k.t")
 def chunk_type_counts(spark, d):
-    return ingest.type_counts(_chunks(spark, d).filter("chunk_type <> 'table'"))
+    return ingest.type_counts(_plain(spark, d))
 
 
-@query(f"SELECT chunk_id, confidence FROM {CHUNKS} WHERE confidence >= 0.25")
+@query(f"SELECT chunk_id, confidence FROM {PLAIN} WHERE confidence >= 0.25")
 def confidence_floor(spark, d):
-    return _chunks(spark, d).filter(F.col("confidence") >= routing.CONFIDENCE_FLOOR).select("chunk_id", "confidence")
+    return _plain(spark, d).filter(F.col("confidence") >= routing.CONFIDENCE_FLOOR).select("chunk_id", "confidence")
 
 
-@query(f"SELECT chunk_id, confidence FROM {CHUNKS} WHERE confidence < 0.5")
+@query(f"SELECT chunk_id, confidence FROM {PLAIN} WHERE confidence < 0.5")
 def retry_candidates(spark, d):
-    return _chunks(spark, d).filter(routing.needs_retry(F.col("confidence"))).select("chunk_id", "confidence")
+    return _plain(spark, d).filter(routing.needs_retry(F.col("confidence"))).select("chunk_id", "confidence")
 
 
 @query(f"""SELECT vid, CASE WHEN NOT valid AND corrected THEN 'corrected' WHEN valid AND coalesce(confidence, 0) >= 0.25 THEN 'accepted' ELSE 'discarded' END AS disposition
@@ -165,27 +168,29 @@ def acceptance_disposition(spark, d):
     return fixture(spark, "validations").select("vid", routing.disposition(F.col("valid"), F.col("corrected"), F.col("confidence")).alias("disposition"))
 
 
-@query("""SELECT coalesce(l.quality, -1) AS quality, count(*) AS raw, CAST(count_if(q = 'corrected') AS BIGINT) AS corrected, CAST(count_if(q = 'accepted') AS BIGINT) AS accepted, CAST(count_if(q = 'discarded') AS BIGINT) AS discarded FROM (
+@query("""SELECT coalesce(l.quality, -1) AS quality, count(*) AS raw, CAST(count_if(q = 'corrected') AS BIGINT) AS corrected, CAST(count_if(q = 'accepted') AS BIGINT) AS accepted, CAST(count_if(q = 'discarded') AS BIGINT) AS discarded, CAST(count_if(q <> 'discarded') AS BIGINT) AS upserted FROM (
   SELECT l.quality, CASE WHEN coalesce(l.quality, 0) = 0 AND coalesce(l.toxic, 0) = 1 THEN 'corrected' WHEN coalesce(l.quality, 0) = 1 AND (doc_id * 37 % 101) / 100.0 >= 0.25 THEN 'accepted' ELSE 'discarded' END AS q
   FROM documents LEFT JOIN labels l USING (doc_id)) l GROUP BY ALL""")
 def acceptance_counters(spark, d):
     rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
     q, t = F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0))
     placed = rows.withColumn("disposition", routing.disposition(q == 1, t == 1, F.col("doc_id") * 37 % 101 / 100.0))
-    n = lambda x: F.count_if(F.col("disposition") == x).alias(x)
-    return placed.groupBy(F.coalesce("quality", F.lit(-1)).alias("quality")).agg(F.count("*").alias("raw"), n("corrected"), n("accepted"), n("discarded"))
+    return ingest.counters(placed.withColumn("quality", F.coalesce("quality", F.lit(-1))), "quality")
 
 
 _BODY = r"regexp_extract(regexp_replace(reply, '<think>.*?</think>', '', 'gis'), '\{.*\}', 0, 's')"
 
 
-@query(f"SELECT rid, CASE WHEN {_BODY} <> '' AND json_valid({_BODY}) THEN {_BODY} ELSE '{{}}' END AS doc FROM {values('replies')} WHERE rid <> 2")
+@query(f"SELECT rid, CASE WHEN {_BODY} <> '' AND json_valid({_BODY}) THEN {_BODY} ELSE '{{}}' END AS doc FROM {values('replies')}")
 def safe_json_extract(spark, d):
-    rows = fixture(spark, "replies").filter("rid <> 2")  # trailing text after the first object: engines differ, see the tests
-    return rows.select("rid", m.json_text(F.col("reply"), reasoning=True).alias("doc"))
+    return fixture(spark, "replies").select("rid", m.json_text(F.col("reply"), reasoning=True).alias("doc"))
 
 
-@query(rf"""SELECT rid, trim(regexp_replace(reply, '<think>.*?</think>', '', 'gis')) AS answer, trim(regexp_extract(reply, '<think>(.*?)</think>', 1, 'is')) AS reasoning
+def _stripped(sql: str) -> str:
+    return STRIP.replace("(text,", f"({sql},", 1)
+
+
+@query(f"""SELECT rid, {_stripped("regexp_replace(reply, '<think>.*?</think>', '', 'gis')")} AS answer, {_stripped("regexp_extract(reply, '<think>(.*?)</think>', 1, 'is')")} AS reasoning
   FROM {values('replies')}""")
 def strip_reasoning(spark, d):
     return fixture(spark, "replies").select("rid", m.answer_text(F.col("reply")).alias("answer"), m.reasoning(F.col("reply")).alias("reasoning"))
@@ -193,10 +198,10 @@ def strip_reasoning(spark, d):
 
 @query(f"""SELECT rid, coalesce(json_extract_string(j, '$.structured_text'), 'content') AS structured_text, coalesce(CAST(json_extract_string(j, '$.confidence') AS DOUBLE), 0.7) AS confidence,
   coalesce(len(json_extract_string(j, '$.key_concepts[*]')), 0) AS n_concepts
-  FROM (SELECT rid, CASE WHEN {_BODY} <> '' AND json_valid({_BODY}) THEN {_BODY} ELSE '{{}}' END AS j FROM {values('replies')} WHERE rid <> 2)""")
+  FROM (SELECT rid, CASE WHEN {_BODY} <> '' AND json_valid({_BODY}) THEN {_BODY} ELSE '{{}}' END AS j FROM {values('replies')})""")
 def extract_defaults(spark, d):
     doc = m.json_variant(F.col("reply"), reasoning=True)
-    return fixture(spark, "replies").filter("rid <> 2").select(
+    return fixture(spark, "replies").select(
         "rid", m.field(doc, "structured_text", "string", "content").alias("structured_text"), m.field(doc, "confidence", "double", 0.7).alias("confidence"),
         F.size(m.array_field(doc, "key_concepts")).cast("long").alias("n_concepts"),
     )
@@ -217,10 +222,11 @@ def vector_norms(spark, d):
     return _t(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query(f"SELECT chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM {SCORED} WHERE qid = 0) WHERE rank <= 8")
+@query(f"SELECT qid, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM {SCORED}) WHERE rank <= 6")
 def cosine_topk(spark, d):
-    hits = retrieve.top_k(_chunks(spark, d), _questions(spark, d).filter("qid = 0"))
-    return hits.select("chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    """The six nearest, which is what a search gives when it names no number."""
+    hits = retrieve.top_k(_chunks(spark, d), _questions(spark, d), 6)
+    return hits.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT qid, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM {SCORED}) WHERE rank <= 8")
@@ -290,10 +296,14 @@ def attach_links(spark, d):
 
 
 @query(f"""WITH {HITS} SELECT q.qid, coalesce(n, 0) AS n_hits, coalesce(n, 0) = 0 AS insufficient_context
-  FROM {values('questions')} q LEFT JOIN (SELECT qid, count(*) AS n FROM hits WHERE qid IN (0, 1, 2) GROUP BY qid) h USING (qid)""")
+  FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT -1 - qid FROM {values('questions')}) q LEFT JOIN (SELECT qid, count(*) AS n FROM hits GROUP BY qid) h USING (qid)""")
 def quality_gate(spark, d):
-    hits = retrieve.retrieve(_chunks(spark, d), _questions(spark, d)).filter("qid in (0, 1, 2)")
-    return retrieve.with_hit_counts(fixture(spark, "questions"), hits).select("qid", "n_hits", (F.col("n_hits") == 0).alias("insufficient_context"))
+    """Questions with a vector, and some without, which meet no chunk."""
+    none = fixture(spark, "questions").select((-1 - F.col("qid")).alias("qid"), "question", F.lit(None).alias("embedding"))
+    questions = _questions(spark, d)
+    questions = questions.unionByName(none.withColumn("embedding", F.col("embedding").cast(questions.schema["embedding"].dataType)))
+    hits = retrieve.retrieve(_chunks(spark, d), questions)
+    return retrieve.with_hit_counts(questions, hits).select("qid", "n_hits", (F.col("n_hits") == 0).alias("insufficient_context"))
 
 
 @query(f"""SELECT wid, CASE WHEN n_hits = 0 THEN '{answer.NO_CONTEXT_ANSWER.replace("'", "''")}' WHEN answer IS NULL THEN '{answer.ERROR_ANSWER}' WHEN NOT validates THEN answer
@@ -324,14 +334,6 @@ def serialize_truncate(spark, d):
     return rows.select("doc_id", F.md5(F.col("structured_text").cast("binary")).alias("cut_md5"), F.md5(cut.cast("binary")).alias("trace_md5"))
 
 
-@query("""SELECT doc_id, md5(text) AS text_md5, version FROM (SELECT doc_id, text, 'old' AS version FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)
-  UNION ALL SELECT doc_id, 'label ' || quality, 'new' FROM labels)""")
-def store_upsert(spark, d):
-    old = _t(spark, d, "documents").select("doc_id", "text", F.lit("old").alias("version"))
-    new = _t(spark, d, "labels").select("doc_id", F.concat(F.lit("label "), F.col("quality").cast("string")).alias("text"), F.lit("new").alias("version"))
-    return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "version")
-
-
 @query("""SELECT u.conv_id, u.turn, md5(u.text) AS question_md5, md5(a.text) AS answer_md5 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'""")
 def qa_pairs(spark, d):
@@ -346,7 +348,10 @@ def word_token_count(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"))
 
 
-@query(f"SELECT sid, CASE WHEN upper(trim(data_type)) IN ('NUMERIC', 'BOOLEAN', 'CATEGORICAL', 'CORRECTION') THEN upper(trim(data_type)) ELSE 'NUMERIC' END AS data_type FROM {values('score_types')}")
+_TYPE = f"upper({_stripped('data_type')})"
+
+
+@query(f"SELECT sid, CASE WHEN {_TYPE} IN ('NUMERIC', 'BOOLEAN', 'CATEGORICAL', 'CORRECTION') THEN {_TYPE} ELSE 'NUMERIC' END AS data_type FROM {values('score_types')}")
 def score_type_normalize(spark, d):
     return fixture(spark, "score_types").select("sid", routing.score_type(F.col("data_type")).alias("data_type"))
 
@@ -365,19 +370,9 @@ def page_chunks(spark, d):
     return raw.select(F.col("source_file").alias("url"), F.md5(F.col("raw_text").cast("binary")).alias("text_md5"))
 
 
-@query(None)
-def ingest_documents(spark, d):
-    """Model stages (rules stand in for models): rows only."""
-    done = ingest.ingest(documents.raw_from_documents(_t(spark, d, "documents")))
-    return done.select("chunk_id", "chunk_type", "source_file", "confidence", "extract_status", "judge_status", "disposition")
-
-
-@query(None)
-def answer_questions(spark, d):
-    """The whole query path with stand-in models: rows only."""
-    return answer.answer(_chunks(spark, d), _questions(spark, d)).drop("source_chunks", "validation_summary")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval, context, generation, checkpoint B and the outcome of ten questions."""
+    """Retrieval, context, generation, checkpoint B and the outcome of the questions."""
     return answer.answer(_chunks(spark, sf_dir), _questions(spark, sf_dir))
+
+
+from . import stages  # noqa: E402, F401 - adds the queries of whole stages

@@ -26,11 +26,21 @@ def raw_from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def embedded_chunks(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Documents with the vector of the same number as chunks. The pairing has no meaning; it tests operators."""
+def document_chunks(docs: DataFrame) -> DataFrame:
+    """Documents as chunks of three types, ten pages and 101 confidences, all by their id."""
     kind = F.element_at(F.array(F.lit("text"), F.lit("table"), F.lit("figure")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return docs.join(embeddings, docs["doc_id"] == embeddings["vec_id"]).select(
+    return docs.select(
         F.col("doc_id").alias("chunk_id"), kind.alias("chunk_type"), (F.col("doc_id") % 10 + 1).cast("int").alias("page_num"),
         F.col("source").alias("source_file"), F.col("text").alias("structured_text"), F.substring("text", 1, 60).alias("intuition_summary"),
-        (F.col("doc_id") * 37 % 101 / 100.0).alias("confidence"), "embedding",
+        (F.col("doc_id") * 37 % 101 / 100.0).alias("confidence"),
     )
+
+
+def embedded_chunks(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Document chunks, each with a vector: the one whose number is its id, modulo the number of vectors.
+
+    The pairing has no meaning; it tests operators. Documents that share a vector tie.
+    """
+    n = max(1, embeddings.count())
+    chunks = document_chunks(docs)
+    return chunks.join(embeddings, chunks["chunk_id"] % n == embeddings["vec_id"]).select(*chunks.columns, "embedding")

@@ -1,5 +1,6 @@
 """Every catalogue query against its SQL, both of which must return rows."""
 
+import os
 from pathlib import Path
 
 import duckdb
@@ -47,6 +48,7 @@ def test_entry_imports_without_the_training_data_folder(tmp_path):
     root = Path(__file__).resolve().parents[1]
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     shutil.copytree(root / "docquery_spark", tmp_path / "docquery_spark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') for n in q); print(len(q))"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
-    assert done.returncode == 0, done.stderr
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') for n in q); from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); print('rows', q['table_row_gate'](s, '').count())"
+    env = {k: v for k, v in os.environ.items() if k in ("PATH", "JAVA_HOME", "HOME")} | {"PYTHONPATH": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env)
+    assert done.returncode == 0 and "rows 2" in done.stdout, done.stderr
