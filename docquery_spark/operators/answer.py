@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +13,7 @@ from ..functions import model_output as m
 from ..functions import text
 from ..tables import written
 from . import retrieve as r
-from .models import Judge, in_batches, lexical_judge
+from .models import Generator, Judge, in_batches, lexical_judge
 
 # Answers for questions without hits and without an answer.
 NO_CONTEXT_ANSWER = "[No relevant context found] I couldn't find relevant information in the document to answer your question."
@@ -32,7 +31,7 @@ def extractive_generator(question: str, context: str) -> str:
     return f"<think>best source: {head}</think>{body[:300].strip()} [{cite}]"
 
 
-def generate(asked: DataFrame, generator: Callable[[str, str], str] = extractive_generator) -> DataFrame:
+def generate(asked: DataFrame, generator: Generator = extractive_generator) -> DataFrame:
     """asked: question, context, ... -> adds answer, reasoning_trace, generate_status."""
 
     def load():
@@ -120,7 +119,7 @@ def outcome(n_hits: Column, validates: Column, answer: Column, grounded: Column,
 
 
 def answer(
-    chunks: DataFrame, questions: DataFrame, validates: bool = True, generator=extractive_generator, judge: Judge = lexical_judge, *,
+    chunks: DataFrame, questions: DataFrame, validates: bool = True, generator: Generator = extractive_generator, judge: Judge = lexical_judge, *,
     mode: str = "structured", k: int = r.TOP_K, figures: int = r.TOP_FIGURES, session: str | None = None,
 ) -> DataFrame:
     """One row a question: answer, phase, reasoning_trace, source_chunks, validation summary and statistics.

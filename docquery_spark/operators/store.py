@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..schemas import STORE
 from ..tables import file_system
-from .models import hashed_words
+from .models import Embedder, hashed_words
 
 MAX_TABLES = 8
 KEPT = 8
@@ -109,7 +109,7 @@ class ChunkStore:
             self._fs.delete(self._path(f"{self.root}/_versions/{v}"), False)
 
 
-def storable(chunks: DataFrame, embedder=hashed_words, dimensions: int = 64) -> DataFrame:
+def storable(chunks: DataFrame, embedder: Embedder = hashed_words, dimensions: int = 64) -> DataFrame:
     """Chunks that aren't discarded in the store's columns, with unit-length embeddings of text and summary."""
     @F.pandas_udf("array<double>")
     def embed(body: pd.Series) -> pd.Series:

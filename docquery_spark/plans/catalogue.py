@@ -235,6 +235,15 @@ def cosine_topk_batch(spark, d):
     return hits.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 0 ELSE 1 END::DOUBLE AS unit_norm, CASE WHEN vec_id % 5 = 0 THEN 0 ELSE 1 END::DOUBLE AS cosine FROM embeddings")
+def unit_vectors(spark, d):
+    """Vectors times the rest of their number by 5, zero vectors among them: made unit again, and held against the original."""
+    scaled = F.transform("embedding", lambda x: x * (F.col("vec_id") % 5))
+    rows = _t(spark, d, "embeddings").select("vec_id", "embedding", scaled.alias("scaled"))
+    unit, near = vectors.norm(vectors.normalise(F.col("scaled"))), vectors.cosine(F.col("embedding"), F.col("scaled"))
+    return rows.select("vec_id", F.round(unit, 6).alias("unit_norm"), F.round(near, 6).alias("cosine"))
+
+
 @query(f"""SELECT qid, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank
   FROM {SCORED} WHERE chunk_type = 'figure') WHERE rank <= 3""")
 def type_filtered_topk(spark, d):

@@ -19,7 +19,7 @@ from ..operators import answer, ingest, linking, sinks
 from ..operators.store import ChunkStore, storable
 from ..operators.tracing import Trace
 from ..schemas import RAW_CHUNKS, SCORES
-from ..sources import documents
+from ..sources import binary, documents
 from ..tables import file_system, shared_folder
 from .catalogue import FIXTURES, HITS, PLAIN, STRIP, _chunks, _plain, _questions, _stripped, _t, fixture, query, values
 
@@ -142,6 +142,36 @@ def extract_chunks(spark, d):
     return done.select("page_num", "chunk_type", "structured_text", "intuition_summary", F.array_join("key_concepts", "|").alias("concepts"), "confidence", "agent_notes", "extract_status")
 
 
+@query(f"SELECT iid || '.png' AS source_file FROM {values('images')} WHERE width >= 80 AND height >= 80")
+def image_files(spark, d):
+    """Figure chunks of image files that are large enough."""
+    rows = fixture(spark, "images").select(F.concat(F.lit("/x/"), F.col("iid").cast("string"), F.lit(".png")).alias("path"), "width", "height", F.lit(b"i").alias("content"))
+    return binary.from_images(rows).select("source_file")
+
+
+def _pages(path, content):
+    """A page a line: a table, two images and the line's text; a line ``bad`` is a broken document."""
+    for line in content.decode().splitlines():
+        if line == "bad":
+            raise ValueError("bad")
+        yield {"tables": [[["h", None], [line, "1"]], [["one row"]]], "images": [(80, 80, b"i"), (79, 80, b"j"), "odd"], "text": line * 40}
+
+
+@query("""SELECT * FROM (VALUES (1, 'table', 0, '| h |  |' || chr(10) || '| --- | --- |' || chr(10) || '| a | 1 |', NULL), (1, 'figure', 1, NULL, NULL),
+  (1, 'figure', 2, NULL, 'ValueError: not enough values to unpack (expected 3, got 1)'), (1, 'text', 3, repeat('a', 40), NULL), (0, 'text', 4, NULL, 'ValueError: bad')) v(page_num, chunk_type, ordinal, raw_text, parse_error)""")
+def binary_scan(spark, d):
+    """A file's pages: tables, then images, then text; what can't be read is a row with its error."""
+    folder = _folder(spark)
+    spark.createDataFrame([("a",), ("bad",)], "line string").coalesce(1).write.text(folder)
+
+    def parser(path, content):
+        for page in _pages(path, content):
+            yield {**page, "images": [x if isinstance(x, tuple) else ("odd",) for x in page["images"]]}
+
+    rows = binary.read(spark, folder, parser, "*.txt")
+    return rows.select("page_num", "chunk_type", "ordinal", "raw_text", "parse_error")
+
+
 _VERDICT = f"""SELECT *, {_json("CASE WHEN raw_text = 'boom' THEN NULL ELSE raw_text END")} AS j FROM {values('judged_chunks')}"""
 _VALID = f"coalesce({_truth('j', 'is_valid')}, true)"
 
