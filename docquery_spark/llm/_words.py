@@ -57,16 +57,3 @@ class WordHashes(dict):
 
     def array(self, tokens: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-
-
-def window_hashes(tokens: np.ndarray, n: int, factor: int) -> np.ndarray:
-    """Mixed polynomial hash of each run of ``n`` token hashes; empty when there are fewer."""
-    count = len(tokens) - n + 1
-    if count <= 0:
-        return np.empty(0, dtype=np.uint64)
-    f = np.uint64(factor)
-    out = tokens[:count].copy()
-    for j in range(1, n):
-        out *= f
-        out += tokens[j : j + count]
-    return mix64(out)

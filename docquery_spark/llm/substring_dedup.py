@@ -100,14 +100,6 @@ class _Group:
         return np.repeat(self.ids[self.order], self.sizes)
 
 
-def _deltas(a: np.ndarray) -> bytes:
-    return packed(key=a.astype(np.uint64))
-
-
-def _undeltas(b: bytes) -> np.ndarray:
-    return unpacked(b, "key")["key"].astype(np.int64)
-
-
 def _rows(arrays: dict[str, np.ndarray], bits: int, width: int, asker: int) -> list[tuple]:
     return [(path, asker, packed(**{c: a[at] for c, a in arrays.items()})) for path, at in parts(arrays["key"], bits, width)]
 
