@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import file_system, shared_folder, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Number of salts that a hot key is dealt over; one bit each in a long.
 SALTS = 32
@@ -18,48 +20,35 @@ def lower_az(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, which all executors share; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="docquery-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return sc.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder, which survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """A Parquet table in the shared checkpoint folder, read back: the lineage is cut and sizes are true.
+#: Rows of an Arrow batch of whole texts.
+TEXTS_A_BATCH = 1000
 
-    For rounds of joins. checkpoint() carries its plan's size estimate along, which joins multiply, so
-    that after some rounds the estimate itself takes the driver's memory to write down. A table that is
-    in no folder of its own goes when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{folder or shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if folder is None:
-        at, files = _file_system(spark, path)
-        files.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Plans made within send whole texts to Python in small batches, which bounds what the JVM keeps for them off its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(TEXTS_A_BATCH, int(before)) if int(before) > 0 else TEXTS_A_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class Scratch:
-    """Written tables that go when the block ends, or before, when their last reader is done."""
+    """Written tables that go when the block ends, or before, when their last reader is done.
+
+    For rounds of joins, as sizes of written tables are true. checkpoint() carries its plan's size
+    estimate along, which joins multiply, so that after some rounds the estimate itself takes the
+    driver's memory to write down.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -85,7 +74,7 @@ class Scratch:
                 self._delete(path)
 
     def _delete(self, path: str) -> None:
-        at, files = _file_system(self.spark, path)
+        at, files = file_system(self.spark, path)
         files.delete(at, True)
 
 
