@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import Scratch, by_salted_key, free_name, lower_az, quoted, salt_bits, salt_of, written
+from ._frames import Scratch, by_salted_key, free_name, lower_az, quoted, salt_bits, salt_of, small_batches, written
 from ._words import mix64
 from .components import components
 
@@ -50,7 +50,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Most rows of a block, in the mean, and most bytes of texts.
 BLOCK, CELL_BYTES = 512, 4 << 20
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 CHUNK = 1 << 15
 _memo: dict[bytes, int] = {}
 _draw = np.random.default_rng(20)
@@ -307,7 +307,7 @@ def _shingle_numbers(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def _link_cell(k: int, percent: int):
-    """Links of a cell's nodes, by full sets: enough of them to join whatever is linked."""
+    """Links between components of a cell's nodes, by full sets: enough of them to join whatever is linked."""
     lowest = _least_estimate(percent / 100)
     least = math.floor(lowest * REGISTERS)
 
@@ -340,22 +340,29 @@ def _link_cell(k: int, percent: int):
             for b in others[100 * both >= percent * (n[a] + n[others] - both)]:
                 if cell["label"][a] != cell["label"][b]:
                     _join(cell, a, b)
-                    found.append((cell["node"][a], cell["node"][b]))
+                    found.append((cell["component"][a], cell["component"][b]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else None
 
     return run
 
 
 def _links(rows: DataFrame, group: str, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """rows: (group, node, component, lead, size) -> (a, b): links of lead rows with all others of their group."""
+    """rows: (group, node, component, lead, size) -> (a, b): components linked by lead rows and all others of their group."""
     cells = _cells(rows, group).drop("size").join(texts, "node")
     return _by_cell(cells, group, _link_cell(k, percent), "a long, b long")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with the component of their node, which is the node itself where labels has none."""
-    own = labels.select("node", F.col("component").alias("_found"))
-    return rows.join(own, "node", "left").withColumn("component", F.coalesce("_found", "node")).drop("_found")
+def _labelled(rows: DataFrame, labels: DataFrame, of: str = "node") -> DataFrame:
+    """rows with the component that labels has for a column, or the column itself."""
+    own = labels.select(F.col("node").alias("_of"), F.col("component").alias("_found"))
+    return rows.join(own, F.col(of) == F.col("_of"), "left").withColumn("component", F.coalesce("_found", of)).drop("_of", "_found")
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(a, b): edges of as few distinct pairs: each a with its least b, and its other b with that one."""
+    edges = edges.distinct()
+    met = edges.join(edges.groupBy("a").agg(F.min("b").alias("least")), "a")
+    return met.select("a", F.col("least").alias("b")).unionByName(met.select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct()
 
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -368,7 +375,8 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(body)).alias("copy"), body.alias("text"))
     with Scratch(docs.sparkSession) as scratch:
         sketched = rows.select("doc_id", "copy", F.octet_length("text").cast("long").alias("size"), _sketch(k)("text").alias("s"))
-        sketched = scratch.written(sketched.select("doc_id", "copy", "size", "s.n_shingles", "s.regs"))
+        with small_batches(docs.sparkSession):
+            sketched = scratch.written(sketched.select("doc_id", "copy", "size", "s.n_shingles", "s.regs"))
         usable = sketched.filter("n_shingles > 0")
         salt = salt_bits(salt_of("doc_id")).alias("bits")
         copies = usable.groupBy("copy", "size", "n_shingles", "regs").agg(F.min("doc_id").alias("least_id"), salt)
@@ -395,14 +403,15 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         apart = _cells(apart, "bucket").join(sharing.select("node", code.alias("code")), "node")
         near = scratch.written(_by_cell(apart, "bucket", _near_cell(threshold), "node long, component long, family long"))
         if not near.isEmpty():
-            families = components(near.select(F.col("component").alias("a"), F.col("family").alias("b")))
+            families = components(_contracted(near.select(F.col("component").alias("a"), F.col("family").alias("b"))))
             active = near.select("node", "component").distinct().join(families.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
             # 3. the near ones of a family, by their full sets
             met = _leads(active.join(sharing.select("node", "size"), "node"), "family")
             more = scratch.written(_links(scratch.written(met), "family", texts, k, percent))
-            if not more.isEmpty():
-                labels = components(links.unionByName(more))
         placed = _labelled(nodes.select("node", "copy", "least_id", "bits"), labels)
+        if not near.isEmpty() and not more.isEmpty():
+            # these links are between components, which are far fewer than nodes
+            placed = _labelled(placed.withColumnRenamed("component", "first"), components(more), "first").drop("first")
         best = F.min_by(F.struct("least_id", "copy"), F.struct(F.col("least_id").isNull(), "least_id", "copy"))
         groups = placed.groupBy("component").agg(best.alias("head"), salt_bits(salt_of("node")).alias("salts"))
         placed = by_salted_key(placed.withColumn("salt", salt_of("node")), groups, ["component"], "salts").select("copy", "head", "bits")

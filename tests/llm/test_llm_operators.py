@@ -341,7 +341,9 @@ def brute_kneser_ney(texts, order=quality.ORDER):
     return lambda t: math.exp(-sum(math.log(p(tuple(s[i - order + 1 : i + 1]))) for s in [code(t)] for i in range(order - 1, len(s))) / len(t.encode()))
 
 
-def test_quality_model_is_modified_kneser_ney(spark):
+@pytest.mark.parametrize("form", [quality.Laid, quality.Sparse])
+def test_quality_model_is_modified_kneser_ney(spark, monkeypatch, form):
+    monkeypatch.setattr(quality, "laid", form)
     texts = ["the cat sat on the mat", "a cat and a hat", "Größe", "", "the the the", "日本語のテキスト"]
     model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     brute = brute_kneser_ney(texts)
@@ -421,6 +423,18 @@ def test_quality_catches_toxic_and_junk(spark):
         assert share["clean"] >= 0.98 and share["toxic"] <= 0.02 and share["junk"] <= 0.03
 
 
+def test_quality_marks_by_brute_force():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 9)))
+    weights = {(w := word()) + r.choice(["$", ""]): r.random() for _ in range(40)}
+    weights = {u: x for u, x in weights.items() if u.endswith("$") or 3 <= len(u) <= 8}
+    marks = quality.Marks(weights, -0.01)
+    for _ in range(50):
+        words = [word() for _ in range(30)]
+        best = [max((weights.get(u, 0.0) for u in [w[:k] for k in range(3, 9) if k <= len(w)] + [w + "$"]), default=0.0) for w in words]
+        assert math.isclose(marks.text(words), sum(x or -0.01 for x in best))
+
+
 def test_quality_repeats():
     assert quality.most_repeats(["a"]) == 0 and quality.most_repeats(["a", "b", "a", "a"]) == 2
     assert quality.most_repeats([str(i) for i in range(100)] + ["x"] * 40 + ["y"]) == quality.WINDOW
