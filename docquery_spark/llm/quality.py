@@ -2,27 +2,30 @@
 
 The perplexity is that of an interpolated modified Kneser-Ney model on UTF-8 bytes.
 
-Training takes a bounded sample of trusted documents (at most ``TRAIN_DOCS`` of them and ``TRAIN_BYTES``
-of text, those with the least hash of their id), whole texts. Counts of 4-grams are sharded over the
+Training takes the whole text of every trusted document. Counts of 4-grams are sharded over the
 cluster; lower orders use continuation counts, and probabilities come from sharded joins of each
-order's counts with its context sums and with the order below. The finished model is no larger than
-the sample: a sorted table of grams and one of contexts by order, which are broadcast, laid out as a
-table of contexts and symbols where that is small. A text's perplexity is looked up byte by byte, in Arrow batches, over every whole text; nothing but three
-measures is kept.
+order's counts with its context sums and with the order below. The finished model, a sorted table of
+grams and one of contexts by order, is broadcast, laid out as a table of contexts and symbols where
+that is small. A model of more than ``MOST_GRAMS`` rows is broadcast in slices, one pass over the texts
+each: a slice has all grams around some pairs of symbols, a gram's last but two and last but one, which
+it shares with all that it backs off to. A text's perplexity is looked up byte by byte, in Arrow
+batches, over every whole text; nothing but three measures is kept.
 
 A mean over a text can't see a few bad words in good prose, nor a few words said over and over, so
 two local measures stand beside it. ``toxicity`` is the log likelihood ratio of the text's words
-between toxic and trusted documents of the language: words and word beginnings that occur in
-significantly more of the toxic ones (of at most ``TOXIC_DOCS``) bear their log odds, all others the
-odds of a word that bears none. A language without toxic documents uses the marks of all together.
+between all toxic and all trusted documents of the language: words and word beginnings that occur in
+significantly more of the toxic ones bear their log odds, all others the odds of a word that bears
+none. A language without toxic documents uses the marks of all together.
 ``repeats`` is the most words in a window of ``WINDOW`` that equal one of the ``LAG`` before them.
 
-The sample is at most half of the trusted documents; all others set the thresholds. A document is
-accepted when its perplexity is no higher than its language's threshold: the ``QUANTILE`` of those
-trusted documents of that language, from a full histogram of log perplexities, times ``SLACK``. A
-language without such documents uses the threshold of all of them together. The two local measures
-are held against the same quantile of the same documents, or against ``LEAST_TOXICITY`` and
-``LEAST_REPEATS`` where that is lower.
+All trusted documents also set the thresholds, each measured by what it didn't teach: they are dealt
+over two folds by id, and a second and a third model and set of marks come from the trusted documents
+of one fold each, to measure the other fold's. (While one fold is empty, the model of all does it.) A
+document is accepted when its perplexity, under the model of all, is no higher than its language's
+threshold: the ``QUANTILE`` of the trusted documents of that language, from a full histogram of log
+perplexities, times ``SLACK``. A language without such documents uses the threshold of all of them
+together. The two local measures are held against the same quantile of the same documents, or against
+``LEAST_TOXICITY`` and ``LEAST_REPEATS`` where that is lower.
 
 Nulls: a null lang is a language of its own; a null text, like an empty one, has no perplexity and
 is not accepted; a null doc_id is scored but never trusted. Repeated rows get a row each, and rows that
@@ -36,7 +39,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -49,7 +53,14 @@ ORDER, BITS = 4, 8
 ALPHABET = 1 << BITS
 #: Stands before a text; no UTF-8 text holds this byte.
 START = 0xFF
-TRAIN_DOCS, TRAIN_BYTES = 6000, 64 << 20
+#: Names of what is learned: from all trusted documents, or, to measure a fold, from those of the other one.
+ALL, FOLDS = 2, (0, 1)
+#: Most rows of a model that are sent to the driver and broadcast at once; the rest follow in further slices.
+MOST_GRAMS = 2_000_000
+#: Most ids of labelled documents that are broadcast; with more, documents and ids are shuffled.
+MOST_IDS = 2_000_000
+#: Characters whose grams are looked up or counted at once.
+BLOCK = 1 << 18
 #: Largest table that a model is laid out as; a larger one is looked up as it is.
 LAID_BYTES = 96 << 20
 #: Most languages whose limits are broadcast.
@@ -59,8 +70,6 @@ QUANTILE = 0.995
 SLACK = 1.1
 #: Histogram steps for a factor of e in perplexity, and for one in the toxicity's likelihood ratio.
 STEPS, TOXICITY_STEPS = 1000, 10
-#: Most toxic documents whose words are counted.
-TOXIC_DOCS = 2000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Word beginnings that may be marks, by length; whole words are, too.
 BEGINNINGS = range(3, 9)
@@ -111,47 +120,115 @@ def _grams(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return g
 
 
-def train(texts: DataFrame) -> dict:
-    """texts: (text) -> probabilities of grams and back-off weights of contexts, by order.
+def _fold() -> Column:
+    """Fold of a trusted document."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(len(FOLDS))), F.lit(len(FOLDS))).cast("int")
+
+
+def _blocks(texts: list) -> Iterator[list[int]]:
+    """Places of the texts that aren't empty, some hundred thousand characters at once."""
+    some = [i for i, t in enumerate(texts) if t]
+    block, size = [], 0
+    for pos, i in enumerate(some):
+        block.append(i)
+        size += len(texts[i])
+        if size >= BLOCK or pos == len(some) - 1:
+            yield block
+            block, size = [], 0
+
+
+def _gram_counts(texts: DataFrame) -> DataFrame:
+    """texts: (fold, text) -> fold, g, c."""
+
+    def grams(batches):
+        for pdf in batches:
+            for fold, own in pdf.groupby("fold")["text"]:
+                own = own.tolist()
+                for block in _blocks(own):
+                    found, n = np.unique(_grams(*_codes([own[i] for i in block])), return_counts=True)
+                    yield pd.DataFrame({"fold": np.int32(fold), "g": found.astype(np.int64), "c": n})
+
+    return texts.mapInPandas(grams, "fold int, g long, c long").groupBy("fold", "g").agg(F.sum("c").alias("c"))
+
+
+def _trained(scratch: Scratch, counts: DataFrame) -> DataFrame:
+    """counts: (part, g, c) of grams of ORDER symbols -> part, k, pair, g, value: models by part.
+
+    For each order k the probabilities of grams, and at -k the back-off weights of contexts; ``pair``:
+    the two symbols before a gram's last one, 0 below order 3.
+    """
+    by_order = {ORDER: scratch.written(counts)}
+    for k in range(ORDER - 1, 0, -1):
+        low = F.col("g").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
+        by_order[k] = scratch.written(by_order[k + 1].groupBy("part", low.alias("g")).agg(F.count("*").alias("c")))
+    rows, lower = [], None
+    for k in range(1, ORDER + 1):
+        table = by_order[k]
+        # one row a part
+        found = table.groupBy("part").agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).collect()
+        d = {r[0]: discounts(list(r[1:])) for r in found}
+        off = F.lit(None).cast("double")
+        for part, (one, two, more) in d.items():
+            own = F.when(F.col("c") == 1, one).when(F.col("c") == 2, two).otherwise(more)
+            off = F.when(F.col("part") == part, own).otherwise(off)
+        context = F.call_function("shiftright", F.col("g"), F.lit(BITS))
+        sums = table.groupBy("part", context.alias("ctx")).agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("back"))
+        sums = scratch.written(sums)
+        joined = table.withColumn("ctx", context).join(sums, ["part", "ctx"]).withColumn("own", (F.col("c") - off) / F.col("total"))
+        if lower is None:
+            joined = joined.withColumn("below", F.lit(1.0 / ALPHABET))
+        else:
+            suffix = F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
+            joined = joined.withColumn("suffix", suffix).join(
+                lower.select("part", F.col("g").alias("suffix"), F.col("p").alias("below")), ["part", "suffix"]
+            )
+        lower = scratch.written(joined.select("part", "g", (F.col("own") + F.col("back") * F.col("below")).alias("p")))
+        pair = lambda c: (c.bitwiseAND(F.lit((1 << 2 * BITS) - 1)) if k > 2 else F.lit(0)).cast("int").alias("pair")  # noqa: B023, E731
+        rows.append(lower.select("part", F.lit(k).alias("k"), pair(context), "g", F.col("p").alias("value")))
+        rows.append(sums.select("part", F.lit(-k).alias("k"), pair(F.col("ctx")), F.col("ctx").alias("g"), F.col("back").alias("value")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _slices(rows: DataFrame) -> dict[int, list[tuple[int, int]]]:
+    """For each part, ranges of pairs with at most MOST_GRAMS rows, or one pair, each."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    # at most 65,536 pairs a part
+    sizes = rows.groupBy("part", "pair").agg(F.count("*").alias("n")).toArrow().to_pandas()
+    for part, own in sizes.groupby("part"):
+        own = own.sort_values("pair")
+        starts, held = [0], 0
+        for pair, n in zip(own["pair"].tolist(), own["n"].tolist(), strict=True):
+            if held and held + n > MOST_GRAMS:
+                starts.append(pair)
+                held = 0
+            held += n
+        out[int(part)] = list(zip(starts, [*starts[1:], 1 << 2 * BITS], strict=True))
+    return out
+
+
+def _slice(rows: DataFrame, part: int, pairs: tuple[int, int]) -> dict:
+    """A part's model as far as the range of pairs goes.
 
     ``p[k]``: (grams of k symbols, probabilities), ``back[k]``: (contexts, weights of the order below);
     grams as integers of BITS bits a symbol, sorted.
     """
+    mine = (F.col("pair") >= pairs[0]) & (F.col("pair") < pairs[1]) | F.col("k").between(-2, 2)
+    found = rows.filter((F.col("part") == part) & mine).select("k", "g", "value").toArrow()
+    k, g, value = (found[c].to_numpy() for c in ("k", "g", "value"))
+    model = {"p": {}, "back": {}, "pairs": pairs}
+    for name, sign in (("p", 1), ("back", -1)):
+        for i in range(1, ORDER + 1):
+            at = np.flatnonzero(k == sign * i)
+            at = at[np.argsort(g[at])]
+            model[name][i] = (g[at].astype(np.uint32), value[at].astype(np.float64))
+    return model
 
-    def grams(batches):
-        for pdf in batches:
-            own = [t for t in pdf["text"] if t]
-            if own:
-                found, n = np.unique(_grams(*_codes(own)), return_counts=True)
-                yield pd.DataFrame({"g": found.astype(np.int64), "c": n})
 
+def train(texts: DataFrame) -> dict:
+    """texts: (text) -> the model of them all, in one slice."""
     with Scratch(texts.sparkSession) as scratch:
-        by_order = {ORDER: scratch.written(texts.mapInPandas(grams, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")))}
-        for k in range(ORDER - 1, 0, -1):
-            low = F.col("g").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
-            by_order[k] = scratch.written(by_order[k + 1].groupBy(low.alias("g")).agg(F.count("*").alias("c")))
-        model = {"p": {}, "back": {}}
-        lower = None
-        for k in range(1, ORDER + 1):
-            table = by_order[k]
-            d = discounts(list(table.agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first()))
-            off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-            context = F.call_function("shiftright", F.col("g"), F.lit(BITS))
-            sums = table.groupBy(context.alias("ctx")).agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("back"))
-            joined = table.withColumn("ctx", context).join(sums, "ctx").withColumn("own", (F.col("c") - off) / F.col("total"))
-            if lower is None:
-                joined = joined.withColumn("below", F.lit(1.0 / ALPHABET))
-            else:
-                suffix = F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
-                joined = joined.withColumn("suffix", suffix).join(
-                    lower.select(F.col("g").alias("suffix"), F.col("p").alias("below")), "suffix"
-                )
-            lower = scratch.written(joined.select("g", (F.col("own") + F.col("back") * F.col("below")).alias("p")))
-            # no more rows than bytes of the sample
-            for name, rows in (("p", lower.toPandas()), ("back", sums.select("ctx", "back").toPandas())):
-                rows = rows.sort_values(rows.columns[0])
-                model[name][k] = (rows.iloc[:, 0].to_numpy(dtype=np.uint32), rows.iloc[:, 1].to_numpy(dtype=np.float64))
-    return model
+        counts = _gram_counts(texts.select(F.lit(ALL).alias("fold"), "text")).withColumnRenamed("fold", "part")
+        return _slice(_trained(scratch, counts), ALL, (0, 1 << 2 * BITS))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -233,7 +310,7 @@ class Laid:
 
 
 class Sparse:
-    """The model as it was trained, for one whose table would be too large."""
+    """The model as it was trained, for one whose table would be too large, or a slice of it: other grams count nothing."""
 
     def __init__(self, model: dict):
         self.model = model
@@ -244,28 +321,27 @@ class Sparse:
             g <<= np.uint32(BITS)
             g[j:] |= codes[: len(codes) - j]
         found, back = np.unique(g, return_inverse=True)
-        return np.log(probabilities(found, self.model))[back]
+        pair = (found >> np.uint32(BITS)) & np.uint32((1 << 2 * BITS) - 1)
+        mine = (pair >= self.model["pairs"][0]) & (pair < self.model["pairs"][1])
+        logs = np.zeros(len(found))
+        logs[mine] = np.log(probabilities(found[mine], self.model))
+        return logs[back]
 
 
 def laid(model: dict) -> Laid | Sparse:
-    """Both forms give the same probabilities."""
-    return Laid(model) if Laid.size(model) <= LAID_BYTES else Sparse(model)
+    """Both forms give the same probabilities; a slice of several isn't laid out."""
+    whole = model["pairs"] == (0, 1 << 2 * BITS)
+    return Laid(model) if whole and Laid.size(model) <= LAID_BYTES else Sparse(model)
 
 
-def _perplexities(texts: list, form: Laid | Sparse) -> np.ndarray:
-    """Perplexity of a byte of each text; NaN without one."""
-    out = np.full(len(texts), np.nan)
-    some = [i for i, t in enumerate(texts) if t]
-    block, size = [], 0
-    for pos, i in enumerate(some):  # some hundred thousand characters at once
-        block.append(i)
-        size += len(texts[i])
-        if size >= 1 << 18 or pos == len(some) - 1:
-            codes, starts, lengths = _codes([texts[j] for j in block])
-            sums = np.concatenate(([0.0], np.cumsum(form.log_probabilities(codes))))
-            out[block] = np.exp(-(sums[starts + lengths] - sums[starts]) / lengths)
-            block, size = [], 0
-    return out
+def _log_sums(texts: list, form: Laid | Sparse) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each text, and its bytes; NaN and 0 without one."""
+    out, sizes = np.full(len(texts), np.nan), np.zeros(len(texts), dtype=np.int64)
+    for block in _blocks(texts):
+        codes, starts, lengths = _codes([texts[j] for j in block])
+        sums = np.concatenate(([0.0], np.cumsum(form.log_probabilities(codes))))
+        out[block], sizes[block] = sums[starts + lengths] - sums[starts], lengths
+    return out, sizes
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -324,7 +400,7 @@ class Marks:
 
 
 def _count_units(wanted):
-    """Words' units by language and class, in occurrences and documents; unit '' counts all words. ``wanted``: broadcast units by language, or None for all."""
+    """Words' units by fold and language, in occurrences and documents; unit '' counts all words. ``wanted``: broadcast units by language, or None for all."""
 
     def run(batches):
         times, docs = Counter(), Counter()
@@ -332,22 +408,25 @@ def _count_units(wanted):
         def flush():
             rows = [(*k, n, docs[k]) for k, n in times.items()]
             times.clear(), docs.clear()
-            return pd.DataFrame(rows, columns=["key", "unit", "times", "docs"])
+            return pd.DataFrame(rows, columns=["fold", "key", "unit", "times", "docs"])
 
-        heads = None if wanted is None else _heads({u for units in wanted.value.values() for u in units})
+        heads, anywhere = None, ()
+        if wanted is not None:
+            heads = _heads({u for units in wanted.value.values() for u in units})
+            anywhere = wanted.value.get("all", ())
         for pdf in batches:
-            for own, text in zip(pdf["key"], pdf["text"], strict=True):
+            for fold, key, text in zip(pdf["fold"], pdf["key"], pdf["text"], strict=True):
                 if not (words := letter_words(text)):
                     continue
                 units = Counter({"": len(words)})
                 for w, n in Counter(w for w in words if heads is None or w[:3] in heads).items():
                     for u in _units(w):
                         units[u] += n
-                for key in (own, "all"):
-                    for u, n in units.items():
-                        if wanted is None or u == "" or u in wanted.value.get(key, ()):
-                            times[key, u] += n
-                            docs[key, u] += 1
+                here = () if wanted is None else wanted.value.get(key, ())
+                for u, n in units.items():
+                    if wanted is None or u == "" or u in here or u in anywhere:
+                        times[fold, key, u] += n
+                        docs[fold, key, u] += 1
                 if len(times) >= HELD:
                     yield flush()
         yield flush()
@@ -356,8 +435,15 @@ def _count_units(wanted):
 
 
 def _unit_counts(texts: DataFrame, wanted=None) -> DataFrame:
-    rows = texts.mapInPandas(_count_units(wanted), "key string, unit string, times long, docs long")
-    return rows.groupBy("key", "unit").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
+    """texts: (fold, key, text) -> fold, key, unit, times, docs."""
+    rows = texts.mapInPandas(_count_units(wanted), "fold int, key string, unit string, times long, docs long")
+    return rows.groupBy("fold", "key", "unit").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
+
+
+def _with_all(counts: DataFrame, *parts: Column) -> DataFrame:
+    """Counts of each part a fold belongs to, by language and for ``all``; a document has one language."""
+    spread = counts.withColumn("part", F.explode(F.array(*parts))).withColumn("key", F.explode(F.array("key", F.lit("all"))))
+    return spread.groupBy("part", "key", "unit").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
 
 
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -365,69 +451,105 @@ def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
     return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0)
 
 
-def train_marks(sample: DataFrame) -> dict[str, Marks]:
-    """sample: (key, bad, text) of toxic (bad) and trusted documents -> marks by language, and of ``all``."""
-    sc = sample.sparkSession.sparkContext
-    texts = {b: sample.filter(F.col("bad") == b).select("key", "text") for b in (True, False)}
-    counted = checkpoint(_unit_counts(texts[True]))
-    # a row a language, of a bounded sample
+def train_marks(taught: DataFrame) -> dict[int, dict[str, Marks]]:
+    """taught: (key, bad, fold, text) of toxic (bad) and trusted documents -> by part, marks by language, and of ``all``.
+
+    Toxic documents teach every part, trusted ones of a fold that of all and that of the other fold.
+    """
+    sc = taught.sparkSession.sparkContext
+    parts = [ALL, *FOLDS]
+    texts = {b: taught.filter(F.col("bad") == b).select("fold", "key", "text") for b in (True, False)}
+    counted = checkpoint(_with_all(_unit_counts(texts[True]), F.lit(ALL)).drop("part"))
+    # a row a language
     sizes = counted.filter("unit = ''").select("key", F.col("times").alias("words"), F.col("docs").alias("n_docs"))
-    weights: dict[str, dict[str, float]] = {r["key"]: {} for r in sizes.collect()}
-    if not weights:
-        return {}
-    # of units that too few toxic documents have, none can be a mark
+    weights: dict[int, dict[str, dict[str, float]]] = {part: {} for part in parts}
+    for r in sizes.collect():
+        for part in parts:
+            weights[part][r["key"]] = {}
+    if not weights[ALL]:
+        return {part: {} for part in parts}
+    # of units that too few toxic documents have, none can be a mark; of a language with many, at most
+    # 1 / MARK_SHARE times those of a document are left
     often = counted.filter("unit <> ''").join(F.broadcast(sizes), "key")
     often = checkpoint(often.filter(F.col("docs") >= F.greatest(F.lit(MARK_DOCS), F.col("n_docs") * MARK_SHARE)))
     wanted: dict[str, set[str]] = {}
     for key, unit in often.select("key", "unit").toPandas().itertuples(index=False, name=None):
         wanted.setdefault(key, set()).add(unit)
-    good = checkpoint(_unit_counts(texts[False], sc.broadcast(wanted)))
-    good_sizes = good.filter("unit = ''").select("key", F.col("times").alias("good_words"), F.col("docs").alias("good_docs"))
-    both = often.join(good.select("key", "unit", F.col("times").alias("good_times"), F.col("docs").alias("good_in")), ["key", "unit"], "left")
-    both = both.join(F.broadcast(good_sizes), "key", "left").fillna(0)
+    good = checkpoint(_with_all(_unit_counts(texts[False], sc.broadcast(wanted)), F.lit(ALL), 1 - F.col("fold")))
+    good_sizes = good.filter("unit = ''").select("part", "key", F.col("times").alias("good_words"), F.col("docs").alias("good_docs"))
+    both = often.withColumn("part", F.explode(F.array(*[F.lit(part) for part in parts])))
+    both = both.join(good.select("part", "key", "unit", F.col("times").alias("good_times"), F.col("docs").alias("good_in")), ["part", "key", "unit"], "left")
+    both = both.join(F.broadcast(good_sizes), ["part", "key"], "left").fillna(0)
     n, docs, n_docs, good_in, good_docs = (F.col(c) for c in ("times", "docs", "n_docs", "good_in", "good_docs"))
     odds = F.log((n + 0.5) / (F.col("words") + 1)) - F.log((F.col("good_times") + 0.5) / (F.col("good_words") + 1))
     rate = (docs + good_in) / (n_docs + good_docs)
     apart = _log_likelihood(docs, n_docs, docs / n_docs) + F.when(good_docs > 0, _log_likelihood(good_in, good_docs, F.try_divide(good_in, good_docs))).otherwise(0.0)
     test = 2 * (apart - _log_likelihood(docs, n_docs, rate) - _log_likelihood(good_in, good_docs, rate))
-    for key, unit, weight in both.select("key", "unit", odds.alias("odds"), test.alias("test")).filter((F.col("odds") >= MARK_ODDS) & (F.col("test") >= MARK_TEST)).drop("test").toPandas().itertuples(index=False, name=None):
-        weights[key][unit] = float(weight)
-    held = sc.broadcast({key: Marks(w) for key, w in weights.items()})
+    found = both.select("part", "key", "unit", odds.alias("odds"), test.alias("test")).filter((F.col("odds") >= MARK_ODDS) & (F.col("test") >= MARK_TEST))
+    for part, key, unit, weight in found.drop("test").toPandas().itertuples(index=False, name=None):
+        weights[part][key][unit] = float(weight)
+    held = sc.broadcast({part: {key: Marks(w) for key, w in own.items()} for part, own in weights.items()})
 
     def marked(batches):
         for pdf in batches:
             sums = Counter()
-            for own, is_bad, text in zip(pdf["key"], pdf["bad"], pdf["text"], strict=True):
+            for own, is_bad, fold, text in zip(pdf["key"], pdf["bad"], pdf["fold"], pdf["text"], strict=True):
                 words = letter_words(text)
-                for key in (own, "all"):
-                    if key in held.value:
-                        sums[key, bool(is_bad), "n"] += len(words)
-                        sums[key, bool(is_bad), "marked"] += len(held.value[key].odds(words))
-            yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["key", "bad", "what", "n"])
+                for part in parts if is_bad else (ALL, 1 - fold):
+                    for key in (own, "all"):
+                        if key in held.value[part]:
+                            sums[part, key, bool(is_bad), "n"] += len(words)
+                            sums[part, key, bool(is_bad), "marked"] += len(held.value[part][key].odds(words))
+            yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["part", "key", "bad", "what", "n"])
 
-    rows = sample.mapInPandas(marked, "key string, bad boolean, what string, n long").groupBy("key", "bad", "what").agg(F.sum("n").alias("n")).collect()
-    n = {(r["key"], r["bad"], r["what"]): r["n"] for r in rows}
-    rate = lambda key, b: (n.get((key, b, "marked"), 0) + 0.5) / (n.get((key, b, "n"), 0) + 1)
-    return {key: Marks(w, float(np.log1p(-rate(key, True)) - np.log1p(-rate(key, False)))) for key, w in weights.items()}
+    rows = taught.select("key", "bad", "fold", "text").mapInPandas(marked, "part int, key string, bad boolean, what string, n long")
+    rows = rows.groupBy("part", "key", "bad", "what").agg(F.sum("n").alias("n")).collect()
+    n = {(r["part"], r["key"], r["bad"], r["what"]): r["n"] for r in rows}
+    rate = lambda *key: (n.get((*key, "marked"), 0) + 0.5) / (n.get((*key, "n"), 0) + 1)
+    rest = lambda part, key: float(np.log1p(-rate(part, key, True)) - np.log1p(-rate(part, key, False)))
+    return {part: {key: Marks(w, rest(part, key)) for key, w in own.items()} for part, own in weights.items()}
 
 
 def perplexity(docs: DataFrame, model: dict) -> DataFrame:
     """docs: (doc_id, lang, text) -> doc_id, lang, perplexity (of a byte; null without text)."""
     m = _measured(docs, model, {})
-    return docs.select("doc_id", "lang", m("lang", "text")["perplexity"].alias("perplexity"))
+    return docs.select("doc_id", "lang", m("lang", "text", F.lit(0.0))["perplexity"].alias("perplexity"))
+
+
+def _added(docs: DataFrame, model: dict):
+    """A function of (text, log probability by other slices) columns: the sum with this one's."""
+    held = docs.sparkSession.sparkContext.broadcast(laid(model))
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, logs in batches:
+            yield logs + np.nan_to_num(_log_sums(texts.tolist(), held.value)[0])
+
+    return run
+
+
+def _sliced(scratch: Scratch, docs: DataFrame, models: Callable[[tuple[int, int]], dict], slices: list[tuple[int, int]]) -> DataFrame:
+    """docs with ``_judged_logs``: the log probability of the text by all slices but the last, which :func:`_measured` adds."""
+    docs = docs.withColumn("_judged_logs", F.lit(0.0))
+    for pairs in slices[:-1]:
+        run = _added(docs, models(pairs))
+        before, docs = docs, scratch.written(docs.withColumn("_judged_logs", run("text", "_judged_logs")))
+        scratch.drop(before)
+    return docs
 
 
 def _measured(docs: DataFrame, model: dict, marks: dict[str, Marks]):
-    """A function of (lang, text) columns: a struct of perplexity (null without text), toxicity and repeats."""
+    """A function of (lang, text, log probability by other slices) columns: a struct of perplexity (null without text), toxicity and repeats."""
     held = docs.sparkSession.sparkContext.broadcast((laid(model), marks))
 
     @F.pandas_udf("perplexity double, toxicity double, repeats long")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         form, marks = held.value
         other = marks.get("all", Marks({}))
-        for langs, texts in batches:
+        for langs, texts, logs in batches:
             texts = texts.tolist()
-            out = _perplexities(texts, form)
+            sums, sizes = _log_sums(texts, form)
+            out = np.exp(-(sums + logs.to_numpy()) / np.maximum(sizes, 1))
             toxicity, repeats = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
             for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
                 words = letter_words(text)
@@ -464,40 +586,44 @@ def local_limits(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return toxic.join(repeats.select("key", F.greatest(F.lit(LEAST_REPEATS), "step").alias("most_repeats")), "key")
 
 
-def _sample(docs: DataFrame, trusted: DataFrame, labels: DataFrame, train_docs: int, train_bytes: int) -> DataFrame:
-    """(doc_id, bad) of the documents that are learned from: a bounded number."""
-    sizes = docs.select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
-
-    def first(ids, most):
-        """At most ``most`` ids, in the order of their hash, while their texts fit."""
-        some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        known = sizes.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.sum("bytes").alias("bytes"))
-        upto = F.sum(F.coalesce("bytes", F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-        return known.withColumn("upto", upto).filter(F.col("upto") <= train_bytes).select("doc_id")
-
-    n = trusted.count()
-    toxic = toxic_ids(labels).join(docs.select("doc_id").distinct(), "doc_id")
-    return first(trusted, min(train_docs, (n + 1) // 2)).withColumn("bad", F.lit(False)).unionByName(
-        first(toxic, TOXIC_DOCS).withColumn("bad", F.lit(True))
-    )
+def _taught(docs: DataFrame, labels: DataFrame, train_bytes: int | None) -> DataFrame:
+    """(key, lang, bad, fold, text) of every trusted and every toxic (bad) document; ``train_bytes``: see :func:`classify`."""
+    rows = docs.filter("doc_id is not null and text is not null")
+    ids = trusted_ids(labels).withColumn("bad", F.lit(False)).unionByName(toxic_ids(labels).withColumn("bad", F.lit(True)))
+    ids = checkpoint(ids)
+    small = ids.count() <= MOST_IDS
+    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(ids) if small else ids, "doc_id")
+    if train_bytes is not None:
+        upto = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("bad").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+        rows = rows.withColumn("upto", upto).filter(F.col("upto") <= train_bytes)
+    return rows.select(_key().alias("key"), "lang", "bad", _fold().alias("fold"), "text")
 
 
-def _judged(docs: DataFrame, columns: list[Column], labels: DataFrame, train_docs: int, train_bytes: int, quantile: float, slack: float) -> DataFrame:
+def _judged(docs: DataFrame, columns: list[Column], labels: DataFrame, train_bytes: int | None, quantile: float, slack: float) -> DataFrame:
     """docs with doc_id, lang, text -> ``columns`` and judged: perplexity, threshold, toxicity, repeats, accepted."""
-    ids = docs.select("doc_id").distinct()
-    trusted = checkpoint(trusted_ids(labels).join(ids, "doc_id"))
-    chosen = checkpoint(_sample(docs, trusted, labels, train_docs, train_bytes))
-    sample = checkpoint(docs.select("doc_id", _key().alias("key"), "text").join(F.broadcast(chosen), "doc_id").filter("text is not null"))
-    model = train(sample.filter("not bad").select("text"))
-    measured = _measured(docs, model, train_marks(sample.select("key", "bad", "text")))
-    # whole rows are written, so that texts are neither scored twice nor looked up again
-    with small_batches(docs.sparkSession):
-        scored = written(docs.select(*columns, F.col("doc_id").alias("_judged_id"), F.col("lang").alias("_judged_lang"), measured("lang", "text").alias("_judged")))
-    plain = scored.select(F.col("_judged_id").alias("doc_id"), F.col("_judged_lang").alias("lang"), "_judged.*")
-    learned = chosen.filter("not bad").select("doc_id")
-    rest = trusted.join(learned, "doc_id", "left_anti")
-    held_out = plain.join(rest if not rest.isEmpty() else trusted, "doc_id", "left_semi")
-    limits = checkpoint(thresholds(held_out, quantile).join(local_limits(held_out, quantile), "key").withColumnRenamed("key", "_judged_key"))
+    # texts go to Python in small batches; whole rows are written, so that they are neither scored twice nor looked up again
+    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
+        taught = scratch.written(_taught(docs, labels, train_bytes))
+        trusted = taught.filter("not bad")
+        by_fold = scratch.written(_gram_counts(trusted.select("fold", "text")))
+        of_all = by_fold.groupBy("g").agg(F.sum("c").alias("c")).withColumn("part", F.lit(ALL))
+        counts = by_fold.select("g", "c", (1 - F.col("fold")).alias("part")).unionByName(of_all)
+        rows = _trained(scratch, counts)
+        slices, marks = _slices(rows), train_marks(taught)
+
+        def measured(some: DataFrame, part: int, *cols: Column) -> DataFrame:
+            """``cols`` of the rows, and what the part's model and marks make of their texts."""
+            model, ranges = partial(_slice, rows, part), slices.get(part, [(0, 1 << 2 * BITS)])
+            some = _sliced(scratch, some, model, ranges)
+            run = _measured(some, model(ranges[-1]), marks[part])
+            return some.select(*cols, run("lang", "text", "_judged_logs").alias("_judged"))
+
+        held_out = [
+            measured(trusted.filter(F.col("fold") == fold), fold if fold in slices else ALL, F.col("lang")) for fold in FOLDS
+        ]
+        held_out = scratch.written(reduce(DataFrame.unionByName, held_out)).select("lang", "_judged.*")
+        limits = checkpoint(thresholds(held_out, quantile).join(local_limits(held_out, quantile), "key").withColumnRenamed("key", "_judged_key"))
+        scored = written(measured(docs, ALL, *columns, F.col("lang").alias("_judged_lang")))
     every = limits.filter("_judged_key = 'all'").first()
     other = every.asDict() if every else dict.fromkeys(("threshold", "most_toxic", "most_repeats"), float("inf"))
     limit = lambda c: F.coalesce(F.col(c), F.lit(other[c]))
@@ -513,10 +639,13 @@ def _judged(docs: DataFrame, columns: list[Column], labels: DataFrame, train_doc
     return scored.join(limits, key == F.col("_judged_key"), "left").select(*[c for c in scored.columns if not c.startswith("_judged")], judged.alias("_judged"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, slack: float = SLACK, train_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """One row a document: doc_id, lang, perplexity, threshold, toxicity, repeats, accepted."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, train_bytes: int | None = None) -> DataFrame:
+    """One row a document: doc_id, lang, perplexity, threshold, toxicity, repeats, accepted.
+
+    Every trusted and toxic document teaches, unless a caller sets ``train_bytes``, the most bytes of either kind.
+    """
     plain = _plain(docs)
-    done = _judged(plain, [F.col("doc_id"), F.col("lang")], labels, train_docs, train_bytes, quantile, slack)
+    done = _judged(plain, [F.col("doc_id"), F.col("lang")], labels, train_bytes, quantile, slack)
     return done.select("doc_id", "lang", "_judged.*")
 
 
@@ -524,10 +653,10 @@ def _plain(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *more)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, slack: float = SLACK, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, train_bytes: int | None = None) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
     read = ("doc_id", "lang", "text")
     names = {c: c.lower() if c.lower() in read else f"c{i}" for i, c in enumerate(docs.columns)}
     more = [F.col(quoted(c)).alias(n) for c, n in names.items() if n not in read]
-    done = _judged(_plain(docs, *more), [F.col(n) for n in names.values()], labels, train_docs, train_bytes, quantile, slack)
+    done = _judged(_plain(docs, *more), [F.col(n) for n in names.values()], labels, train_bytes, quantile, slack)
     return done.filter("_judged.accepted").select(*[F.col(n).cast(docs.schema[c].dataType).alias(c) for c, n in names.items()])

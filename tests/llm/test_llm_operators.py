@@ -365,6 +365,33 @@ def test_quality_without_a_usable_sample(spark):
     assert all(math.isclose(r["perplexity"], 256) for r in done)
 
 
+@pytest.mark.parametrize("grams, ids", [(quality.MOST_GRAMS, quality.MOST_IDS), (100, 0)])
+def test_quality_learns_from_all_trusted_documents(spark, monkeypatch, grams, ids):
+    """Judged by the model of all, and held against all, each measured by the other fold's; in one slice or many."""
+    monkeypatch.setattr(quality, "MOST_GRAMS", grams)
+    monkeypatch.setattr(quality, "MOST_IDS", ids)
+    r = random.Random(8)
+    words = [f"{a}{b}" for a in "house tree river stone bird".split() for b in ("", "s", "ing", "ly")]
+    trusted = {i: " ".join(r.choice(words) for _ in range(12)) for i in range(12)}
+    others = {12: "the rivers sing", 13: trusted[3], 14: "QQ zz", 15: "Größe"}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in {**trusted, **others}.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    fold = {x["doc_id"]: x["fold"] for x in docs.select("doc_id", quality._fold().alias("fold")).collect()}
+    done = {x["doc_id"]: x for x in quality.classify(docs, labels).collect()}
+    whole = brute_kneser_ney(list(trusted.values()))
+    for i, t in {**trusted, **others}.items():
+        assert math.isclose(done[i]["perplexity"], whole(t), rel_tol=1e-6)
+    other = {f: brute_kneser_ney([t for i, t in trusted.items() if fold[i] != f]) for f in (0, 1)}
+    worst = max(other[fold[i]](t) for i, t in trusted.items())
+    assert all(worst <= x["threshold"] / quality.SLACK <= worst * math.exp(1.001 / quality.STEPS) for x in done.values())
+
+
+def test_quality_counts_every_labelled_document(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("a word").alias("text"))
+    labels = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") < 2500).cast("int").alias("toxic"))
+    assert {x["bad"]: x["count"] for x in quality._taught(docs, labels, None).groupBy("bad").count().collect()} == {True: 2500, False: 6500}
+
+
 def test_quality_thresholds_by_brute_force(spark):
     r = random.Random(6)
     rows = [(i, r.choice(["en", "de", None]), math.exp(r.gauss(2, 0.4)), r.gauss(0, 3), r.randrange(20)) for i in range(900)]
