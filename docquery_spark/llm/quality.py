@@ -403,37 +403,67 @@ def _count_units(wanted):
     """Words' units by fold and language, in occurrences and documents; unit '' counts all words. ``wanted``: broadcast units by language, or None for all."""
 
     def run(batches):
-        times, docs = Counter(), Counter()
+        # occurrences are counted by word until they are given out
+        said, docs = {}, {}
+        finder = _unit_finder(None if wanted is None else wanted.value)
 
         def flush():
-            rows = [(*k, n, docs[k]) for k, n in times.items()]
-            times.clear(), docs.clear()
+            rows = []
+            for (fold, key), words in said.items():
+                times = Counter({"": words.total()})
+                units = finder(key)
+                for w, n in words.items():
+                    for u in units(w):
+                        times[u] += n
+                rows += [(fold, key, u, n, docs[fold, key][u]) for u, n in times.items()]
+            said.clear(), docs.clear()
             return pd.DataFrame(rows, columns=["fold", "key", "unit", "times", "docs"])
 
-        heads, anywhere = None, ()
-        if wanted is not None:
-            heads = _heads({u for units in wanted.value.values() for u in units})
-            anywhere = wanted.value.get("all", ())
+        held = 0
         for pdf in batches:
             for fold, key, text in zip(pdf["fold"], pdf["key"], pdf["text"], strict=True):
                 if not (words := letter_words(text)):
                     continue
-                units = Counter({"": len(words)})
-                for w, n in Counter(w for w in words if heads is None or w[:3] in heads).items():
-                    for u in _units(w):
-                        units[u] += n
-                here = () if wanted is None else wanted.value.get(key, ())
-                for u, n in units.items():
-                    if wanted is None or u == "" or u in here or u in anywhere:
-                        times[fold, key, u] += n
-                        docs[fold, key, u] += 1
-                if len(times) >= HELD:
+                of, seen = said.setdefault((fold, key), Counter()), docs.setdefault((fold, key), Counter())
+                held -= len(of) + len(seen)
+                of.update(words)
+                seen.update({""}.union(*map(finder(key), set(words))))
+                held += len(of) + len(seen)
+                if held >= 2 * HELD:
                     yield flush()
+                    held = 0
         yield flush()
 
     return run
 
 
+def _unit_finder(wanted: dict[str, set[str]] | None):
+    """A function of a language: a function of a word, its wanted units."""
+    finders = {}
+
+    def finder(key):
+        if key not in finders:
+            own = None if wanted is None else wanted.get(key, set()) | wanted.get("all", set())
+            heads, memo = None if own is None else _heads(own), {}
+
+            def units(word):
+                found = memo.get(word)
+                if found is None:
+                    if own is None:
+                        found = tuple(_units(word))
+                    else:
+                        found = tuple(_units(word) & own) if word[:3] in heads else ()
+                    if len(memo) >= MEMO_WORDS:
+                        memo.clear()
+                    memo[word] = found
+                return found
+
+            finders[key] = units
+        return finders[key]
+
+    return finder
+
+
 def _unit_counts(texts: DataFrame, wanted=None) -> DataFrame:
     """texts: (fold, key, text) -> fold, key, unit, times, docs."""
     rows = texts.mapInPandas(_count_units(wanted), "fold int, key string, unit string, times long, docs long")
@@ -492,14 +522,16 @@ def train_marks(taught: DataFrame) -> dict[int, dict[str, Marks]]:
 
     def marked(batches):
         for pdf in batches:
-            sums = Counter()
+            said, sums = {}, Counter()
             for own, is_bad, fold, text in zip(pdf["key"], pdf["bad"], pdf["fold"], pdf["text"], strict=True):
-                words = letter_words(text)
+                said.setdefault((own, bool(is_bad), fold), Counter()).update(letter_words(text))
+            for (own, is_bad, fold), words in said.items():
                 for part in parts if is_bad else (ALL, 1 - fold):
                     for key in (own, "all"):
                         if key in held.value[part]:
-                            sums[part, key, bool(is_bad), "n"] += len(words)
-                            sums[part, key, bool(is_bad), "marked"] += len(held.value[part][key].odds(words))
+                            marks = held.value[part][key]
+                            sums[part, key, is_bad, "n"] += words.total()
+                            sums[part, key, is_bad, "marked"] += sum(n for w, n in words.items() if w[:3] in marks.heads and marks.word(w))
             yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["part", "key", "bad", "what", "n"])
 
     rows = taught.select("key", "bad", "fold", "text").mapInPandas(marked, "part int, key string, bad boolean, what string, n long")
