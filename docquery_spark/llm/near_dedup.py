@@ -11,8 +11,8 @@ ones, and both set sizes) gives an estimate, pairs far below the threshold go (6
 none above it is lost), the others are compared on their full sets of words.
 
 Equal texts (but for the case of A-Z) are one node from the start, named by a number of its own, and
-buckets with the same nodes are one. Then (1) each node is compared to one other, the least of all its
-buckets, which joins most of a large group; (2) in buckets whose nodes are still apart, registers of
+buckets with the same nodes are one. Then (1) each node is compared to one other, the heaviest of all its
+buckets, which shares most buckets with most nodes, and so joins most of a large group; (2) in buckets whose nodes are still apart, registers of
 nodes of different components are held against each other, in cells of two blocks; only which nodes
 came near and the components thus connected leave a cell, never pairs; (3) connected components
 make families, and near nodes of a family that are of different components are compared on their
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._frames import Scratch, by_salted_key, free_name, lower_az, quoted, salt_bits, salt_of, small_batches, written
@@ -48,7 +48,7 @@ BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate, and the limit of 16-bit registers.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-#: Most rows of a block, in the mean, and most bytes of texts.
+#: Most rows of a block, in the mean, and most bytes of texts; a block without texts holds four times the rows.
 BLOCK, CELL_BYTES = 512, 4 << 20
 MEMO_WORDS = 100_000
 CHUNK = 1 << 15
@@ -157,19 +157,29 @@ def _sketch(k: int):
 
 
 def _memberships(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, node, least): the buckets that hold several nodes; of buckets with the same nodes one."""
+    """(bucket, node, hub, weight): the buckets that hold several nodes; of buckets with the same nodes one.
+
+    A node weighs the sizes of all its buckets, so what lies in the middle of a group weighs most;
+    ``hub``: the heaviest node of the bucket, and its ``weight``.
+    """
     bands = [F.xxhash64(F.lit(j), F.substring("regs", 2 * ROWS * j + 1, 2 * ROWS)) for j in range(BANDS)]
     banded = nodes.select(F.explode(F.array(*bands)).alias("bucket"), "node")
     shared = banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket")
-    members = scratch.written(banded.join(shared, "bucket"))
-    same = ("x", "y", "least", "bits")  # salts follow from the nodes, so they agree where the nodes do
+    members = scratch.written(banded.join(shared, "bucket").withColumn("salt", salt_of("node")))
+    same = ("x", "y", "n", "bits")  # salts follow from the nodes, so they agree where the nodes do
     marks = members.groupBy("bucket").agg(
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-        F.min("node").alias("least"), salt_bits(salt_of("node")).alias("bits"),
+        F.count("*").alias("n"), salt_bits(F.col("salt")).alias("bits"),
     )
-    kept = marks.groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "least", "bits")
-    out = scratch.written(by_salted_key(members.withColumn("salt", salt_of("node")), kept, ["bucket"], "bits").drop("salt"))
-    scratch.drop(members)
+    kept = marks.groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "n", "bits")
+    sized = by_salted_key(members, kept, ["bucket"], "bits")
+    # a node is in at most BANDS buckets
+    weight = F.sum("n").over(Window.partitionBy("node"))
+    weighed = scratch.written(sized.select("bucket", "node", "salt", weight.alias("weight")))
+    rank = F.struct("weight", -F.col("node"))
+    hubs = weighed.groupBy("bucket").agg(F.max_by("node", rank).alias("hub"), F.max("weight").alias("weight"), salt_bits(F.col("salt")).alias("bits"))
+    out = scratch.written(by_salted_key(weighed.drop("weight"), hubs, ["bucket"], "bits").drop("salt"))
+    scratch.drop(members, weighed)
     return out
 
 
@@ -186,15 +196,15 @@ def _leads(rows: DataFrame, group: str) -> DataFrame:
     return met.withColumn("lead", F.col("component") != F.col("main")).drop("main", "salt")
 
 
-def _cells(rows: DataFrame, group: str) -> DataFrame:
+def _cells(rows: DataFrame, group: str, most: int) -> DataFrame:
     """rows: (group, node, lead, size) -> a row for each cell: (i, j, block, inside) besides all columns.
 
     A group's lead rows are to meet each other and all the rest; the rest don't meet. Both are dealt
-    into blocks of BLOCK rows or CELL_BYTES in the mean; cell (i, j) holds block i, a lead one, and
+    into blocks of ``most`` rows or CELL_BYTES in the mean; cell (i, j) holds block i, a lead one, and
     block j. ``inside``: the lead rows of the cell are to meet each other in it.
     """
     def blocks(lead):
-        n = F.greatest(F.count_if(lead) / BLOCK, F.sum(F.when(lead, F.col("size")).otherwise(0)) / CELL_BYTES)
+        n = F.greatest(F.count_if(lead) / most, F.sum(F.when(lead, F.col("size")).otherwise(0)) / CELL_BYTES)
         return F.ceil(n).cast("int")
 
     is_lead = F.col("lead")
@@ -348,7 +358,7 @@ def _link_cell(k: int, percent: int):
 
 def _links(rows: DataFrame, group: str, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """rows: (group, node, component, lead, size) -> (a, b): components linked by lead rows and all others of their group."""
-    cells = _cells(rows, group).drop("size").join(texts, "node")
+    cells = _cells(rows, group, BLOCK).drop("size").join(texts, "node")
     return _by_cell(cells, group, _link_cell(k, percent), "a long, b long")
 
 
@@ -389,8 +399,8 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         found = rows.join(wanted, (F.col("copy") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("i")))
         texts = scratch.written(found.select("node", "n_shingles", "regs", "text").dropDuplicates(["node"]))
 
-        # 1. each node and the least one of all its buckets
-        pairs = members.filter("least < node").groupBy("node").agg(F.min("least").alias("hub"))
+        # 1. each node and the heaviest hub of all its buckets
+        pairs = members.filter("hub <> node").groupBy("node").agg(F.max_by("hub", F.struct("weight", -F.col("hub"))).alias("hub"))
         star = pairs.select("hub", "node", F.lit(False).alias("lead")).unionByName(
             pairs.select("hub", F.col("hub").alias("node"), F.lit(True).alias("lead")).distinct()
         )
@@ -400,7 +410,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         # 2. nodes of different components that come near in a bucket, and families that hold all such
         code = F.unhex(F.regexp_replace(F.hex("regs"), "(..)..", "$1"))  # the lower byte of each register
         apart = scratch.written(_leads(_labelled(members.select("bucket", "node"), labels), "bucket").withColumn("size", F.lit(REGISTERS)))
-        apart = _cells(apart, "bucket").join(sharing.select("node", code.alias("code")), "node")
+        apart = _cells(apart, "bucket", 4 * BLOCK).join(sharing.select("node", code.alias("code")), "node")
         near = scratch.written(_by_cell(apart, "bucket", _near_cell(threshold), "node long, component long, family long"))
         if not near.isEmpty():
             families = components(_contracted(near.select(F.col("component").alias("a"), F.col("family").alias("b"))))

@@ -778,6 +778,30 @@ def test_near_dedup_in_many_cells(docs, rows, monkeypatch):
     assert got == want
 
 
+def test_near_dedup_compares_a_group_with_its_middle(spark, monkeypatch):
+    """Texts that are linked with one of them only: that one is the hub, and nothing is left to compare in cells."""
+    cells, sent = near_dedup._cells, []
+
+    def counted(rows, group, *more):
+        out = cells(rows, group, *more)
+        sent.append((group, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "_cells", counted)
+    r, n = random.Random(4), 150
+    middle = [f"w{j}" for j in range(100)]
+    rows = [(n, " ".join(middle))]
+    for i in range(n):
+        own = list(middle)
+        for j in r.sample(range(100), 8):
+            own[j] = f"own{i}_{j}"
+        rows.append((i, " ".join(own)))
+    got = near_dedup.clusters(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    assert len(got) == n + 1 and {x["component_id"] for x in got} == {0}
+    assert sum(x for group, x in sent if group == "bucket") <= 2 * n
+
+
 def test_near_dedup_recall_at_the_threshold(spark):
     """Pairs of similarity 0.82, each a component of its own: all are found."""
     r = random.Random(8)
