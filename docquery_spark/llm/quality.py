@@ -280,11 +280,17 @@ class Laid:
         self.symbol[seen] = np.arange(len(seen))
         self.bits = (len(seen) + len(rest) - 1).bit_length() or 1
         stands = np.array([*seen, *rest], dtype=np.uint32)
-        tables, n, self.row_of = [], 0, np.zeros(1, dtype=np.int32)
+        n, self.row_of = 0, np.zeros(1, dtype=np.int32)
+        self.logs = np.empty((1 + sum(len(model["back"][k + 1][0]) for k in range(1, ORDER)), len(stands)))
         for k in range(ORDER):
             contexts = model["back"][k + 1][0] if k else np.zeros(1, dtype=np.uint32)
-            grams = ((contexts[:, None] << np.uint32(BITS)) | stands[None, :]).ravel()
-            tables.append(np.log(probabilities(grams, model, k + 1)).reshape(len(contexts), len(stands)))
+            # some grams at once, as what stands beside their probabilities takes several times their room
+            step = max(1, BLOCK // len(stands))
+            for first in range(0, len(contexts), step):
+                some = contexts[first : first + step]
+                grams = ((some[:, None] << np.uint32(BITS)) | stands[None, :]).ravel()
+                logs = np.log(probabilities(grams, model, k + 1))
+                self.logs[n + first : n + first + len(some)] = logs.reshape(len(some), len(stands))
             at = np.zeros(len(contexts), dtype=np.int64)
             for j in range(k):
                 at |= self.symbol[(contexts >> np.uint32(BITS * j)) & np.uint32(ALPHABET - 1)].astype(np.int64) << (self.bits * j)
@@ -292,7 +298,6 @@ class Laid:
             self.row_of = np.tile(self.row_of, 1 << self.bits if k else 1)
             self.row_of[at] = n + np.arange(len(contexts), dtype=np.int32)
             n += len(contexts)
-        self.logs = np.concatenate(tables)
 
     @staticmethod
     def size(model: dict) -> int:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -357,6 +358,27 @@ def test_quality_model_is_modified_kneser_ney(spark, monkeypatch, form):
         assert math.isclose(quality.probabilities(grams, model).sum(), 1, abs_tol=1e-9)
 
 
+def test_quality_table_is_laid_out_in_little_room():
+    """What stands beside the probabilities is bounded, however large the table."""
+    r = np.random.default_rng(3)
+    grams = np.unique(r.integers(0, 90, (60_000, quality.ORDER)) @ (1 << 8 * np.arange(quality.ORDER)))
+    model = {"p": {}, "back": {}, "pairs": (0, 1 << 16)}
+    for k in range(1, quality.ORDER + 1):
+        own = np.unique(grams & ((1 << 8 * k) - 1)).astype(np.uint32)
+        contexts = np.unique(own >> np.uint32(8))
+        model["p"][k] = (own, r.uniform(0.01, 0.9, len(own)))
+        model["back"][k] = (contexts, r.uniform(0.1, 0.9, len(contexts)))
+    tracemalloc.start()
+    form = quality.Laid(model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert form.logs.nbytes > 40_000_000 and peak <= 2 * form.logs.nbytes
+    some = r.choice(grams, 1000).astype(np.uint32)
+    codes = np.concatenate([some[:, None] >> np.uint32(8 * j) & np.uint32(255) for j in range(quality.ORDER - 1, -1, -1)], axis=1)
+    want = np.log(quality.probabilities(some, model))
+    assert np.array_equal([form.log_probabilities(c.astype(np.uint8))[-1] for c in codes], want)
+
+
 def test_quality_without_a_usable_sample(spark):
     """Texts above the sample's bytes leave nothing to learn from; every symbol is as likely then."""
     docs = spark.createDataFrame([(i, "word " * 50, "en") for i in range(4)], "doc_id long, text string, lang string")
