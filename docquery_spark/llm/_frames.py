@@ -59,7 +59,14 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        """Deletes all tables, and has the driver's JVM collect its garbage.
+
+        Spark drops broadcasts and shuffle files of frames that are gone only then; of each query the heap
+        keeps some blocks of 4 MB until then, whatever the size of its tables.
+        """
         self._delete(self.folder)
+        self.held.clear()
+        self.spark.sparkContext._jvm.System.gc()
 
     def written(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.held)}"

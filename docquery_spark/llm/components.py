@@ -7,7 +7,7 @@ the driver: how many edges there are and their checksum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._frames import Scratch, by_salted_key, salt_bits, salt_of, written
@@ -37,11 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
             # u's neighbours and u itself all point to m
             ends = F.explode(F.array("v", "u")).alias("w")
             small = _least(large).select(ends, "m").filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v"))
-            before, now = now, scratch.written(small.distinct())
-            seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            # seen while they are written, by the tasks that write, so that no other query asks for it
+            seen = Observation()
+            edge = F.xxhash64("u", "v").cast("decimal(38,0)")
+            before, now = now, scratch.written(small.distinct().observe(seen, F.count("*").alias("n"), F.sum(edge).alias("sum")))
             scratch.drop(before, large)
-            if tuple(seen) == state:
+            if seen.get == state:
                 break
-            state = tuple(seen)
+            state = seen.get
         ends = F.explode(F.array("u", "v")).alias("node")
         return written(now.select(ends, F.col("v").alias("component")).distinct())

@@ -151,42 +151,52 @@ def _gram_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(grams, "fold int, g long, c long").groupBy("fold", "g").agg(F.sum("c").alias("c"))
 
 
+def _orders(counts: DataFrame) -> DataFrame:
+    """counts: (part, g, c) of grams of ORDER symbols -> part, k, g, c: those, and of the shorter ones how many symbols come before each."""
+    low = lambda g, k: g.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k * BITS) - 1)
+    ends = [F.struct(F.lit(k).alias("k"), low(F.col("g"), F.lit(k + 1)).alias("longer")) for k in range(1, ORDER)]
+    longer = counts.select("part", F.explode(F.array(*ends)).alias("end")).select("part", "end.*").distinct()
+    shorter = longer.groupBy("part", "k", low(F.col("longer"), F.col("k")).alias("g")).agg(F.count("*").alias("c"))
+    return counts.select("part", F.lit(ORDER).alias("k"), "g", "c").unionByName(shorter)
+
+
 def _trained(scratch: Scratch, counts: DataFrame) -> DataFrame:
-    """counts: (part, g, c) of grams of ORDER symbols -> part, k, pair, g, value: models by part.
+    """counts: (part, g, c) of grams of ORDER symbols, which are read twice -> part, k, pair, g, value: models by part, written.
 
     For each order k the probabilities of grams, and at -k the back-off weights of contexts; ``pair``:
-    the two symbols before a gram's last one, 0 below order 3.
+    the two symbols before a gram's last one, 0 below order 3. Counts, discounts and context sums of
+    all orders come from one query each: the driver keeps threads and plans of every query for a while,
+    which small tables, whose queries follow each other fast, add up to more than their rows.
     """
-    by_order = {ORDER: scratch.written(counts)}
-    for k in range(ORDER - 1, 0, -1):
-        low = F.col("g").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
-        by_order[k] = scratch.written(by_order[k + 1].groupBy("part", low.alias("g")).agg(F.count("*").alias("c")))
-    rows, lower = [], None
-    for k in range(1, ORDER + 1):
-        table = by_order[k]
-        # one row a part
-        found = table.groupBy("part").agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).collect()
-        d = {r[0]: discounts(list(r[1:])) for r in found}
+    with Scratch(scratch.spark) as steps:
+        counted = steps.written(_orders(counts))
+        # a row for each part and order
+        found = counted.groupBy("part", "k").agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).collect()
         off = F.lit(None).cast("double")
-        for part, (one, two, more) in d.items():
+        for part, k, *n in found:
+            one, two, more = discounts(n)
             own = F.when(F.col("c") == 1, one).when(F.col("c") == 2, two).otherwise(more)
-            off = F.when(F.col("part") == part, own).otherwise(off)
-        context = F.call_function("shiftright", F.col("g"), F.lit(BITS))
-        sums = table.groupBy("part", context.alias("ctx")).agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("back"))
-        sums = scratch.written(sums)
-        joined = table.withColumn("ctx", context).join(sums, ["part", "ctx"]).withColumn("own", (F.col("c") - off) / F.col("total"))
-        if lower is None:
-            joined = joined.withColumn("below", F.lit(1.0 / ALPHABET))
-        else:
-            suffix = F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
-            joined = joined.withColumn("suffix", suffix).join(
-                lower.select("part", F.col("g").alias("suffix"), F.col("p").alias("below")), ["part", "suffix"]
-            )
-        lower = scratch.written(joined.select("part", "g", (F.col("own") + F.col("back") * F.col("below")).alias("p")))
-        pair = lambda c: (c.bitwiseAND(F.lit((1 << 2 * BITS) - 1)) if k > 2 else F.lit(0)).cast("int").alias("pair")  # noqa: B023, E731
-        rows.append(lower.select("part", F.lit(k).alias("k"), pair(context), "g", F.col("p").alias("value")))
-        rows.append(sums.select("part", F.lit(-k).alias("k"), pair(F.col("ctx")), F.col("ctx").alias("g"), F.col("back").alias("value")))
-    return reduce(DataFrame.unionByName, rows)
+            off = F.when((F.col("part") == part) & (F.col("k") == k), own).otherwise(off)
+        context = F.call_function("shiftright", F.col("g"), F.lit(BITS)).alias("ctx")
+        sums = counted.groupBy("part", "k", context).agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("back"))
+        sums = steps.written(sums)
+        last = F.lit((1 << 2 * BITS) - 1)
+        pair = lambda c: F.when(F.col("k") > 2, c.bitwiseAND(last)).otherwise(0).cast("int").alias("pair")
+        rows, lower = [sums.select("part", (-F.col("k")).alias("k"), pair(F.col("ctx")), F.col("ctx").alias("g"), F.col("back").alias("value"))], None
+        for k in range(1, ORDER + 1):
+            own, over = (t.filter(F.col("k") == k) for t in (counted, sums))
+            joined = own.select("part", "k", "g", "c", off.alias("off"), context).join(over.drop("k"), ["part", "ctx"])
+            joined = joined.withColumn("own", (F.col("c") - F.col("off")) / F.col("total"))
+            if lower is None:
+                joined = joined.withColumn("below", F.lit(1.0 / ALPHABET))
+            else:
+                suffix = F.col("g").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
+                joined = joined.withColumn("suffix", suffix).join(
+                    lower.select("part", F.col("g").alias("suffix"), F.col("p").alias("below")), ["part", "suffix"]
+                )
+            lower = steps.written(joined.select("part", "k", "g", (F.col("own") + F.col("back") * F.col("below")).alias("p")))
+            rows.append(lower.select("part", "k", pair(context), "g", F.col("p").alias("value")))
+        return scratch.written(reduce(DataFrame.unionByName, rows))
 
 
 def _slices(rows: DataFrame) -> dict[int, list[tuple[int, int]]]:
@@ -228,7 +238,7 @@ def train(texts: DataFrame) -> dict:
     """texts: (text) -> the model of them all, in one slice."""
     with Scratch(texts.sparkSession) as scratch:
         counts = _gram_counts(texts.select(F.lit(ALL).alias("fold"), "text")).withColumnRenamed("fold", "part")
-        return _slice(_trained(scratch, counts), ALL, (0, 1 << 2 * BITS))
+        return _slice(_trained(scratch, scratch.written(counts)), ALL, (0, 1 << 2 * BITS))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -599,28 +609,37 @@ def _measured(docs: DataFrame, model: dict, marks: dict[str, Marks]):
     return run
 
 
-def _quantiles(scored: DataFrame, step: Column, quantile: float) -> DataFrame:
-    """scored: (lang, ..) -> key, step: the least step that ``quantile`` of the rows reach, by language and for ``all``."""
-    hist = scored.select(step.cast("long").alias("step"), F.explode(F.array(_key(), F.lit("all"))).alias("key")).filter("step is not null")
-    hist = hist.groupBy("key", "step").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("key")
+def _limits(scored: DataFrame, names: list[str], quantile: float) -> DataFrame:
+    """scored: (lang, ..) -> key and limits: the least step of each measure that ``quantile`` of the rows reach, by language and for ``all``."""
+    steps = {
+        "threshold": F.floor(F.log("perplexity") * STEPS),
+        "most_toxic": F.floor(F.col("toxicity") * TOXICITY_STEPS),
+        "most_repeats": F.col("repeats"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), steps[n].cast("long").alias("step")) for n in names]))
+    hist = scored.select(_key().alias("own"), each.alias("at")).filter("at.step is not null")
+    hist = hist.select(F.explode(F.array("own", F.lit("all"))).alias("key"), "at.*")
+    hist = hist.groupBy("key", "name", "step").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("key", "name")
     upto = hist.withColumn("upto", F.sum("n").over(w.orderBy("step"))).withColumn("total", F.sum("n").over(w))
-    return upto.filter(F.col("upto") >= F.lit(quantile) * F.col("total")).groupBy("key").agg(F.min("step").alias("step"))
+    least = [F.min(F.when(F.col("name") == n, F.col("step"))).alias(n) for n in names]
+    reached = upto.filter(F.col("upto") >= F.lit(quantile) * F.col("total")).groupBy("key").agg(*least).dropna(subset=names)
+    limits = {
+        "threshold": F.exp((F.col("threshold") + 1) / STEPS),
+        "most_toxic": F.greatest(F.lit(LEAST_TOXICITY), (F.col("most_toxic") + 1) / TOXICITY_STEPS),
+        "most_repeats": F.greatest(F.lit(LEAST_REPEATS), "most_repeats"),
+    }
+    return reached.select("key", *[limits[n].alias(n) for n in names])
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """scored: (lang, perplexity) of all trusted documents -> key, threshold; key ``all`` for any language."""
-    reached = _quantiles(scored, F.floor(F.log("perplexity") * STEPS), quantile)
-    return reached.select("key", F.exp((F.col("step") + 1) / STEPS).alias("threshold"))
+    return _limits(scored, ["threshold"], quantile)
 
 
 def local_limits(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """scored: (lang, perplexity, toxicity, repeats) of all trusted documents -> key, most_toxic, most_repeats."""
-    scored = scored.filter("perplexity is not null")
-    toxic = _quantiles(scored, F.floor(F.col("toxicity") * TOXICITY_STEPS), quantile)
-    toxic = toxic.select("key", F.greatest(F.lit(LEAST_TOXICITY), (F.col("step") + 1) / TOXICITY_STEPS).alias("most_toxic"))
-    repeats = _quantiles(scored, F.col("repeats"), quantile)
-    return toxic.join(repeats.select("key", F.greatest(F.lit(LEAST_REPEATS), "step").alias("most_repeats")), "key")
+    return _limits(scored.filter("perplexity is not null"), ["most_toxic", "most_repeats"], quantile)
 
 
 def _taught(docs: DataFrame, labels: DataFrame, train_bytes: int | None) -> DataFrame:
@@ -659,7 +678,9 @@ def _judged(docs: DataFrame, columns: list[Column], labels: DataFrame, train_byt
             measured(trusted.filter(F.col("fold") == fold), fold if fold in slices else ALL, F.col("lang")) for fold in FOLDS
         ]
         held_out = scratch.written(reduce(DataFrame.unionByName, held_out)).select("lang", "_judged.*")
-        limits = checkpoint(thresholds(held_out, quantile).join(local_limits(held_out, quantile), "key").withColumnRenamed("key", "_judged_key"))
+        # those of thresholds() and local_limits()
+        limits = _limits(held_out.filter("perplexity is not null"), ["threshold", "most_toxic", "most_repeats"], quantile)
+        limits = checkpoint(limits.withColumnRenamed("key", "_judged_key"))
         scored = written(measured(docs, ALL, *columns, F.col("lang").alias("_judged_lang")))
     every = limits.filter("_judged_key = 'all'").first()
     other = every.asDict() if every else dict.fromkeys(("threshold", "most_toxic", "most_repeats"), float("inf"))

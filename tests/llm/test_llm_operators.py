@@ -379,6 +379,19 @@ def test_quality_table_is_laid_out_in_little_room():
     assert np.array_equal([form.log_probabilities(c.astype(np.uint8))[-1] for c in codes], want)
 
 
+def test_quality_asks_few_queries(spark):
+    """The driver keeps threads and plans of every job for a while, whatever the size of the tables."""
+    docs = spark.createDataFrame([(i, f"some word {i} and more words " * 5, "en") for i in range(20)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 14), int(i >= 17)) for i in range(20)], "doc_id long, quality int, toxic int")
+    sc = spark.sparkContext
+    sc.setJobGroup("few", "classify")
+    try:
+        assert quality.classify(docs, labels).count() == 20
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("few")) <= 65
+
+
 def test_quality_without_a_usable_sample(spark):
     """Texts above the sample's bytes leave nothing to learn from; every symbol is as likely then."""
     docs = spark.createDataFrame([(i, "word " * 50, "en") for i in range(4)], "doc_id long, text string, lang string")
