@@ -40,7 +40,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from functools import cache, partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -80,8 +80,8 @@ MARK_ODDS, MARK_TEST = 1.5, 12.0
 LEAST_TOXICITY = float(np.log(20))
 WINDOW, LAG = 32, 2
 LEAST_REPEATS = WINDOW // 4 - 1
-#: Counts that a worker holds at once, and words whose odds it remembers for each language.
-HELD, MEMO_WORDS = 100_000, 30_000
+#: Units that a worker counts at once, and words that it remembers for each language.
+HELD, MEMO_WORDS = 200_000, 50_000
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -359,22 +359,88 @@ def _log_sums(texts: list, form: Laid | Sparse) -> tuple[np.ndarray, np.ndarray]
     return out, sizes
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Each code point, or a blank if it is no letter."""
+    points = np.arange(0x110000, dtype=np.uint32)
+    table = np.full(len(points), ord(" "), dtype=np.uint32)
+    for run in LETTERS.finditer(points.tobytes().decode("utf-32-le", "surrogatepass")):
+        table[run.start() : run.end()] = points[run.start() : run.end()]
+    return table
+
+
 def letter_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return LETTERS.findall(text.lower()) if text else []
+    """Lower-cased runs of letters: what LETTERS finds, which takes several times as long."""
+    if not text:
+        return []
+    low, table = text.lower(), _letters()
+    parts = (low[i : i + BLOCK].encode("utf-32-le", "surrogatepass") for i in range(0, len(low), BLOCK))
+    return "".join([table[np.frombuffer(part, dtype=np.uint32)].tobytes().decode("utf-32-le") for part in parts]).split()
 
 
-def _units(word: str) -> set[str]:
+def _units(word: str) -> list[str]:
     """Beginnings of a word, and the whole word with an end mark."""
-    return {word[:k] for k in BEGINNINGS if k <= len(word)} | {word + "$"}
+    return [word[:k] for k in BEGINNINGS if k <= len(word)] + [word + "$"]
+
+
+class Numbers(dict):
+    """word -> its number, from 0 in the order of first use; ``new``: words since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class Noted:
+    """Words by number, and a row of what is known of each, so that it is found out once and looked up by array."""
+
+    def __init__(self, width: int, dtype):
+        self.number, self.rows = Numbers(), np.zeros((1024, width), dtype=dtype)
+
+    def full(self) -> bool:
+        return len(self.number) >= MEMO_WORDS
+
+    def forget(self) -> None:
+        self.number.clear()
+
+    def numbers(self, words: list[str], rows: Callable[[list[str]], list]) -> np.ndarray:
+        """Numbers of the words; ``rows``: what is known of new ones."""
+        at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        if new := self.number.new:
+            n = len(self.number)
+            self.rows = _room(self.rows, n)
+            self.rows[n - len(new) : n] = np.array(rows(new), dtype=self.rows.dtype).reshape(len(new), -1)
+            new.clear()
+        return at
+
+
+def _room(table: np.ndarray, n: int) -> np.ndarray:
+    """The table with at least ``n`` rows; new ones are zero."""
+    if n <= len(table):
+        return table
+    return np.concatenate([table, np.zeros((max(n, 2 * len(table)) - len(table), *table.shape[1:]), dtype=table.dtype)])
+
 
+def _distinct(at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The different numbers in ``at``; ``place`` has a cell for each possible one, whatever is in it."""
+    order = np.arange(len(at))
+    place[at] = order
+    return at[place[at] == order]
 
-def most_repeats(words: list[str]) -> int:
-    """Most words in a window that equal one of the LAG before them."""
+
+def most_repeats(words: list[str] | np.ndarray) -> int:
+    """Most words, or numbers of words, in a window that equal one of the LAG before them."""
     n = len(words)
+    if not isinstance(words, np.ndarray):
+        words = np.fromiter(map(Numbers().__getitem__, words), dtype=np.int64, count=n)
     hit = np.zeros(n + 1, dtype=np.int64)
     for k in range(1, min(LAG, n - 1) + 1):
-        hit[k + 1 :] |= np.fromiter((x == y for x, y in zip(words[k:], words, strict=False)), dtype=np.int64, count=n - k)
+        hit[k + 1 :] |= words[k:] == words[:-k]
     upto = np.cumsum(hit)
     size = min(WINDOW, n)
     return int((upto[size:] - upto[: n + 1 - size]).max())
@@ -391,104 +457,147 @@ class Marks:
     def __init__(self, weights: dict[str, float], rest: float = 0.0):
         self.weights, self.rest = weights, rest
         self.heads = _heads(weights)
-        self.memo: dict[str, float] = {}
+        self.noted = Noted(1, np.float64)
 
     def word(self, word: str) -> float:
         """Log odds of the word's strongest mark; 0 without one."""
-        value = self.memo.get(word)
-        if value is None:
-            value = max((self.weights.get(u, 0.0) for u in _units(word)), default=0.0)
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = value
-        return value
-
-    def odds(self, words: list[str]) -> list[float]:
-        """Those of the words that bear a mark."""
-        return [v for w in words if w[:3] in self.heads and (v := self.word(w))]
+        return max(self.weights.get(u, 0.0) for u in _units(word))
 
-    def text(self, words: list[str]) -> float:
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words as numbers, which hold until the next call."""
+        if self.noted.full():
+            self.noted.forget()
+        return self.noted.numbers(words, lambda new: [self.word(w) if w[:3] in self.heads else 0.0 for w in new])
+
+    def total(self, numbers: np.ndarray) -> float:
         if not self.weights:
             return 0.0
-        odds = self.odds(words)
-        return sum(odds) + self.rest * (len(words) - len(odds))
+        odds = self.noted.rows[numbers, 0]
+        return float(odds.sum() + self.rest * (len(odds) - np.count_nonzero(odds)))
+
+    def text(self, words: list[str]) -> float:
+        return self.total(self.numbers(words))
+
+
+class UnitCounts:
+    """Units of one language's words by fold, in occurrences and documents; unit 0, '', counts all words."""
+
+    def __init__(self, wanted: set[str] | None):
+        self.wanted = wanted
+        self.unit, self.start = {"": 0}, {"": 0}
+        # a word's start and, as a unit, the whole of it; a start's units; 0 where there is none
+        self.noted, self.of_start = Noted(2, np.int32), np.zeros((1024, len(BEGINNINGS)), dtype=np.int32)
+        self.times, self.docs = (np.zeros((1024, len(FOLDS)), dtype=np.int64) for _ in range(2))
+        self.places = [np.zeros(1024, dtype=np.int64) for _ in range(3)]
+        # words whose units' occurrences aren't counted yet
+        self.waiting: list[list[np.ndarray]] = [[] for _ in FOLDS]
+        self.held = 0
+
+    def _rows(self, words: list[str]) -> list[tuple[int, int]]:
+        out, longest, wanted, unit = [], BEGINNINGS[-1], self.wanted, self.unit
+        for word in words:
+            start, whole = word[:longest], word + "$"
+            at = self.start.get(start)
+            if at is None:
+                at = self._started(start)
+            out.append((at, unit.setdefault(whole, len(unit)) if wanted is None or whole in wanted else 0))
+        return out
+
+    def _started(self, start: str) -> int:
+        """Number of the longest wanted beginning of a word's start, whose units are those of the start."""
+        wanted, least = self.wanted, BEGINNINGS[0]
+        while len(start) >= least and wanted is not None and start not in wanted:
+            start = start[:-1]
+        start = start if len(start) >= least else ""
+        at = self.start.get(start)
+        if at is None:
+            at = self.start[start] = len(self.start)
+            begin = [start[:k] for k in BEGINNINGS if k <= len(start)]
+            own = [self.unit.setdefault(u, len(self.unit)) for u in begin if wanted is None or u in wanted]
+            self.of_start = _room(self.of_start, at + 1)
+            self.of_start[at, : len(own)] = own
+        return at
+
+    def add(self, fold: int, words: list[str]) -> None:
+        """Counts a document."""
+        if self.noted.full() or self.held >= BLOCK:
+            self._settle()
+        at = self.noted.numbers(words, self._rows)
+        self.times, self.docs = (_room(t, len(self.unit)) for t in (self.times, self.docs))
+        sizes = len(self.noted.number), len(self.start), len(self.unit)
+        self.places = [_room(place, n) for place, n in zip(self.places, sizes, strict=True)]
+        rows = self.noted.rows[_distinct(at, self.places[0])]
+        starts, whole = _distinct(rows[:, 0], self.places[1]), rows[:, 1]
+        for units in (_distinct(self.of_start[starts].ravel(), self.places[2]), whole):
+            self.docs[units[units > 0], fold] += 1
+        self.docs[0, fold] += 1
+        self.times[0, fold] += len(at)
+        self.waiting[fold].append(at)
+        self.held += len(at)
+
+    def _settle(self) -> None:
+        for fold, waiting in enumerate(self.waiting):
+            if waiting:
+                n = np.bincount(np.concatenate(waiting))
+                rows = self.noted.rows[: len(n)]
+                starts = np.bincount(rows[:, 0], n, len(self.start))
+                times = np.bincount(rows[:, 1], n, len(self.unit))
+                times += np.bincount(self.of_start[: len(starts)].ravel(), np.repeat(starts, len(BEGINNINGS)), len(self.unit))
+                self.times[1 : len(times), fold] += times[1:].astype(np.int64)
+                waiting.clear()
+        self.held = 0
+        if self.noted.full():
+            self.noted.forget()
+
+    def rows(self, key: str) -> pd.DataFrame:
+        self._settle()
+        n = len(self.unit)
+        counts = {f"{name}{f}": table[:n, f] for f in range(len(FOLDS)) for name, table in (("times", self.times), ("docs", self.docs))}
+        return pd.DataFrame({"key": key, "unit": list(self.unit), **counts})
+
+
+#: What UnitCounts counts.
+COUNTS = [f"{name}{f}" for f in range(len(FOLDS)) for name in ("times", "docs")]
 
 
 def _count_units(wanted):
-    """Words' units by fold and language, in occurrences and documents; unit '' counts all words. ``wanted``: broadcast units by language, or None for all."""
+    """Counts of words' units by language, a column for each fold. ``wanted``: broadcast units by language, or None for all."""
 
     def run(batches):
-        # occurrences are counted by word until they are given out
-        said, docs = {}, {}
-        finder = _unit_finder(None if wanted is None else wanted.value)
-
-        def flush():
-            rows = []
-            for (fold, key), words in said.items():
-                times = Counter({"": words.total()})
-                units = finder(key)
-                for w, n in words.items():
-                    for u in units(w):
-                        times[u] += n
-                rows += [(fold, key, u, n, docs[fold, key][u]) for u, n in times.items()]
-            said.clear(), docs.clear()
-            return pd.DataFrame(rows, columns=["fold", "key", "unit", "times", "docs"])
-
+        counts: dict[str, UnitCounts] = {}
         held = 0
         for pdf in batches:
             for fold, key, text in zip(pdf["fold"], pdf["key"], pdf["text"], strict=True):
                 if not (words := letter_words(text)):
                     continue
-                of, seen = said.setdefault((fold, key), Counter()), docs.setdefault((fold, key), Counter())
-                held -= len(of) + len(seen)
-                of.update(words)
-                seen.update({""}.union(*map(finder(key), set(words))))
-                held += len(of) + len(seen)
-                if held >= 2 * HELD:
-                    yield flush()
+                if key not in counts:
+                    counts[key] = UnitCounts(None if wanted is None else wanted.value.get(key, set()) | wanted.value.get("all", set()))
+                own = counts[key]
+                held -= len(own.unit)
+                own.add(fold, words)
+                held += len(own.unit)
+                if held >= HELD:
+                    yield from (own.rows(key) for key, own in counts.items())
+                    counts.clear()
                     held = 0
-        yield flush()
+        yield from (own.rows(key) for key, own in counts.items())
 
     return run
 
 
-def _unit_finder(wanted: dict[str, set[str]] | None):
-    """A function of a language: a function of a word, its wanted units."""
-    finders = {}
-
-    def finder(key):
-        if key not in finders:
-            own = None if wanted is None else wanted.get(key, set()) | wanted.get("all", set())
-            heads, memo = None if own is None else _heads(own), {}
-
-            def units(word):
-                found = memo.get(word)
-                if found is None:
-                    if own is None:
-                        found = tuple(_units(word))
-                    else:
-                        found = tuple(_units(word) & own) if word[:3] in heads else ()
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[word] = found
-                return found
-
-            finders[key] = units
-        return finders[key]
-
-    return finder
-
-
 def _unit_counts(texts: DataFrame, wanted=None) -> DataFrame:
-    """texts: (fold, key, text) -> fold, key, unit, times, docs."""
-    rows = texts.mapInPandas(_count_units(wanted), "fold int, key string, unit string, times long, docs long")
-    return rows.groupBy("fold", "key", "unit").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
+    """texts: (fold, key, text) -> key, unit and COUNTS, by language and for ``all``; a document has one language."""
+    sums = [F.sum(c).alias(c) for c in COUNTS]
+    rows = texts.mapInPandas(_count_units(wanted), ", ".join(["key string", "unit string", *[f"{c} long" for c in COUNTS]]))
+    own = rows.groupBy("key", "unit").agg(*sums)
+    return own.withColumn("key", F.explode(F.array("key", F.lit("all")))).groupBy("key", "unit").agg(*sums)
 
 
-def _with_all(counts: DataFrame, *parts: Column) -> DataFrame:
-    """Counts of each part a fold belongs to, by language and for ``all``; a document has one language."""
-    spread = counts.withColumn("part", F.explode(F.array(*parts))).withColumn("key", F.explode(F.array("key", F.lit("all"))))
-    return spread.groupBy("part", "key", "unit").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
+def _of_parts(counts: DataFrame) -> DataFrame:
+    """key, unit and COUNTS -> part, key, unit, times, docs: a fold's count for all and for the other one."""
+    of = {ALL: lambda c: F.col(f"{c}0") + F.col(f"{c}1"), **{1 - f: lambda c, f=f: F.col(f"{c}{f}") for f in FOLDS}}
+    parts = [F.struct(F.lit(part).alias("part"), n("times").alias("times"), n("docs").alias("docs")) for part, n in of.items()]
+    return counts.select("key", "unit", F.explode(F.array(*parts)).alias("of")).select("of.part", "key", "unit", "of.times", "of.docs")
 
 
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -496,6 +605,11 @@ def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
     return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0)
 
 
+def _mark_bits(marks: list[Marks], words: list[str]) -> list[int]:
+    """For each word a bit for each of the marks that it bears one of."""
+    return [sum(1 << i for i, m in enumerate(marks) if w[:3] in m.heads and m.word(w)) for w in words]
+
+
 def train_marks(taught: DataFrame) -> dict[int, dict[str, Marks]]:
     """taught: (key, bad, fold, text) of toxic (bad) and trusted documents -> by part, marks by language, and of ``all``.
 
@@ -503,8 +617,8 @@ def train_marks(taught: DataFrame) -> dict[int, dict[str, Marks]]:
     """
     sc = taught.sparkSession.sparkContext
     parts = [ALL, *FOLDS]
-    texts = {b: taught.filter(F.col("bad") == b).select("fold", "key", "text") for b in (True, False)}
-    counted = checkpoint(_with_all(_unit_counts(texts[True]), F.lit(ALL)).drop("part"))
+    texts = {b: taught.filter(F.col("bad") == b).select(F.lit(0).alias("fold") if b else "fold", "key", "text") for b in (True, False)}
+    counted = checkpoint(_unit_counts(texts[True]).select("key", "unit", F.col("times0").alias("times"), F.col("docs0").alias("docs")))
     # a row a language
     sizes = counted.filter("unit = ''").select("key", F.col("times").alias("words"), F.col("docs").alias("n_docs"))
     weights: dict[int, dict[str, dict[str, float]]] = {part: {} for part in parts}
@@ -520,7 +634,7 @@ def train_marks(taught: DataFrame) -> dict[int, dict[str, Marks]]:
     wanted: dict[str, set[str]] = {}
     for key, unit in often.select("key", "unit").toPandas().itertuples(index=False, name=None):
         wanted.setdefault(key, set()).add(unit)
-    good = checkpoint(_with_all(_unit_counts(texts[False], sc.broadcast(wanted)), F.lit(ALL), 1 - F.col("fold")))
+    good = _of_parts(checkpoint(_unit_counts(texts[False], sc.broadcast(wanted))))
     good_sizes = good.filter("unit = ''").select("part", "key", F.col("times").alias("good_words"), F.col("docs").alias("good_docs"))
     both = often.withColumn("part", F.explode(F.array(*[F.lit(part) for part in parts])))
     both = both.join(good.select("part", "key", "unit", F.col("times").alias("good_times"), F.col("docs").alias("good_in")), ["part", "key", "unit"], "left")
@@ -536,18 +650,29 @@ def train_marks(taught: DataFrame) -> dict[int, dict[str, Marks]]:
     held = sc.broadcast({part: {key: Marks(w) for key, w in own.items()} for part, own in weights.items()})
 
     def marked(batches):
+        # a bit of a word's row: whether it bears a mark of that part and key
+        tables = {}
         for pdf in batches:
-            said, sums = {}, Counter()
+            sums = {}
             for own, is_bad, fold, text in zip(pdf["key"], pdf["bad"], pdf["fold"], pdf["text"], strict=True):
-                said.setdefault((own, bool(is_bad), fold), Counter()).update(letter_words(text))
-            for (own, is_bad, fold), words in said.items():
-                for part in parts if is_bad else (ALL, 1 - fold):
-                    for key in (own, "all"):
-                        if key in held.value[part]:
-                            marks = held.value[part][key]
-                            sums[part, key, is_bad, "n"] += words.total()
-                            sums[part, key, is_bad, "marked"] += sum(n for w, n in words.items() if w[:3] in marks.heads and marks.word(w))
-            yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["part", "key", "bad", "what", "n"])
+                if own not in tables:
+                    names = [(part, key) for part in parts for key in (own, "all") if key in held.value[part]]
+                    of = [held.value[part][key] for part, key in names]
+                    tables[own] = names, partial(_mark_bits, of), Noted(1, np.uint8)
+                _, bits, noted = tables[own]
+                if noted.full():
+                    noted.forget()
+                # before rows are read, which new words add to
+                at = noted.numbers(letter_words(text), bits)
+                n = sums.setdefault((own, bool(is_bad), fold), np.zeros(1 << 2 * len(parts), dtype=np.int64))
+                n += np.bincount(noted.rows[at, 0], minlength=len(n))
+            out = Counter()
+            for (own, is_bad, fold), n in sums.items():
+                for bit, (part, key) in enumerate(tables[own][0]):
+                    if is_bad or part in (ALL, 1 - fold):
+                        out[part, key, is_bad, "n"] += int(n.sum())
+                        out[part, key, is_bad, "marked"] += int(n[np.arange(len(n)) >> bit & 1 == 1].sum())
+            yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["part", "key", "bad", "what", "n"])
 
     rows = taught.select("key", "bad", "fold", "text").mapInPandas(marked, "part int, key string, bad boolean, what string, n long")
     rows = rows.groupBy("part", "key", "bad", "what").agg(F.sum("n").alias("n")).collect()
@@ -601,8 +726,9 @@ def _measured(docs: DataFrame, model: dict, marks: dict[str, Marks]):
             for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
                 words = letter_words(text)
                 if words:
-                    toxicity[i] = marks.get("=" + ("\0" if lang is None else lang), other).text(words)
-                    repeats[i] = most_repeats(words)
+                    own = marks.get("=" + ("\0" if lang is None else lang), other)
+                    numbers = own.numbers(words)
+                    toxicity[i], repeats[i] = own.total(numbers), most_repeats(numbers)
             perplexity = pd.Series(out).astype("Float64").where(~np.isnan(out))
             yield pd.DataFrame({"perplexity": perplexity, "toxicity": toxicity, "repeats": repeats})
 

@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empties, ties and repeated rows."""
 
+import cProfile
 import hashlib
 import math
 import random
@@ -9,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -502,6 +504,48 @@ def test_quality_repeats():
     assert quality.most_repeats([str(i) for i in range(100)] + ["x"] * 40 + ["y"]) == quality.WINDOW
 
 
+def test_quality_words_are_those_of_the_pattern():
+    r = random.Random(3)
+    texts = ["".join(chr(r.choice([r.randrange(0x250), r.randrange(0x3000), r.randrange(0x110000)])) for _ in range(80)) for _ in range(300)]
+    for t in [*texts, "ΟΔΟΣ ΑΣ.Σ_x1y²", "Größe " * quality.BLOCK, None, "", " 1 "]:
+        assert quality.letter_words(t) == quality.LETTERS.findall((t or "").lower())
+
+
+@pytest.mark.parametrize("wanted", [None, {"=en": {"hou", "house$", "a$", "stonestu"}, "all": {"hou", "tree", "zz$"}}])
+@pytest.mark.parametrize("words, block, held", [(quality.MEMO_WORDS, quality.BLOCK, quality.HELD), (5, 7, 30)])
+def test_quality_units_by_brute_force(monkeypatch, wanted, words, block, held):
+    for name, value in (("MEMO_WORDS", words), ("BLOCK", block), ("HELD", held)):
+        monkeypatch.setattr(quality, name, value)
+    r = random.Random(4)
+    said = ["a", "zz", "hou", "house", "houses", "tree", "trees", "stonestudio", "stonestump", "Größe"]
+    rows = [(r.randrange(2), r.choice(["=en", "=de"]), r.choice([" ".join(r.choices(said, k=r.randint(1, 12))), None, "12"])) for _ in range(80)]
+    want = Counter()
+    for fold, key, text in rows:
+        own = None if wanted is None else wanted.get(key, set()) | wanted["all"]
+        units = [[""] + [u for u in {*(w[:k] for k in range(3, min(len(w), 8) + 1)), w + "$"} if own is None or u in own] for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        want.update((key, u, f"times{fold}") for of in units for u in of)
+        want.update((key, u, f"docs{fold}") for u in set().union(*units))
+    held = None if wanted is None else type("Broadcast", (), {"value": wanted})
+    got = Counter()
+    for part in quality._count_units(held)(pd.DataFrame(rows[i : i + 30], columns=["fold", "key", "text"]) for i in range(0, 80, 30)):
+        for x in part.to_dict("records"):
+            got.update({(x["key"], x["unit"], c): x[c] for c in quality.COUNTS})
+    assert +got == want
+
+
+def test_quality_counts_known_words_by_array():
+    """A word costs Python calls when it is new, not in each document; a unit is given out once for both folds."""
+    words = ["".join(random.Random(i).choices("abcdefgh", k=7)) for i in range(300)]
+    docs = pd.DataFrame({"fold": [i % 2 for i in range(100)], "key": "=en", "text": " ".join(words)})
+    wanted = type("Broadcast", (), {"value": {"=en": {u for w in words for u in quality._units(w)}}})
+    profile = cProfile.Profile()
+    out = profile.runcall(lambda: list(quality._count_units(wanted)(iter([docs]))))
+    units = [u for part in out for u in part["unit"]]
+    assert len(units) == len(set(units))
+    calls = sum(x.callcount for x in profile.getstats())
+    assert calls <= 100 * len(words)
+
+
 # -- LM scoring
 
 
