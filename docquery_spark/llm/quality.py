@@ -605,9 +605,29 @@ def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
     return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0)
 
 
-def _mark_bits(marks: list[Marks], words: list[str]) -> list[int]:
-    """For each word a bit for each of the marks that it bears one of."""
-    return [sum(1 << i for i, m in enumerate(marks) if w[:3] in m.heads and m.word(w)) for w in words]
+class Bits:
+    """For each word a bit for each of some marks that it bears one of, counted."""
+
+    def __init__(self, marks: list[Marks]):
+        self.of: dict[str, int] = {}
+        for i, m in enumerate(marks):
+            for u in m.weights:
+                self.of[u] = self.of.get(u, 0) | 1 << i
+        self.heads, self.size, self.noted = _heads(self.of), 1 << len(marks), Noted(1, np.uint8)
+
+    def _rows(self, words: list[str]) -> list[int]:
+        return [reduce(int.__or__, [self.of.get(u, 0) for u in _units(w)]) for w in words]
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """How many of the words bear each set of bits."""
+        if self.noted.full():
+            self.noted.forget()
+        some = [w for w in words if w[:3] in self.heads]
+        # before rows are read, which new words add to
+        at = self.noted.numbers(some, self._rows)
+        n = np.bincount(self.noted.rows[at, 0], minlength=self.size)
+        n[0] += len(words) - len(some)
+        return n
 
 
 def train_marks(taught: DataFrame) -> dict[int, dict[str, Marks]]:
@@ -650,22 +670,15 @@ def train_marks(taught: DataFrame) -> dict[int, dict[str, Marks]]:
     held = sc.broadcast({part: {key: Marks(w) for key, w in own.items()} for part, own in weights.items()})
 
     def marked(batches):
-        # a bit of a word's row: whether it bears a mark of that part and key
-        tables = {}
+        tables: dict[str, tuple[list, Bits]] = {}
         for pdf in batches:
             sums = {}
             for own, is_bad, fold, text in zip(pdf["key"], pdf["bad"], pdf["fold"], pdf["text"], strict=True):
                 if own not in tables:
                     names = [(part, key) for part in parts for key in (own, "all") if key in held.value[part]]
-                    of = [held.value[part][key] for part, key in names]
-                    tables[own] = names, partial(_mark_bits, of), Noted(1, np.uint8)
-                _, bits, noted = tables[own]
-                if noted.full():
-                    noted.forget()
-                # before rows are read, which new words add to
-                at = noted.numbers(letter_words(text), bits)
-                n = sums.setdefault((own, bool(is_bad), fold), np.zeros(1 << 2 * len(parts), dtype=np.int64))
-                n += np.bincount(noted.rows[at, 0], minlength=len(n))
+                    tables[own] = names, Bits([held.value[part][key] for part, key in names])
+                n = tables[own][1].counts(letter_words(text))
+                sums[own, bool(is_bad), fold] = sums.get((own, bool(is_bad), fold), 0) + n
             out = Counter()
             for (own, is_bad, fold), n in sums.items():
                 for bit, (part, key) in enumerate(tables[own][0]):
